@@ -7,7 +7,7 @@
    order is exact, a rare-first one keeps posting lists short. Each set sends
    its prefix of |x| - ceil(t|x|) + 1 first shingles, once a task and set.
 3. Posting lists of two documents and more are kept. Rounds of stars link the
-   members of each list to one drawn pivot; members that a link already
+   members of each list to a few drawn pivots; members that a link already
    connects are never paired again. What stars leave apart is then joined in
    full, on its first common prefix shingle, so no link between components is
    lost while a group of n near copies costs about n pairs and not n squared.
@@ -34,6 +34,8 @@ COUNTERS = 1 << 16
 PARITY = 8
 #: Rounds in which lists are linked by stars before the rest is joined in full.
 STAR_ROUNDS = 2
+#: Pivots drawn from a list in a round.
+PIVOTS = 8
 
 _SIDES = [f"s{i}" for i in range(PARITY)]
 
@@ -142,13 +144,22 @@ def _verify(k: int, num: int, den: int):
     return run, "a long, b long, same boolean"
 
 
-def _passes(num: int, den: int) -> Column:
-    """Length, positional and suffix filter on the columns of a pair x, y of postings."""
+def _need(num: int, den: int) -> Column:
+    """Shingles that a linked pair x, y shares at least."""
+    return F.ceil(F.lit(num) * (F.col("x.n") + F.col("y.n")) / F.lit(num + den))
+
+
+def _close(num: int, den: int) -> Column:
+    """Length and positional filter on two postings x, y of a shingle, their pair's first in common."""
     nx, ny = F.col("x.n"), F.col("y.n")
-    need = F.ceil(F.lit(num) * (nx + ny) / F.lit(num + den))
     rest = 1 + F.least(nx - 1 - F.col("x.pos"), ny - 1 - F.col("y.pos"))
+    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (rest >= _need(num, den))
+
+
+def _suffix(num: int, den: int) -> Column:
+    """Suffix filter: odd differences of the parts of two sets count into their Hamming distance."""
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SIDES), F.lit(0))
-    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (rest >= need) & (apart <= nx + ny - 2 * need)
+    return apart <= F.col("x.n") + F.col("y.n") - 2 * _need(num, den)
 
 
 def near_duplicates(
@@ -188,9 +199,11 @@ def near_duplicates(
     postings = docs.mapInArrow(run, ddl).repartition(F.col("token")).sortWithinPartitions("token")
     shared = stage.keep(postings.mapInArrow(_shared, ddl), "postings")
     stage.drop(profile)
-    nodes = known.where("rep is not null").select(F.col("doc_id").alias("doc"), "n", "rep", *_SIDES).distinct()
-    shared = shared.join(nodes, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos", *_SIDES)
+    nodes = known.where("rep is not null")
+    same = nodes.select(F.col("doc_id").alias("doc"), "n", "rep").distinct()
+    shared = shared.join(same, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos")
     lists = stage.keep(shared.distinct(), "lists")
+    sides = nodes.where("doc_id = rep").select(F.col("rep").alias("doc"), "n", *_SIDES).distinct()
 
     # texts of the documents in lists, once; the others are not needed again
     ids = lists.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash")
@@ -203,26 +216,30 @@ def near_duplicates(
     found: list[DataFrame] = []  # verified pairs, one table a round
     parts = None
     for r in range(STAR_ROUNDS + 1):
-        here = lists if parts is None else lists.join(parts, lists.doc == parts.node, "left").drop("node")
-        here = here.withColumn("component", F.coalesce("component", "doc") if parts is not None else F.col("doc"))
-        open_ = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_ = open_.where("lo < hi").select("token")
-        here = left = stage.keep(here.join(open_, "token", "left_semi"), "open")
-        if left.isEmpty():
+        here = lists.select("token", "doc", "n", "pos", F.col("doc").alias("component"))
+        if parts is not None:
+            here = here.drop("component").join(parts, F.col("doc") == F.col("node"), "left").drop("node")
+            here = here.withColumn("component", F.coalesce("component", "doc"))
+        # a pair's first common shingle lies among the first n - ceil(2t/(1+t) n) + 1 of the smaller set
+        index = F.max(F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)))
+        open_ = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), index.alias("i"))
+        open_ = open_.where("lo < hi and i").select("token")
+        here = lists = stage.keep(here.join(open_, "token", "left_semi"), "open")
+        if here.isEmpty():
             break
-        row = F.struct("doc", "n", "pos", "component", *_SIDES)
         if r < STAR_ROUNDS:
-            pivots = here.groupBy("token").agg(F.min_by(row, F.xxhash64("doc", F.lit(r))).alias("p"))
-            pivots = pivots.select("token", "p.*")
+            row = F.struct("doc", "n", "pos", "component")
+            drawn = [F.min_by(row, F.xxhash64("doc", F.lit(PIVOTS * r + i))) for i in range(PIVOTS)]
+            pivots = here.groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("p"))
+            pivots = pivots.select("token", F.explode("p").alias("p")).select("token", "p.*")
             pairs = here.alias("x").join(pivots.alias("y"), "token")
-            pairs = pairs.where((F.col("x.component") != F.col("y.component")) & _passes(num, den))
+            pairs = pairs.where((F.col("x.component") != F.col("y.component")) & _close(num, den))
         else:
-            heads = here.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "token"))).alias("o"))
-            here = here.join(heads.select("doc", F.transform("o", lambda x: x["token"]).alias("head")), "doc")
-            first = F.array_intersect("x.head", "y.head")[0] == F.col("token")
             pairs = here.alias("x").join(here.alias("y"), "token")
-            pairs = pairs.where((F.col("x.component") < F.col("y.component")) & _passes(num, den) & first)
+            pairs = pairs.where((F.col("x.component") < F.col("y.component")) & _close(num, den))
         pairs = pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+        pairs = pairs.join(sides.alias("x"), F.col("x.doc") == F.col("a")).join(sides.alias("y"), F.col("y.doc") == F.col("b"))
+        pairs = pairs.where(_suffix(num, den)).select("a", "b").distinct()
         for done in found:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage.keep(pairs, "pairs")
@@ -232,7 +249,7 @@ def near_duplicates(
         arrow_rows(spark, TEXT_ROWS)
         checked = stage.keep(pairs.join(first_text, "a").join(second_text, "b").mapInArrow(run, ddl), "checked")
         arrow_rows(spark, NUMBER_ROWS)
-        stage.drop(left, pairs)
+        stage.drop(pairs)
         found.append(checked)
         good = checked.where("same").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         parts = connected_components(links.unionByName(good), stage)
