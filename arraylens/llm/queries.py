@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arraylens.llm import bpe, pii, sharding
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
@@ -12,6 +14,32 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_ngram_join": op4_ngram_join}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(*pii.extract(table(spark, sf_dir, "documents")))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+QUERIES = {
+    "op4_ngram_join": op4_ngram_join,
+    "op7_pii": op7_pii,
+    "op8_bpe": op8_bpe,
+    "op9_sharding": op9_sharding,
+}
 
 ORACLE: dict[str, str] = {}
