@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraylens.llm import bpe, pii, sharding
+from arraylens.llm import bpe, language, pii, quality, sharding
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
@@ -14,6 +14,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(*pii.extract(table(spark, sf_dir, "documents")))
 
@@ -35,11 +39,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_ngram_join": op4_ngram_join,
+    "op5_language": op5_language,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}
