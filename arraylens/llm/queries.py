@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraylens.llm import bpe, language, pii, quality, sharding
+from arraylens.llm import bpe, decontaminate, language, line_dedup, pii, quality, sharding
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.transform("_runs", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
+    return out.select(
+        "doc_id",
+        F.col("_lines").cast("long").alias("n_lines"),
+        F.col("_removed").cast("long").alias("n_removed"),
+        F.concat_ws(",", runs).alias("removed_runs"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"),
+    )
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_ngram_join": op4_ngram_join,
     "op5_language": op5_language,
     "op7_pii": op7_pii,
@@ -52,4 +70,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE}
