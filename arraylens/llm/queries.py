@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraylens.llm import bpe, decontaminate, language, line_dedup, pii, quality, sharding
+from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, pii, quality, quotes, sharding
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
@@ -22,6 +22,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    body = F.sha2(F.encode(F.coalesce("body", F.lit("")), "utf-8"), 256).alias("body_sha256")
+    return out.drop("body").select("*", body)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +40,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(*pii.extract(table(spark, sf_dir, "documents")))
 
@@ -61,13 +71,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quote_linking": op2_quote_linking,
     "op3_decontaminate": op3_decontaminate,
     "op4_ngram_join": op4_ngram_join,
     "op5_language": op5_language,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE}

@@ -1,11 +1,89 @@
-"""The corpus pipeline: stages over documents, each one operator."""
+"""The corpus pipeline: from raw documents to token ids in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with
+the columns of `documents`; the last returns token ids. Each works on all that
+the stage before has kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arraylens.llm import bpe, decontaminate, line_dedup, quality
+from arraylens.llm.ngram_join import near_duplicates
+from arraylens.llm.staging import Stage, table
+
+#: Score below which the classifier rejects a document.
+QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "_quality").where(F.col("_quality") >= QUALITY).drop("_quality")
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those with nothing left go. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    out = out.where(~((F.col("_removed") > 0) & (F.trim("text") == "")))
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id; rows of one id are one document."""
+    groups = near_duplicates(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = Stage(spark).keep(again, "repeated")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    one = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(docs, path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", cut_lines),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_leaks),
+    ("bpe", tokenize),
+]
+
+#: No SQL: a classifier, a suffix array and BPE. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stage = Stage(spark)
+    for name, step in STAGES[:-1]:
+        docs = stage.keep(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
