@@ -97,9 +97,9 @@ def box_mean(wf: DataFrame, by: Sequence[str], kt: int, kf: int, value: str, wei
     """Weighted means over (2kt + 1) x (2kf + 1) boxes, by sums along channels, then along time."""
     f = Window.partitionBy(*by, "time_idx").orderBy("chan").rangeBetween(-kf, kf)
     t = Window.partitionBy(*by, "chan").orderBy("time_idx").rangeBetween(-kt, kt)
-    x = wf.withColumns({"_s": F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col(weight)).over(f), "_w": F.sum(weight).over(f)})
-    x = x.withColumns({"_s": F.sum("_s").over(t), "_w": F.sum("_w").over(t)})
-    return x.withColumn(out, safe_divide("_s", "_w")).drop("_s", "_w")
+    x = wf.withColumns({"_bs": F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col(weight)).over(f), "_bw": F.sum(weight).over(f)})
+    x = x.withColumns({"_bs": F.sum("_bs").over(t), "_bw": F.sum("_bw").over(t)})
+    return x.withColumn(out, safe_divide("_bs", "_bw")).drop("_bs", "_bw")
 
 
 def detrend_mean_filter(wf: DataFrame, by: Sequence[str] = (), kt: int = 8, kf: int = 8, value: str = "v", flag: str | None = None, out: str = "z") -> DataFrame:
