@@ -174,7 +174,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     spans = later.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("_spans"))
     spans = stage.keep(spans, "spans")
     arrow_rows(spark, TEXT_ROWS)
-    out = docs.join(spans.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    # spans grow with the input: hashed by row, which no key can skew, and texts are not sorted
+    out = docs.join(spans.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left").drop("_row")
     fields = [f for f in documents.select(*[f"`{c}`" for c in names]).schema if f.name != text_col]
     run_type = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
     fields += [T.StructField(text_col, T.StringType()), T.StructField("_lines", T.IntegerType()), T.StructField("_removed", T.IntegerType())]
