@@ -18,6 +18,11 @@ from arraylens.llm.staging import Stage, table
 QUALITY = 0.3
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in gone, which grows with the input: hashed on both sides, texts unsorted."""
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates, the one with the smallest doc_id; rows of one id are one document."""
     groups = near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = without(docs, gone)
     again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     again = Stage(spark).keep(again, "repeated")
     if again.isEmpty():
@@ -51,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, leaks.select("doc_id").distinct())
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
