@@ -264,3 +264,18 @@ def near_duplicates(
         F.when(has_id, F.coalesce("component", "rep", "doc_id")).alias("component_id"),
         F.when(has_id, F.coalesce("rep", "doc_id")).alias("set_id"),
     )
+
+
+#: DuckDB SQL of near_duplicates with its defaults on `documents`.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS f FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT p.b AS a, r.c FROM r JOIN p ON p.a = r.a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+e AS (SELECT f, min(doc_id) AS e FROM n GROUP BY f)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, documents.doc_id) AS component_id, coalesce(e.e, documents.doc_id) AS set_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = documents.doc_id LEFT JOIN e ON e.f = n.f
+"""

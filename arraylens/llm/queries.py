@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, pii, quality, quotes, sharding
+from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, ngram_join, pii, quality, quotes, sharding
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
@@ -82,4 +82,8 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
+}
