@@ -685,3 +685,76 @@ def phase_spectrum(spark, sf_dir):
 def dpss_flags(spark, sf_dir):
     wf = _grid(spark, sf_dir).withColumn("noise", F.abs("v") / 20)
     return grouped.dpss_flags(wf, [], [100e6 + 1e5 * i for i in range(24)], half_widths=(8e-7,)).select("time_idx", "chan", "flag")
+
+
+# More windows, sets and exports
+
+
+def _low_sql(src: str, value: str, k: int, out: str) -> str:
+    box = f"n.time_idx >= c.time_idx - {k} AND n.time_idx < c.time_idx + {k} AND n.chan >= c.chan - {k} AND n.chan < c.chan + {k}"
+    low = f"SELECT c.time_idx, c.chan, n.chan AS f, min(n.{value}) AS m FROM {src} c JOIN {src} n ON {box} GROUP BY ALL"
+    return f"{out} AS (SELECT time_idx, chan, 2 * median(m) - min(m) AS {out} FROM ({low}) GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {_GRID}, ga AS (SELECT time_idx, chan, v, abs(v) AS a FROM g), {_low_sql("ga", "a", 3, "mf")},
+d AS (SELECT time_idx, chan, v - mf AS d, (v - mf) * (v - mf) AS q FROM ga JOIN mf USING (time_idx, chan)), {_low_sql("d", "q", 3, "sf")}
+SELECT time_idx, chan, round(d / nullif(sqrt(CASE WHEN sf >= 0 THEN sf END) * sqrt(2) / 0.64, 0), 6) AS z FROM d JOIN sf USING (time_idx, chan)""",
+    "ad_wf",
+)
+def detrend_medminfilt(spark, sf_dir):
+    z = windows.detrend_medmin_filter(_grid(spark, sf_dir), kt=1, kf=1).drop("v")
+    return rounded(z.withColumn("z", F.when(~F.isnan("z"), F.col("z"))), "time_idx", "chan")
+
+
+@query(
+    f"""WITH s AS (SELECT chan, median(v) AS v FROM ad_wf GROUP BY chan), o AS (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS o),
+m AS (SELECT a.chan, {_UPPER.replace("v", "b.v", 1)} AS m, any_value(a.v) AS v FROM s a CROSS JOIN o JOIN s b ON b.chan = {_REFLECT.format(i="(a.chan + o)", n=24)} GROUP BY a.chan),
+d AS (SELECT chan, v - m AS d, (v - m) * (v - m) AS v FROM m),
+q AS (SELECT a.chan, {_UPPER.replace("v", "b.v", 1)} AS q FROM d a CROSS JOIN o JOIN d b ON b.chan = {_REFLECT.format(i="(a.chan + o)", n=24)} GROUP BY a.chan)
+SELECT chan, round(d / nullif(sqrt(q / {MAD_SQUARE}), 0), 6) AS z FROM d JOIN q USING (chan)""",
+    "ad_wf",
+)
+def modzscore_1d_detrended(spark, sf_dir):
+    s = waterfall(spark, sf_dir).groupBy("chan").agg(F.median("v").alias("v"))
+    return rounded(windows.modzscore_detrended(s, "chan", k=3).drop("v"), "chan")
+
+
+@query("SELECT DISTINCT ant FROM (SELECT ant FROM ad_autos GROUP BY ant HAVING median(v) > 36 UNION ALL SELECT CAST(unnest([3, 7]) AS INT))", "ad_autos")
+def ex_ants_union(spark, sf_dir):
+    high = autos(spark, sf_dir).groupBy("ant").agg(F.median("v").alias("m")).where("m > 36")
+    return spark.createDataFrame([(a,) for a in flags.ex_antennas(spark, "3, 7", [high])], "ant int")
+
+
+@query("SELECT ant, pol, time_idx, chan, ant = 2 OR (ant = 5 AND pol = 'ee') AS flag FROM ad_autos", "ad_autos")
+def apriori_ants(spark, sf_dir):
+    listed = flags.a_priori_antennas(SPEC, by_ant_pol=True, ant_pols=["Jee", "Jnn"])
+    marks = spark.createDataFrame([(a, p[1:], True) for a, p in listed], "ant int, pol string, flag boolean")
+    return autos(spark, sf_dir).drop("v").join(F.broadcast(marks), ["ant", "pol"], "left").na.fill(False, ["flag"])  # one row an entry
+
+
+@query(
+    f"""WITH m AS (SELECT ant, {_ANTPOL} AS antpol, median(v) AS power, stddev_pop(v) AS spread FROM ad_autos GROUP BY ALL)
+SELECT 'auto_power' AS metric, ant, antpol, round(power, 6) AS value FROM m UNION ALL SELECT 'auto_spread' AS metric, ant, antpol, round(spread, 6) AS value FROM m""",
+    "ad_autos",
+)
+def metrics_export(spark, sf_dir):
+    m = _fed(spark, sf_dir).groupBy("ant", "antpol").agg(F.median("v").alias("power"), F.stddev_pop("v").alias("spread"))
+    m = m.unpivot(["ant", "antpol"], ["power", "spread"], "metric", "value").withColumn("iter", F.lit(None).cast("int"))
+    from arraylens.schema import EX_ANTS
+    from arraylens.sources.tables import export_metrics
+
+    out, _ = export_metrics(m, spark.createDataFrame([], EX_ANTS), "auto")
+    return rounded(out, "metric", "ant", "antpol")
+
+
+@query(
+    """WITH r AS (SELECT * FROM (VALUES ('low', 0.0, 0.02), ('mid', 0.03, 0.06), ('high', 0.06, 0.1)) t(band, lo, hi))
+SELECT band, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem JOIN r ON l_discount BETWEEN lo AND hi GROUP BY band"""
+)
+def range_membership(spark, sf_dir):
+    """Inclusive ranges, which may overlap, over a large table: a broadcast of the few ranges."""
+    r = spark.createDataFrame([("low", 0.0, 0.02), ("mid", 0.03, 0.06), ("high", 0.06, 0.1)], "band string, lo double, hi double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_discount", "l_quantity")
+    hits = rows.join(F.broadcast(r), F.col("l_discount").between(F.col("lo"), F.col("hi")))
+    return rounded(hits.groupBy("band").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), "band", "n")
