@@ -24,8 +24,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quotes.link_quotes(table(spark, sf_dir, "conversations"))
-    body = F.sha2(F.encode(F.coalesce("body", F.lit("")), "utf-8"), 256).alias("body_sha256")
-    return out.drop("body").select("*", body)
+    body = F.sha2(F.encode(F.coalesce("body", F.lit("")), "utf-8"), 256)
+    return out.withColumn("body_sha256", body).drop("body")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
