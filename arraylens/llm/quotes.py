@@ -18,7 +18,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arraylens.llm.components import connected_components
 from arraylens.llm.staging import NUMBER_ROWS, TEXT_ROWS, Stage, arrow_rows
 
 MARK = re.compile(r"[ \t]*(?:>[ \t]?)+")
@@ -107,6 +106,23 @@ def numbered(df: DataFrame, stage: Stage, key: str, order: list[str], out: str)
     return put.join(sizes, [key, "_part"]).withColumn(out, F.col("_seq") + F.col("_shift")).drop("_part", "_shift")
 
 
+def roots(links: DataFrame, stage: Stage) -> DataFrame:
+    """(node, root) of each node of a forest of links (node, up), nodes of which are distinct; roots have no link.
+
+    The links double their length each round: log2 of the depth in rounds. Nodes that point at a root are set aside.
+    """
+    inner = links.select(F.col("node").alias("up"), F.lit(True).alias("inner"))
+    hop = links.join(inner, "up", "left").select("node", "up", F.col("inner").isNull().alias("done"))
+    hop = stage.keep(hop, "hops")
+    fixed, todo = hop.where("done"), hop.where("not done")
+    while not todo.isEmpty():
+        known = fixed.unionByName(todo).select(F.col("node").alias("up"), F.col("up").alias("next"), "done")
+        hop = todo.select("node", "up").join(known, "up").select("node", F.col("next").alias("up"), "done")
+        hop = stage.keep(hop, "hops")
+        fixed, todo = fixed.unionByName(hop.where("done")), hop.where("not done")
+    return fixed.select("node", F.col("up").alias("root"))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
     """(conv_id, turn, role, body, n_quotes, n_linked, via, reply_conv, reply_turn, thread_conv, thread_turn, position).
 
@@ -156,8 +172,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         "via", F.when(F.col("source").isNotNull(), "quote").when(F.col("prior").isNotNull(), "turn").otherwise("root")
     )
     rows = stage.keep(rows.select("node", "conv", "turn", "role", "body", F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", "via"), "replies")
-    trees = connected_components(rows.where("parent is not null"), stage, "node", "parent")
-    rows = rows.join(trees, "node", "left").withColumn("thread", F.coalesce("component", "node")).drop("component")
+    trees = roots(rows.where("parent is not null").select("node", F.col("parent").alias("up")), stage)
+    rows = rows.join(trees, "node", "left").withColumn("thread", F.coalesce("root", "node")).drop("root")
     rows = numbered(rows, stage, "thread", ["node"], "position").drop("_seq")
     names = stage.keep(rows.select("node", "conv", "turn"), "names")
     reply = names.select(F.col("node").alias("parent"), F.col("conv").alias("reply_conv"), F.col("turn").alias("reply_turn"))

@@ -1,4 +1,7 @@
-from arraylens.llm.quotes import link_quotes, parse
+import random
+
+from arraylens.llm.quotes import link_quotes, parse, roots
+from arraylens.llm.staging import Stage
 
 ROWS = [
     (1, 0, "user", "How do I sort a list?\nIt has numbers."),
@@ -59,3 +62,16 @@ def test_links_threads_and_order(spark):
 
 def test_empty(spark):
     assert link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_roots(spark):
+    draw = random.Random(3)
+    up = {n: n - 1 for n in range(1001, 1100)} | {n: draw.randrange(n) for n in range(1, 300) if n % 20}
+    want = {}
+    for n in up:
+        at = n
+        while at in up:
+            at = up[at]
+        want[n] = at
+    got = roots(spark.createDataFrame(list(up.items()), "node long, up long"), Stage(spark)).collect()
+    assert len(got) == len(up) and {r.node: r.root for r in got} == want
