@@ -169,7 +169,9 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     order = docs.select(F.col("_row").alias("row"), F.col(f"`{id_col}`").alias("doc"))
     wins = stage.keep(wins.join(order, "row").select("row", "doc", "at", "n", "x", "y"), "windows")
     place = F.struct("doc", "row", "at")
-    original = wins.groupBy("n", "x", "y").agg(F.min(place).alias("o"))
+    # kept, so that the join reads two tables and a common passage's rows can be split over tasks
+    original = wins.groupBy("n", "x", "y").agg(F.min(place).alias("o"), F.count("*").alias("c")).where("c > 1").drop("c")
+    original = stage.keep(original, "originals")
     later = wins.join(original, ["n", "x", "y"]).where(place > F.col("o"))
     spans = later.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("_spans"))
     spans = stage.keep(spans, "spans")
