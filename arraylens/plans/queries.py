@@ -127,8 +127,13 @@ _EVEN_ODD = "eo AS (SELECT e.ant1, e.ant2, e.pol, e.re * o.re + e.im * o.im AS r
 _CORR = f"WITH bl AS ({_BL}), {_EVEN_ODD}, cs AS (SELECT ant1, ant2, pol, sqrt(pow(avg(re / hyp), 2) + pow(avg(im / hyp), 2)) AS corr FROM (SELECT *, sqrt(re * re + im * im) AS hyp FROM eo) WHERE hyp > 0 GROUP BY ALL), ed AS (SELECT * FROM cs UNION ALL SELECT ant2, ant1, pol, corr FROM cs)"
 
 
+#: The same over all integrations of the labels.
+_BL_ALL, _CORR_ALL = (x.replace(" AND a.time_idx < 12", "") for x in (_BL, _CORR))
+
+
 def _baselines(spark, sf_dir):
-    s = spectra(spark, sf_dir).where("time_idx < 12")
+    """Baselines of the labels, over all integrations that both labels have."""
+    s = spectra(spark, sf_dir)
     a, b = s.alias("a"), s.alias("b")
     pol = F.element_at(F.array(*map(F.lit, ("ee", "nn", "en", "ne"))), F.expr("int(a.chan div 16) + 1"))
     both = a.join(b, (F.col("a.time_idx") == F.col("b.time_idx")) & (F.col("a.chan") == F.col("b.chan")) & (F.col("a.ant") < F.col("b.ant")))
@@ -138,9 +143,57 @@ def _baselines(spark, sf_dir):
     )
 
 
+def _first_baselines(spark, sf_dir):
+    """The first 12 integrations, as _BL takes them."""
+    return _baselines(spark, sf_dir).where("time_idx < 12")
+
+
+@query(_CORR_ALL + " SELECT ant1, ant2, pol, round(corr, 6) AS corr FROM cs", "ad_spec")
+def corr_stats_interleaved_all(spark, sf_dir):
+    return rounded(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)), "ant1", "ant2", "pol")
+
+
+@query(
+    f"""WITH bl AS ({_BL_ALL}), eo AS (SELECT s.ant1, s.ant2, s.pol, (s.re + d.re) AS er, (s.im + d.im) AS ei, (s.re - d.re) AS o_r, (s.im - d.im) AS oi
+FROM bl s JOIN bl d ON s.ant1 = d.ant1 AND s.ant2 = d.ant2 AND s.pol = d.pol AND s.chan = d.chan AND s.time_idx % 2 = 0 AND d.time_idx = s.time_idx + 1),
+p AS (SELECT ant1, ant2, pol, er * o_r + ei * oi AS re, ei * o_r - er * oi AS im FROM eo)
+SELECT ant1, ant2, pol, round(sqrt(pow(avg(re / h), 2) + pow(avg(im / h), 2)), 6) AS corr FROM (SELECT *, sqrt(re * re + im * im) AS h FROM p) WHERE h > 0 GROUP BY ALL""",
+    "ad_spec",
+)
+def corr_stats_sumdiff_all(spark, sf_dir):
+    """Even integrations as sums and odd ones as differences; an odd one out is dropped."""
+    b = _baselines(spark, sf_dir)
+    total, diff = (b.where(F.col("time_idx") % 2 == k).withColumn("time_idx", F.expr("time_idx div 2")) for k in (0, 1))
+    return rounded(reduce.corr_stats_sumdiff(total, diff), "ant1", "ant2", "pol")
+
+
+@query(_CORR_ALL + " SELECT ant1 AS ant, pol, round(avg(corr), 6) AS corr FROM ed WHERE pol IN ('ee', 'nn') GROUP BY ALL", "ad_spec")
+def corr_per_ant_all(spark, sf_dir):
+    return rounded(reduce.corr_per_ant(_edges(spark, sf_dir)), "ant", "pol")
+
+
+@query(
+    _CORR_ALL + " SELECT ant, round(max(m), 6) AS corr_xpol FROM (SELECT s.ant1 AS ant, s.pol AS sp, x.pol AS xp, avg(s.corr - x.corr) AS m FROM ed s JOIN ed x ON s.ant1 = x.ant1 AND s.ant2 = x.ant2 AND s.pol IN ('ee', 'nn') AND x.pol IN ('en', 'ne') GROUP BY ALL) GROUP BY ant",
+    "ad_spec",
+)
+def corr_cross_pol_all(spark, sf_dir):
+    return rounded(reduce.corr_cross_pol(_edges(spark, sf_dir)), "ant")
+
+
+@query(
+    _CORR_ALL + " SELECT ant1 AS ant, pol FROM ed WHERE pol IN ('ee', 'nn') GROUP BY ALL HAVING coalesce(median(CASE WHEN corr > 0.2 THEN corr ELSE 0 END), 0) = 0", "ad_spec"
+)
+def dead_ants_all(spark, sf_dir):
+    return reduce.dead_ants(_edges(spark, sf_dir).withColumn("corr", F.when(F.col("corr") > 0.2, F.col("corr")).otherwise(0.0)))
+
+
+def _edges(spark, sf_dir):
+    return reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))
+
+
 @query(_CORR + " SELECT ant1, ant2, pol, round(corr, 6) AS corr FROM cs", "ad_spec")
 def corr_stats_interleaved(spark, sf_dir):
-    return rounded(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)), "ant1", "ant2", "pol")
+    return rounded(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)), "ant1", "ant2", "pol")
 
 
 @query(
@@ -151,13 +204,13 @@ SELECT ant1, ant2, pol, round(sqrt(pow(avg(re / h), 2) + pow(avg(im / h), 2)), 6
     "ad_spec",
 )
 def corr_stats_sumdiff(spark, sf_dir):
-    b = _baselines(spark, sf_dir)
+    b = _first_baselines(spark, sf_dir)
     return rounded(reduce.corr_stats_sumdiff(b.where("time_idx < 6"), b.where("time_idx >= 6").withColumn("time_idx", F.col("time_idx") - 6)), "ant1", "ant2", "pol")
 
 
 @query(_CORR + " SELECT ant1 AS ant, pol, round(avg(corr), 6) AS corr FROM ed WHERE pol IN ('ee', 'nn') GROUP BY ALL", "ad_spec")
 def corr_per_ant(spark, sf_dir):
-    return rounded(reduce.corr_per_ant(reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))), "ant", "pol")
+    return rounded(reduce.corr_per_ant(reduce.corr_edges(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)))), "ant", "pol")
 
 
 @query(
@@ -165,21 +218,20 @@ def corr_per_ant(spark, sf_dir):
     "ad_spec",
 )
 def corr_cross_pol(spark, sf_dir):
-    return rounded(reduce.corr_cross_pol(reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))), "ant")
+    return rounded(reduce.corr_cross_pol(reduce.corr_edges(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)))), "ant")
 
 
 @query(
     _CORR + " SELECT ant1 AS ant, pol FROM ed WHERE pol IN ('ee', 'nn') GROUP BY ALL HAVING coalesce(median(CASE WHEN corr > 0.2 THEN corr ELSE 0 END), 0) = 0", "ad_spec"
 )
 def dead_ants(spark, sf_dir):
-    e = reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))
+    e = reduce.corr_edges(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)))
     return reduce.dead_ants(e.withColumn("corr", F.when(F.col("corr") > 0.2, F.col("corr")).otherwise(0.0)))
 
 
 @query()
 def ant_iterative(spark, sf_dir):
-    e = reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))
-    return iterate.antenna_search(e, cross_cut=-0.2, dead_cut=0.25)[0]
+    return iterate.antenna_search(_edges(spark, sf_dir), cross_cut=-0.2, dead_cut=0.25)[0]
 
 
 @query()
@@ -570,11 +622,20 @@ def class_merge(spark, sf_dir):
     "ad_spec",
 )
 def even_odd_zero_counts(spark, sf_dir):
-    b = _baselines(spark, sf_dir).withColumn("re", F.when(F.abs("re") < 0.002, 0.0).otherwise(1.0)).withColumn("im", F.lit(0.0))
+    b = _first_baselines(spark, sf_dir).withColumn("re", F.when(F.abs("re") < 0.002, 0.0).otherwise(1.0)).withColumn("im", F.lit(0.0))
     none = b.withColumn("re", F.lit(0.0))
     return classify.even_odd_zeros(b, none)
 
 
+@query(
+    f"""WITH bl AS ({_BL_ALL}), z AS (SELECT s.ant1, s.ant2, s.pol, s.time_idx, count_if(abs(s.re) < 0.002) AS n FROM bl s GROUP BY ALL) SELECT ant1, ant2, pol, CAST(max(n) AS BIGINT) AS n FROM z GROUP BY ALL""",
+    "ad_spec",
+)
+def even_odd_zero_counts_all(spark, sf_dir):
+    b = _baselines(spark, sf_dir).withColumn("re", F.when(F.abs("re") < 0.002, 0.0).otherwise(1.0)).withColumn("im", F.lit(0.0))
+    return classify.even_odd_zeros(b, b.withColumn("re", F.lit(0.0)))
+
+
 @query()
 def even_odd_zero_blame(spark, sf_dir):
     b = _baselines(spark, sf_dir).withColumn("re", F.when(F.abs("re") < 0.002, 0.0).otherwise(1.0)).withColumn("im", F.lit(0.0))
