@@ -1,11 +1,18 @@
 """Personal data by bootstrapped contextual extraction (operator 7), DataFrame functions only.
 
-Base patterns find e-mails, IP addresses, cards and phone numbers. Tokens with
-digits are the instances; the words beside them are the lexical patterns.
-Tokens that hold a base match are the seeds. Patterns and instances form a
-graph whose scores are iterated: a pattern scores the mean confidence of its
-instances, an instance the noisy-or of its accepted patterns. Tokens that
-accepted patterns reach with high confidence are added as spans of kind `id`.
+Base patterns find e-mails, IP addresses, cards and phone numbers. Each whole
+base span is a seed instance; the tokens outside of base spans, with digits or
+not, are the others. The words beside an instance are the lexical patterns.
+Patterns and instances form a graph whose scores are iterated: a pattern scores
+the mean confidence of its instances, an instance the noisy-or of its accepted
+patterns. Tokens that accepted patterns reach with high confidence are added as
+spans of kind `id`; a token without digits must also stand in accepted patterns
+in half of its places, so that a common word in one of them is not taken.
+
+The graph has an edge for each token and pattern, so only what can matter is
+listed: a pattern with few confident instances, or with too many others, can't
+be accepted. The others are bounded from below by a fixed bitmap of their
+hashes, which never drops a pattern that could pass.
 """
 
 from __future__ import annotations
@@ -26,12 +33,17 @@ KINDS = {
 }
 #: A text without this character has no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-#: Characters beside a token in which pattern words are looked for.
-CONTEXT = 80
+#: What is cut off a token, in front and behind.
+LEAD, TRAIL = r"^[^\p{L}\p{N}+(]++", r"(?<![^\p{L}\p{N})])[^\p{L}\p{N})]++$"
 
 #: Rounds of scoring, instances that a pattern needs, and the scores to be accepted.
 ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 5, 0.8, 0.8
+#: Share of the places of a token without digits that accepted patterns must reach.
+PLACES = 0.5
+#: Rows of a set of hashes that are still broadcast.
+FEW = 2_000_000
+#: How tables of texts and of all tokens are written.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(2**24)}
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -64,6 +76,81 @@ def valid(kind: Column, val: Column) -> Column:
     )
 
 
+def coded(value: Column) -> Column:
+    """Hash of an instance; the lowest bit says whether it has digits."""
+    return F.when(value != "", F.xxhash64(value).bitwiseAND(F.lit(-2)).bitwiseOR(value.rlike("[0-9]").cast("long")))
+
+
+def patterns_of(near: Column, far: Column, after: Column) -> Column:
+    """Hashes of the lexical patterns, from those of the words beside an instance."""
+    return F.array_compact(
+        F.array(
+            F.when(near.isNotNull(), F.xxhash64(F.lit("L"), near)),
+            F.when(near.isNotNull() & far.isNotNull(), F.xxhash64(F.lit("LL"), far, near)),
+            F.when(after.isNotNull(), F.xxhash64(F.lit("R"), after)),
+            F.when(near.isNotNull() & after.isNotNull(), F.xxhash64(F.lit("LR"), near, after)),
+        )
+    )
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A kept set of hashes, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
+    """(v) of the values that accepted patterns reach, seeds too; units has v and w by token, base the edges (p, v) of the seeds."""
+    at = F.transform("v", lambda v, i: F.struct(i.alias("at"), v.alias("v"), *[F.get("w", i + k).alias(n) for n, k in (("near", -1), ("far", -2), ("after", 1))]))
+    toks = units.select("row", F.explode(F.filter(at, lambda t: t["v"].isNotNull())).alias("t"))
+    toks = toks.select("row", "t.at", "t.v", patterns_of(F.col("t.near"), F.col("t.far"), F.col("t.after")).alias("ps"))
+
+    def edges(t: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+        e = t.select("row", "at", "v", F.explode("ps").alias("p"))
+        return e if kept is None else e.join(few(kept.select("p")), "p", "left_semi")
+
+    scores = stage.keep(base.select("v").distinct().withColumn("confidence", F.lit(1.0)), "scores")
+    base = known = stage.keep(base.where("p is not null").distinct(), "edges")
+    listed = fresh = None
+    for _ in range(ROUNDS):
+        if fresh is None or not fresh.isEmpty():
+            if fresh is not None:
+                found = edges(toks.join(few(fresh), "v", "left_semi")).select("p", "v")
+                known = stage.keep(known.unionByName(found).distinct(), "edges")
+            may = known.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+            may = stage.keep(may if listed is None else may.join(listed.select("p").distinct(), "p", "left_anti"), "may")
+            if not may.isEmpty():
+                others = edges(toks.join(few(scores.select("v")), "v", "left_anti"), may)
+                bits = [F.expr(f"bit_or(if((v >> 7) & 3 = {k}, shiftleft(1L, int((v >> 1) & 63)), 0L))") for k in range(4)]
+                others = others.groupBy("p").agg(*[b.alias(f"b{k}") for k, b in enumerate(bits)])
+                least = sum((F.coalesce(F.bit_count(f"b{k}"), F.lit(0)) for k in range(4)), F.lit(0))
+                may = may.join(others, "p", "left").where(F.col("n") + 1e-9 >= PATTERN_SCORE * (F.col("n") + least)).select("p")
+                may = stage.keep(may, "may")
+            if not may.isEmpty():
+                full = edges(toks, may).select("p", "v").unionByName(base.join(may, "p", "left_semi").select("p", "v")).distinct()
+                listed = stage.keep(full if listed is None else listed.unionByName(full), "listed")
+        if listed is None:
+            break
+        patterns = listed.join(scores, "v", "left").groupBy("p")
+        sure = F.coalesce("confidence", F.lit(0.0))
+        patterns = patterns.agg(F.avg(sure).alias("score"), F.sum(F.when(sure >= INSTANCE_SCORE, 1).otherwise(0)).alias("n"))
+        patterns = stage.keep(patterns.where((F.col("score") >= PATTERN_SCORE) & (F.col("n") >= SUPPORT)).select("p", "score"), "patterns")
+        reached = listed.join(patterns, "p").groupBy("v")
+        either = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))
+        reached = stage.keep(reached.agg(F.greatest(F.max("score"), either).alias("reached")), "reached")
+        plain = stage.keep(reached.where("v & 1 = 0").join(scores, "v", "left_anti").select("v"), "plain")
+        if not plain.isEmpty():
+            there = toks.join(few(plain), "v", "left_semi")
+            total = there.groupBy("v").agg(F.count("*").alias("total"))
+            inside = edges(there, patterns).select("v", "row", "at").distinct().groupBy("v").agg(F.count("*").alias("inside"))
+            rare = stage.keep(total.join(inside, "v", "left").where(F.col("total") * PLACES > F.coalesce("inside", F.lit(0))).select("v"), "rare")
+            reached = reached.join(rare, "v", "left_anti")
+        after = scores.join(reached, "v", "full")
+        after = stage.keep(after.select("v", F.greatest("confidence", "reached").alias("confidence")), "scores")
+        fresh = stage.keep(after.join(scores, "v", "left_anti").select("v"), "fresh")
+        scores = after
+    return scores.where(F.col("confidence") >= INSTANCE_SCORE).select("v")
+
+
 def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (row, doc_id) has each input row, spans (row, kind, start, end, value, base) what was found.
 
@@ -76,86 +163,85 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col("text")
     docs = with_text(documents, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
 
-    none = F.array().cast("array<struct<gap:int,val:string>>")
+    def runs(x: Column) -> Column:
+        return F.size(F.split(x, r"\s+", -1)) - 1
+
+    def broken(x: Column) -> Column:
+        """Length up to the end of the last white space, null where there is none."""
+        return F.when(x.rlike(r"\s"), F.length(x) - F.length(F.element_at(F.split(x, r"\s", -1), -1)))
+
+    none = F.array().cast("array<struct<gap:int,val:string,runs:int,broken:int>>")
     found = []
     for kind, pattern in KINDS.items():
         may = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
-        cut = F.transform(matches(text, pattern), lambda z: F.struct(F.length(z["gap"]).alias("gap"), z["val"].alias("val")))
+        cut = F.transform(
+            matches(text, pattern),
+            lambda z: F.struct(F.length(z["gap"]).alias("gap"), z["val"].alias("val"), runs(z["gap"]).alias("runs"), broken(z["gap"]).alias("broken")),
+        )
         found.append(F.when(may, cut).otherwise(none).alias(kind))
-    ends = F.transform(
-        matches(text, TOKEN),
-        lambda z: F.struct(
-            F.length(z["gap"]).alias("gap"),
-            z["val"].alias("val"),
-            F.lower(F.substring(z["gap"], -CONTEXT, CONTEXT)).alias("before"),
-            F.lower(F.substring(z["gap"], 1, CONTEXT)).alias("after"),
-        ),
-    )
-    no_token = F.array().cast("array<struct<gap:int,val:string,before:string,after:string>>")
-    tokens = F.when(text.rlike("[0-9]"), ends).otherwise(no_token).alias("tokens")
-    kept = stage.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *found, tokens), "matches")
+    kept = stage.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *found), "matches", **PACKED)
 
-    # places of matches: gaps and matches before them, summed within the row
+    # places of matches: gaps and matches before them, summed within the row; runs of white space before them number the token
     here = Window.partitionBy("row", "kind").orderBy("at")
     listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in KINDS])
     each = kept.select("row", F.explode(listed).alias("k")).select("row", "k.kind", F.posexplode("k.found").alias("at", "m"))
-    size = F.length("m.val")
-    end = F.sum(F.col("m.gap") + F.coalesce(size, F.lit(0))).over(here)
-    each = each.select("row", "kind", end.alias("end"), size.alias("size"), F.col("m.val").alias("value")).where("value is not null")
+    each = each.select("row", "kind", "at", "m.*", F.coalesce(F.length("val"), F.lit(0)).alias("size"), F.coalesce(runs(F.col("val")), F.lit(0)).alias("inner"))
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(here)).withColumn("start", F.col("end") - F.col("size"))
+    each = each.withColumn("last", F.sum(F.col("runs") + F.col("inner")).over(here)).withColumn("first", F.col("last") - F.col("inner"))
+    each = each.withColumn("in", F.col("start") + broken(F.col("val")))
+    before = F.coalesce(F.greatest(F.max(F.col("start") - F.col("gap") + F.col("broken")).over(here), F.max("in").over(here.rowsBetween(Window.unboundedPreceding, -1))), F.lit(0))
+    each = each.withColumn("head", F.col("start") - before).withColumn("tail", F.col("end") - F.coalesce("in", before))
+    each = each.withColumnRenamed("val", "value").where("value is not null")
     base = each.where(valid(F.col("kind"), F.col("value"))).select(
-        "row", "kind", (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value"
+        "row", "kind", F.col("start").cast("long"), F.col("end").cast("long"), "value", *[F.col(c).cast("int") for c in ("first", "last", "head", "tail")]
     )
     base = stage.keep(base, "base")
 
+    spans = base.groupBy("row").agg(
+        F.collect_list(F.struct("value", "first", "last", "head", "tail")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("taken"),
+    )
+    # only texts with base spans are joined to them
+    def right(kind: str) -> Column:
+        return F.exists(kind, lambda z: F.coalesce(valid(F.lit(kind), z["val"]), F.lit(False)))
+
+    held = F.greatest(*map(right, KINDS))
+    words = kept.where(held).select("row", "text").join(spans.hint("shuffle_hash"), "row", "left")
+    words = words.unionByName(kept.where(~held).select("row", "text"), allowMissingColumns=True)
+    words = words.select("row", "spans", "taken", F.split("text", r"\s+", -1).alias("words"), F.split(F.lower("text"), r"\s+", -1).alias("lower"))
+    core = F.transform("words", lambda x: coded(F.regexp_replace(x, f"{LEAD}|{TRAIL}", "")))
+    free = F.when(F.col("taken").isNull(), F.col("v")).otherwise(F.transform("v", lambda x, i: F.when(~F.array_contains("taken", i), x)))
+    words = words.select("row", "spans", "taken", "words", core.alias("v"), F.transform("lower", lambda x: F.when(x != "", F.xxhash64(x))).alias("w"))
+
+    def edge(s: Column) -> Column:
+        """A base span's hash and patterns; what is joined to it counts as a word if it has letters or digits."""
+        def glued(x: Column) -> Column:
+            return F.when(x.rlike(r"[\p{L}\p{N}]"), F.xxhash64(F.lower(x)))
+
+        front = glued(F.substring(F.get("words", s["first"]), F.lit(1), s["head"]))
+        behind = glued(F.substring(F.get("words", s["last"]), s["tail"] + 1, F.lit(2**31 - 1)))
+        one, two = (F.get("w", s["first"] - k) for k in (1, 2))
+        near, far = F.coalesce(front, one), F.when(front.isNotNull(), one).otherwise(two)
+        return F.struct(coded(s["value"]).alias("v"), patterns_of(near, far, F.coalesce(behind, F.get("w", s["last"] + 1))).alias("ps"))
+
+    units = stage.keep(words.select("row", free.alias("v"), "w", F.transform("spans", edge).alias("edges")), "units", **PACKED)
+    seeds = units.select(F.explode("edges").alias("e")).select("e.v", F.explode_outer("e.ps").alias("p"))
+    reached = stage.keep(learn(stage, units, seeds), "learned")
+
+    # tokens of learned values, and their places in the texts that hold one
+    toks = units.select("row", F.posexplode("v").alias("at", "v")).join(few(reached), "v", "left_semi")
+    toks = stage.keep(toks.select("row", "at"), "tokens")
     here = Window.partitionBy("row").orderBy("at")
-    toks = kept.select("row", F.posexplode("tokens").alias("at", "m"))
-    prior = F.lag("m.val").over(here)
-    end = F.sum(F.col("m.gap") + F.coalesce(F.length("m.val"), F.lit(0))).over(here)
-    toks = toks.select(
-        "row", "at", F.col("m.val").alias("value"), end.cast("long").alias("end"), "m.before",
-        F.lower(prior).alias("prior"), F.lead("m.after").over(here).alias("after"), F.lower(F.lead("m.val").over(here)).alias("next"),
-    ).where("value is not null")
-    left = F.split(F.trim(F.regexp_replace(F.concat_ws(" ", "prior", "before"), r"\s+", " ")), " ")
-    right = F.split(F.trim(F.regexp_replace(F.concat_ws(" ", "after", "next"), r"\s+", " ")), " ")
-    near, far, after = F.element_at(left, -1), F.when(F.size(left) > 1, F.element_at(left, -2)), right[0]
-    # the token without quotes and punctuation around it
-    core = F.regexp_extract("value", r"^[^A-Za-z0-9+(]*(.*?)[^A-Za-z0-9)]*$", 1)
-    lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9+(]*", 0))
-    toks = toks.withColumn("start", F.col("end") - F.length("value") + lead)
-    toks = toks.select(
-        "row", "at", "start", (F.col("start") + F.length(core)).alias("end"), core.alias("value"),
-        F.array_compact(
-            F.array(
-                F.when(near != "", F.concat(F.lit("L "), near)),
-                F.when((near != "") & far.isNotNull(), F.concat_ws(" ", F.lit("LL"), far, near)),
-                F.when(after != "", F.concat(F.lit("R "), after)),
-                F.when((near != "") & (after != ""), F.concat_ws(" ", F.lit("LR"), near, F.lit("_"), after)),
-            )
-        ).alias("patterns"),
-    ).where("value <> ''")
-    spans = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    toks = toks.join(spans, "row", "left")
-    hit = F.exists(F.coalesce("taken", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    toks = stage.keep(toks.withColumn("seed", hit).drop("taken"), "tokens")
-
-    edges = toks.select(F.explode("patterns").alias("pattern"), "value", "seed")
-    edges = stage.keep(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    # an instance that is a seed anywhere is one everywhere
-    seeds = toks.groupBy("value").agg(F.max("seed").cast("double").alias("confidence"))
-    scores = stage.keep(seeds, "seeds")
-    for _ in range(ROUNDS):
-        patterns = edges.join(scores, "value").groupBy("pattern")
-        patterns = patterns.agg(F.avg("confidence").alias("score"), F.sum(F.when(F.col("confidence") >= INSTANCE_SCORE, 1).otherwise(0)).alias("n"))
-        patterns = patterns.where((F.col("score") >= PATTERN_SCORE) & (F.col("n") >= SUPPORT)).select("pattern", "score")
-        reached = edges.join(patterns, "pattern").groupBy("value")
-        reached = reached.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("reached"))
-        scores = scores.join(reached, "value", "left").select(
-            "value", F.greatest("confidence", F.coalesce("reached", F.lit(0.0))).alias("confidence")
-        )
-        scores = stage.keep(scores, "scores")
-    learned = scores.where(F.col("confidence") >= INSTANCE_SCORE).select("value")
-    learned = toks.where(~F.col("seed")).join(learned, "value", "left_semi")
-    learned = learned.select("row", F.lit("id").alias("kind"), "start", "end", "value", F.lit(False).alias("base"))
+    held = kept.select("row", "text").join(few(toks.select("row").distinct()), "row", "left_semi")
+    parts = held.select("row", text.rlike(r"^\s").cast("int").alias("_first"), F.posexplode(matches(text, r"\S+")).alias("at", "m"))
+    end = F.sum(F.length("m.gap") + F.coalesce(F.length("m.val"), F.lit(0))).over(here)
+    parts = parts.select("row", (F.col("at") + F.col("_first")).alias("at"), end.cast("long").alias("end"), F.col("m.val").alias("token")).where("token is not null")
+    value, lead = F.regexp_replace("token", f"{LEAD}|{TRAIL}", ""), F.length(F.regexp_extract("token", LEAD, 0))
+    start = F.col("end") - F.length("token") + lead
+    learned = parts.join(toks, ["row", "at"], "left_semi").select(
+        "row", F.lit("id").alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(False).alias("base")
+    )
+    base = base.select("row", "kind", "start", "end", "value")
     return kept.select("row", "doc_id"), base.withColumn("base", F.lit(True)).unionByName(learned)
 
 

@@ -34,10 +34,10 @@ class Stage:
         self.root = f"{checkpoint_dir(spark)}/arraylens/{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
         return out

@@ -54,5 +54,30 @@ def test_learns_identifiers_from_context(spark):
     assert got[3] == "email:28:50"
 
 
+def learned(spark, texts):
+    """(row, value) of the learned spans."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, spans = extract(df)
+    out = set()
+    for r in spans.where("not base").join(rows, "row").collect():
+        assert texts[r.doc_id][r.start : r.end] == r.value
+        out.add((r.doc_id, r.value))
+    return out
+
+
+def test_seeds_and_finds_without_digits(spark):
+    names = ["ada", "bob", "cyd", "dan", "eve", "fay"]
+    texts = [f"write {n} at <{n}.doe@example.org>, please answer{n}" for n in names]
+    texts += ["write gus at gus_doe please", "  nothing of gus_doe here", "we met at noon", "noon came and noon went", "back before noon"]
+    assert learned(spark, texts) == {(6, "gus_doe"), (7, "gus_doe")}
+
+
+def test_spaced_phones_are_whole_seeds(spark):
+    texts = [f"{w} call +1 (743) 555-{3820 + i} soon{w}" for i, w in enumerate("abcdefg")]
+    texts += [f"{w} tel:+1 (743) 555-{3920 + i}, done{w}" for i, w in enumerate("abcdefg")]
+    texts += ["z call 0800-CALL now", "y tel: desk-ext now"]
+    assert learned(spark, texts) == {(14, "0800-CALL"), (15, "desk-ext")}
+
+
 def test_empty(spark):
     assert span_digests(*extract(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
