@@ -650,8 +650,27 @@ s AS (SELECT b1, b2, count(*) AS n, avg(r1 * r2 + i1 * i2) - (avg(r1) * avg(r2)
 avg(r1 * r1 + i1 * i1) - (pow(avg(r1), 2) + pow(avg(i1), 2)) AS v1, avg(r2 * r2 + i2 * i2) - (pow(avg(r2), 2) + pow(avg(i2), 2)) AS v2 FROM p GROUP BY ALL)
 """
 
+#: All pairs of labels, in both orders and with themselves.
+_PAIR_ALL = _PAIR.replace(" WHERE a.ant < 3 AND b.ant BETWEEN 3 AND 5", "")
+
+
+def _cov_all(spark, sf_dir, corr):
+    s = spectra(spark, sf_dir).withColumnRenamed("ant", "bl")
+    return rounded(calibration.covariance(s, s, corr=corr), "b1", "b2", "n")
+
+
+@query(f"WITH {_PAIR_ALL} SELECT b1, b2, n, round(re, 6) AS re, round(im, 6) AS im FROM s", "ad_spec")
+def bl_cov_all(spark, sf_dir):
+    return _cov_all(spark, sf_dir, False)
+
+
+@query(f"WITH {_PAIR_ALL} SELECT b1, b2, n, round(re / greatest(sqrt(v1 * v2), 1e-10), 6) AS re, round(im / greatest(sqrt(v1 * v2), 1e-10), 6) AS im FROM s", "ad_spec")
+def bl_corr_all(spark, sf_dir):
+    return _cov_all(spark, sf_dir, True)
+
 
 def _cov(spark, sf_dir, corr):
+    """Labels 0 to 2 with 3 to 5, as _PAIR takes them."""
     s = spectra(spark, sf_dir).withColumnRenamed("ant", "bl")
     return rounded(calibration.covariance(s.where("bl < 3"), s.where("bl between 3 and 5"), corr=corr), "b1", "b2", "n")
 

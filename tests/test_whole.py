@@ -61,3 +61,16 @@ def test_searches_use_all_integrations(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["ant_iterative"](spark, str(tmp_path)).count() > 0
     assert "bad" in {r["class"] for r in QUERIES["even_odd_zero_blame"](spark, str(tmp_path)).collect()}
+
+
+def test_covariances_of_all_pairs(spark, vectors):
+    at, z = vectors
+    cov, corr = {}, {}
+    for a in z:
+        for b in z:
+            n = min(len(z[a]), len(z[b]))
+            x, y = z[a][:n].ravel(), z[b][:n].ravel()
+            cov[a, b] = (x * y.conj()).mean() - x.mean() * y.mean().conj()
+            corr[a, b] = cov[a, b] / (x.std() * y.std())
+    for name, want in (("bl_cov_all", cov), ("bl_corr_all", corr)):
+        same({(r.b1, r.b2): complex(r.re, r.im) for r in QUERIES[name](spark, at).collect()}, want)
