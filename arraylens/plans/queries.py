@@ -751,11 +751,25 @@ def delay_fit(spark, sf_dir):
     "ad_spec",
 )
 def delay_std(spark, sf_dir):
+    """Of one channel's real part in place of delays, as its SQL takes it."""
     d = spectra(spark, sf_dir).where("chan = 5").withColumnRenamed("re", "delay")
     ant, _, _ = calibration.delay_std(calibration.delay_fluctuations(d, ["ant"]), ["ant"])
     return rounded(ant.drop("ant_z"), "ant")
 
 
+@query(
+    f"""WITH {_UNWRAP}, dl AS (SELECT ant, time_idx, median(s) / (-2 * pi()) * 1e9 AS v FROM s GROUP BY ALL), md AS (SELECT ant, median(v) AS md FROM dl GROUP BY ant), x AS (SELECT ant, v - md AS v FROM dl JOIN md USING (ant)),
+{_biweight_sql('x', 'ant')} SELECT ant, round((SELECT avg(v) FROM x y WHERE y.ant = bw.ant), 6) AS ant_avg, round(sqrt(midvar), 6) AS ant_std FROM bw""",
+    "ad_spec",
+)
+def delay_std_fitted(spark, sf_dir):
+    """Scatter (ns) of the delays fitted to all channels."""
+    g = spectra(spark, sf_dir).withColumn("freq_hz", 100e6 + F.col("chan") * 1e6)
+    d = calibration.fit_delays(g, ["ant", "time_idx"], "re", "im").withColumn("delay", F.col("delay_s") * 1e9)
+    ant, _, _ = calibration.delay_std(calibration.delay_fluctuations(d, ["ant"]), ["ant"])
+    return rounded(ant.drop("ant_z"), "ant")
+
+
 @query()
 def phase_spectrum(spark, sf_dir):
     return rounded(grouped.phase_spectra(spectra(spark, sf_dir), ["ant"]), "ant", "mode")

@@ -74,3 +74,16 @@ def test_covariances_of_all_pairs(spark, vectors):
             corr[a, b] = cov[a, b] / (x.std() * y.std())
     for name, want in (("bl_cov_all", cov), ("bl_corr_all", corr)):
         same({(r.b1, r.b2): complex(r.re, r.im) for r in QUERIES[name](spark, at).collect()}, want)
+
+
+def test_delay_scatter_is_of_fitted_delays(spark, vectors):
+    at, z = vectors
+    want = {}
+    for a, m in z.items():
+        d = np.median(np.diff(np.unwrap(np.angle(m)), axis=1) / 1e6, axis=1) / (-2 * np.pi) * 1e9
+        v = d - np.median(d)
+        dev = v - np.median(v)
+        u = (dev / (9 * np.median(abs(dev)))) ** 2
+        dev, u = dev[u < 1], u[u < 1]
+        want[a] = v.mean(), np.sqrt(len(v) * (dev**2 * (1 - u) ** 4).sum() / ((1 - u) * (1 - 5 * u)).sum() ** 2)
+    same({r.ant: (r.ant_avg, r.ant_std) for r in QUERIES["delay_std_fitted"](spark, at).collect()}, want)
