@@ -334,9 +334,10 @@ LEFT JOIN ad_wf ON time_idx = t.t AND chan = c.c)
 
 
 def _grid(spark, sf_dir):
-    """The waterfall on its full grid, gaps as 0."""
+    """The waterfall on its full grid from its first to its last day, gaps as 0; _GRID has the 30 days of the given tables."""
     wf = waterfall(spark, sf_dir)
-    grid = spark.range(30 * 24).select(F.expr("int(id div 24)").alias("time_idx"), F.expr("int(id % 24)").alias("chan"))
+    days = wf.agg(F.sequence(F.min("time_idx"), F.max("time_idx")).alias("d")).select(F.explode("d").alias("time_idx"))
+    grid = days.crossJoin(F.broadcast(spark.range(24).select(F.col("id").cast("int").alias("chan"))))
     return grid.join(wf, ["time_idx", "chan"], "left").na.fill(0.0, ["v"])
 
 
@@ -388,7 +389,10 @@ SELECT time_idx, chan, round(z, 6) AS z FROM s WHERE time_idx BETWEEN 0 AND 29 A
     "ad_wf",
 )
 def detrend_meanfilt(spark, sf_dir):
-    return rounded(windows.detrend_mean_filter(_grid(spark, sf_dir), kt=2, kf=2).drop("v"), "time_idx", "chan")
+    g = _grid(spark, sf_dir)
+    g = g.crossJoin(F.broadcast(g.agg(F.min("time_idx").alias("_low")))).withColumn("time_idx", F.col("time_idx") - F.col("_low"))  # the filter's indices run from 0
+    z = windows.detrend_mean_filter(g, kt=2, kf=2).withColumn("time_idx", F.col("time_idx") + F.col("_low"))
+    return rounded(z.drop("v", "_low"), "time_idx", "chan")
 
 
 @query(

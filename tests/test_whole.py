@@ -1,5 +1,7 @@
 """Array queries read all of their tables, held against brute force on small ones."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 
@@ -87,3 +89,24 @@ def test_delay_scatter_is_of_fitted_delays(spark, vectors):
         dev, u = dev[u < 1], u[u < 1]
         want[a] = v.mean(), np.sqrt(len(v) * (dev**2 * (1 - u) ** 4).sum() / ((1 - u) * (1 - 5 * u)).sum() ** 2)
     same({r.ant: (r.ant_avg, r.ant_std) for r in QUERIES["delay_std_fitted"](spark, at).collect()}, want)
+
+
+GRID = "detrend_deriv detrend_medfilt detrend_meanfilt detrend_medminfilt channel_diff_flags xrfi_waterfall simple_flag_waterfall dpss_flags".split()
+
+
+@pytest.fixture(scope="module")
+def days(spark, tmp_path_factory):
+    """Events from 29 December to 4 February, with a spike on the last day."""
+    at, rng, n = tmp_path_factory.mktemp("days"), np.random.default_rng(7), 38
+    rows = [(24 * d + h, 0, datetime(2023, 12, 29) + timedelta(days=d, hours=h), 900.0 if (d, h) == (n - 1, 12) else float(rng.normal(50, 1))) for d in range(n) for h in range(24)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(f"{at}/events.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", GRID)
+def test_grids_have_all_days(spark, days, name):
+    rows = QUERIES[name](spark, days).collect()
+    assert {r.time_idx for r in rows} == set(range(-3, 35))
+    spike = next(r for r in rows if (r.time_idx, r.chan) == (34, 12))
+    if name in ("detrend_medfilt", "detrend_meanfilt", "xrfi_waterfall"):
+        assert spike.flag if "flag" in spike else abs(spike.z) > 3  # the mirrored spike is 2 of 25 samples: 3.5 at most by means
