@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arraylens.llm.staging import TEXT_ROWS, arrow_rows, with_text
+from arraylens.llm.staging import bound_batches, with_text
 
 #: Distinct words kept by one Python worker, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
@@ -317,7 +317,7 @@ def encode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     kept, other columns ignored; an empty table gives an empty table.
     """
     spark = documents.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # one vocabulary file
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -336,7 +336,7 @@ def encode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, text) of each row; null ids give a null text, no ids an empty one."""
     spark = encoded.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])

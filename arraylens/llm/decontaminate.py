@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arraylens.llm.shingles import blocks, join_words, shingle_sets, utf8, words
-from arraylens.llm.staging import NUMBER_ROWS, TEXT_ROWS, Stage, arrow_rows, with_text
+from arraylens.llm.staging import Stage, bound_batches, with_text
 
 #: Most shingles of all items that tasks get as one broadcast table (16 bytes each); above it items are joined by shuffle.
 BROADCAST_SHINGLES = 1 << 21
@@ -80,7 +80,7 @@ def find_leaks(
     """
     spark = documents.sparkSession
     stage = Stage(spark)
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     docs = with_text(documents, doc_col).where("doc_id is not null and text is not null")
     given = with_text(items, item_col).where("doc_id is not null and text is not null").distinct()
     # a repeated id with another text is another item
@@ -132,7 +132,6 @@ def find_leaks(
                 for doc, s in zip(batch.column(0).to_pylist(), runs(batch.column(1), several), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc, np.int64)), pa.array(s.view(np.int64))], names=["doc_id", "shingle"])
 
-        arrow_rows(spark, NUMBER_ROWS)
         sketches = table.withColumn("u", F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))))
         place = F.row_number().over(Window.partitionBy("item").orderBy("u"))
         sketches = sketches.withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)

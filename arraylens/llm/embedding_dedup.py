@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arraylens.llm.components import connected_components
-from arraylens.llm.staging import NUMBER_ROWS, Stage, arrow_rows
+from arraylens.llm.staging import Stage, bound_batches
 
 #: Vectors of a tile. A tile pair takes TILE * TILE doubles of memory.
 TILE = 1024
-#: Rows of an Arrow batch that hold whole tiles.
-TILE_ROWS = 2
 #: Shares of the components after which products are held against the bound.
 STEPS = (0.125, 0.25, 0.5, 1.0)
 #: Groups in which the partial covariances of tasks are added up before the last sum.
@@ -182,7 +180,7 @@ def embedding_duplicates(
     """
     spark = embeddings.sparkSession
     stage = Stage(spark)
-    arrow_rows(spark, NUMBER_ROWS)
+    bound_batches(spark)
     given = embeddings.select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"),
         F.col(f"`{vector_col}`").cast("array<double>").alias("v"),
@@ -215,7 +213,6 @@ def embedding_duplicates(
     parts = max(1, -(-turned.count() // (4 * TILE)))
     dealt = turned.repartitionByRange(parts, "label", "dim", "first").sortWithinPartitions("label", "dim", "first")
     run, ddl = _tiles(bases, TILE)
-    arrow_rows(spark, 2 * TILE)
     tiles = stage.keep(dealt.mapInArrow(run, ddl), "tiles")
     marks = tiles.select("tile", "label", "dim", "lo", "hi")
     chord = float(np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9)
@@ -226,10 +223,8 @@ def embedding_duplicates(
     for side in "ab":
         body = tiles.select(F.col("tile").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("ids", "weights", "rows")])
         pairs = pairs.join(body, side)
-    arrow_rows(spark, TILE_ROWS)
     run, ddl = _links(least)
     found = stage.keep(pairs.mapInArrow(run, ddl), "found")
-    arrow_rows(spark, NUMBER_ROWS)
     parts = connected_components(found.where("node <> root"), stage, "node", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     per = same.join(counts, F.col("rep") == F.col("node"), "left").drop("node")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arraylens.llm.quality import held_out
-from arraylens.llm.staging import TEXT_ROWS, arrow_rows, with_text
+from arraylens.llm.staging import bound_batches, with_text
 
 #: N-grams of a profile.
 RANKS = 300
@@ -95,7 +95,7 @@ def train(documents: DataFrame, ranks: int = RANKS) -> Profiles:
     Tasks hand on counts of n-grams, not texts; the driver gets `ranks` rows a language.
     """
     spark = documents.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     docs = documents.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"), 4, 2))
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
@@ -149,7 +149,7 @@ def identify(documents: DataFrame, ranks: int = RANKS) -> DataFrame:
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(train(documents, ranks))
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

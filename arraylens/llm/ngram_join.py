@@ -5,7 +5,9 @@
    shingles in a table of fixed size. Equal sets become one class.
 2. Shingles are ordered by their counted frequency, then by hash: any fixed
    order is exact, a rare-first one keeps posting lists short. Each set sends
-   its prefix of |x| - ceil(t|x|) + 1 first shingles, once a task and set.
+   its prefix of |x| - ceil(t|x|) + 1 first shingles, once a task and set. The
+   lists of shingles that are counted often are dealt over SALTS tasks each,
+   in all joins that follow.
 3. Posting lists of two documents and more are kept. Rounds of stars link the
    members of each list to a few drawn pivots; members that a link already
    connects are never paired again. What stars leave apart is then joined in
@@ -26,12 +28,17 @@ from pyspark.sql import functions as F
 
 from arraylens.llm.components import connected_components
 from arraylens.llm.shingles import mix, overlap, shingle_sets
-from arraylens.llm.staging import NUMBER_ROWS, TEXT_ROWS, Stage, arrow_rows, with_text
+from arraylens.llm.staging import Stage, bound_batches, with_text
 
-#: Counters of the frequency table, a fixed size at any scale.
-COUNTERS = 1 << 16
+#: Counters of the frequency table, a fixed size at any scale, by the highest bits of a shingle.
+COUNTER_BITS = 18
+COUNTERS = 1 << COUNTER_BITS
+#: Tasks over which the list of an often counted shingle is dealt.
+SALTS = 32
 #: Longs of the parity signature.
 PARITY = 8
+#: Count from which a list may be dealt over several tasks.
+HOT = 256
 #: Rounds in which lists are linked by stars before the rest is joined in full.
 STAR_ROUNDS = 2
 #: Pivots drawn from a list in a round.
@@ -60,20 +67,21 @@ def _profile(k: int):
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             rows, parts = [], []
             for s in shingle_sets(batch.column(1), k):
-                parts.append(s >> np.uint64(48))
+                parts.append(s >> np.uint64(64 - COUNTER_BITS))
                 rows.append((len(s), *fingerprint(s), *parity(s)))
             if parts:
-                counts += np.bincount(np.concatenate(parts).astype(np.int64), minlength=COUNTERS)
+                held, n = np.unique(np.concatenate(parts).astype(np.int64), return_counts=True)
+                counts[held] += n.astype(np.uint32)
             made = np.array(rows, np.int64).reshape(len(rows), 3 + PARITY)
             nulls = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made.T), *nulls], schema=schema)
         at = np.flatnonzero(counts)
         nulls = [pa.nulls(len(at), pa.int64())] * (4 + PARITY)
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array(at.astype(np.int32)), pa.array(counts[at])], schema=schema)
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], schema=schema)
 
     ddl = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'long'}" for f in schema)
     return run, ddl
@@ -83,32 +91,34 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _prefixes(k: int, num: int, den: int, counts: np.ndarray):
-    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+def _prefixes(k: int, num: int, den: int, counts: np.ndarray, hot: float):
+    """Prefix postings; salt is 0, or 1 to SALTS where the shingle's count is above `hot`."""
+    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("salt", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set = set()
         for batch in batches:
-            tokens, docs, sizes, places = [], [], [], []
+            tokens, docs, sizes, places, salts = [], [], [], [], []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if doc is None or not len(s) or (key := fingerprint(s)) in sent:
                     continue
                 sent.add(key)
                 p = prefix_length(len(s), num, den)
-                often = counts[(s >> np.uint64(48)).astype(np.int64)]
+                often = counts[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 order = np.lexsort((s, often))[:p]
                 tokens.append(s[order].view(np.int64))
                 docs.append(np.full(p, doc, np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
                 places.append(np.arange(p, dtype=np.int32))
+                salts.append(np.where(often[order] > hot, 1 + (doc ^ doc >> 16) % SALTS, 0).astype(np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, docs, sizes, places)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, docs, sizes, places, salts)], schema=schema)
 
-    return run, "token long, doc long, n int, pos int"
+    return run, "token long, doc long, n int, pos int, salt int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token comes twice at least."""
+    """Of rows sorted by token, those whose token comes twice at least or is salted, as its other rows may be elsewhere."""
     held, again = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -116,16 +126,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = batch.column(0).to_numpy()
         same = t[1:] == t[:-1]
         before = np.append(held is not None and held.column(0)[0].as_py() == t[0], same)
-        if held is not None and (again or before[0]):
+        if held is not None and (again or before[0] or held.column(4)[0].as_py()):
             yield held
-        keep = before.copy()
+        keep = before | (batch.column(4).to_numpy() > 0)
         keep[:-1] |= same
         again = bool(before[-1])
         held = batch.slice(len(t) - 1, 1)
         out = batch.slice(0, len(t) - 1).filter(pa.array(keep[:-1]))
         if out.num_rows:
             yield out
-    if held is not None and again:
+    if held is not None and (again or held.column(4)[0].as_py()):
         yield held
 
 
@@ -144,6 +154,12 @@ def _verify(k: int, num: int, den: int):
     return run, "a long, b long, same boolean"
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """One row for each salt that the rows of a token have."""
+    salts = F.when(F.col("salted"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    return lists.withColumn("salt", F.explode(salts)).drop("salted")
+
+
 def _need(num: int, den: int) -> Column:
     """Shingles that a linked pair x, y shares at least."""
     return F.ceil(F.lit(num) * (F.col("x.n") + F.col("y.n")) / F.lit(num + den))
@@ -180,14 +196,15 @@ def near_duplicates(
     spark = documents.sparkSession
     stage = Stage(spark)
     docs = with_text(documents, id_col, text_col)
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     run, ddl = _profile(k)
     profile = stage.keep(docs.mapInArrow(run, ddl), "profile")
     # COUNTERS rows at most, whatever the input
-    rows = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("cnt").alias("c")).collect()
+    rows = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("cnt").alias("c")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        counts[r["bucket"]] = r["c"]
+    counts[rows.column("bucket").to_numpy()] = rows.column("c").to_numpy()
+    # well above what a counter holds by chance, and a good part of a shuffled partition
+    hot = max(HOT, 4 * counts.mean(), counts.sum() * (den - num) / den / (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))) / 8)
 
     meta = profile.where("bucket is null")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("fp", "fq", "n").agg(F.min("doc_id").alias("rep"))
@@ -195,20 +212,20 @@ def near_duplicates(
         meta.join(classes, ["fp", "fq", "n"], "left").select("doc_id", "n", "rep", *_SIDES), "classes"
     )
 
-    run, ddl = _prefixes(k, num, den, counts)
-    postings = docs.mapInArrow(run, ddl).repartition(F.col("token")).sortWithinPartitions("token")
+    run, ddl = _prefixes(k, num, den, counts, hot)
+    postings = docs.mapInArrow(run, ddl).repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token")
     shared = stage.keep(postings.mapInArrow(_shared, ddl), "postings")
     stage.drop(profile)
     nodes = known.where("rep is not null")
     same = nodes.select(F.col("doc_id").alias("doc"), "n", "rep").distinct()
-    shared = shared.join(same, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos")
+    salt = F.when(F.col("salt") > 0, 1 + F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    shared = shared.join(same, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos", salt)
     lists = stage.keep(shared.distinct(), "lists")
     sides = nodes.where("doc_id = rep").select(F.col("rep").alias("doc"), "n", *_SIDES).distinct()
 
     # texts of the documents in lists, once; the others are not needed again
     ids = lists.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash")
     texts = stage.keep(docs.join(ids, "doc_id", "left_semi"), "texts")
-    arrow_rows(spark, NUMBER_ROWS)
 
     # a doc_id with several texts joins their classes
     ids = known.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi"))
@@ -216,26 +233,28 @@ def near_duplicates(
     found: list[DataFrame] = []  # verified pairs, one table a round
     parts = None
     for r in range(STAR_ROUNDS + 1):
-        here = lists.select("token", "doc", "n", "pos", F.col("doc").alias("component"))
+        here = lists.select("token", "doc", "n", "pos", "salt", F.col("doc").alias("component"))
         if parts is not None:
             here = here.drop("component").join(parts, F.col("doc") == F.col("node"), "left").drop("node")
             here = here.withColumn("component", F.coalesce("component", "doc"))
         # a pair's first common shingle lies among the first n - ceil(2t/(1+t) n) + 1 of the smaller set
         index = F.max(F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)))
-        open_ = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), index.alias("i"))
-        open_ = open_.where("lo < hi and i").select("token")
-        here = lists = stage.keep(here.join(open_, "token", "left_semi"), "open")
+        salted = F.max(F.col("salt") > 0).alias("salted")
+        open_ = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), index.alias("i"), salted)
+        open_ = _dealt(open_.where("lo < hi and i").select("token", "salted"))
+        here = lists = stage.keep(here.join(open_, ["token", "salt"], "left_semi"), "open")
         if here.isEmpty():
             break
         if r < STAR_ROUNDS:
             row = F.struct("doc", "n", "pos", "component")
             drawn = [F.min_by(row, F.xxhash64("doc", F.lit(PIVOTS * r + i))) for i in range(PIVOTS)]
-            pivots = here.groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("p"))
-            pivots = pivots.select("token", F.explode("p").alias("p")).select("token", "p.*")
-            pairs = here.alias("x").join(pivots.alias("y"), "token")
+            pivots = here.groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("p"), salted)
+            pivots = _dealt(pivots.select("token", "salted", F.explode("p").alias("p")).select("token", "salted", "p.*"))
+            pairs = here.alias("x").join(pivots.alias("y"), ["token", "salt"])
             pairs = pairs.where((F.col("x.component") != F.col("y.component")) & _close(num, den))
         else:
-            pairs = here.alias("x").join(here.alias("y"), "token")
+            others = _dealt(here.withColumn("salted", F.col("salt") > 0).drop("salt"))
+            pairs = here.alias("x").join(others.alias("y"), ["token", "salt"])
             pairs = pairs.where((F.col("x.component") < F.col("y.component")) & _close(num, den))
         pairs = pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
         pairs = pairs.join(sides.alias("x"), F.col("x.doc") == F.col("a")).join(sides.alias("y"), F.col("y.doc") == F.col("b"))
@@ -246,9 +265,7 @@ def near_duplicates(
         run, ddl = _verify(k, num, den)
         first_text = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         second_text = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        arrow_rows(spark, TEXT_ROWS)
         checked = stage.keep(pairs.join(first_text, "a").join(second_text, "b").mapInArrow(run, ddl), "checked")
-        arrow_rows(spark, NUMBER_ROWS)
         stage.drop(pairs)
         found.append(checked)
         good = checked.where("same").select(F.col("a").alias("src"), F.col("b").alias("dst"))

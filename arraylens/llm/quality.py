@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arraylens.llm.shingles import blocks, join_words, utf8, words
-from arraylens.llm.staging import TEXT_ROWS, arrow_rows, with_text
+from arraylens.llm.staging import bound_batches, with_text
 
 #: Most labelled rows that trees are grown on; beyond it the rows with the smallest id hashes are taken.
 TRAIN_ROWS = 20_000
@@ -175,7 +175,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
     labels counts by their mean. Texts are found by a broadcast of `rows` ids at
     most. Without labels every text gets 0.5.
     """
-    arrow_rows(documents.sparkSession, TEXT_ROWS)
+    bound_batches(documents.sparkSession)
     y = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     y = y.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     y = y.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
@@ -197,7 +197,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
 def score(documents: DataFrame, model: Trees, out: str = "score", text_col: str = "text") -> DataFrame:
     """documents with a probability of quality 1; null and empty texts are scored as empty, other columns kept."""
     spark = documents.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     documents = documents.drop(out) if out in documents.columns else documents
     shared = spark.sparkContext.broadcast(model)
     names = documents.columns

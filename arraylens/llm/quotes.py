@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arraylens.llm.staging import NUMBER_ROWS, TEXT_ROWS, Stage, arrow_rows
+from arraylens.llm.staging import Stage, bound_batches
 
 MARK = re.compile(r"[ \t]*(?:>[ \t]?)+")
 #: Last line before a quote that names its author.
@@ -141,14 +141,13 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     spark = messages.sparkSession
     stage = Stage(spark)
-    arrow_rows(spark, TEXT_ROWS)
+    bound_batches(spark)
     given = messages.select(
         F.col(f"`{conv_col}`").cast("long").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
         F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"),
     )
     ddl = "conv long, turn long, role string, body string, own array<struct<hash:long,size:int>>, quotes array<struct<level:int,keys:array<struct<hash:long,size:int>>>>"
     parsed = stage.keep(given.mapInArrow(_parsed, ddl), "parsed")
-    arrow_rows(spark, NUMBER_ROWS)
     whole = parsed.where("conv is not null and turn is not null")
     rows = stage.keep(numbered(whole, stage, "conv", ["turn", "role", "body"], "at").withColumnRenamed("_seq", "node"), "rows")
 
@@ -158,7 +157,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     quotes = rows.select("node", "conv", F.posexplode("quotes").alias("passage", "q"))
     quotes = quotes.select("node", "conv", "passage", "q.level", F.explode("q.keys").alias("k"))
     quotes = quotes.select("node", "conv", "passage", "level", "k.hash", "k.size")
-    hits = quotes.join(near, ["conv", "hash"], "left").join(far, "hash", "left")
+    # kept, so that the rows of an often quoted passage can be split over tasks where they meet its writer
+    far = stage.keep(far.join(quotes.select("hash").distinct(), "hash", "left_semi"), "writers")
+    quotes = stage.keep(quotes.join(near, ["conv", "hash"], "left"), "quotes")
+    hits = quotes.join(far, "hash", "left")
     near_ok, far_ok = F.col("near") < F.col("node"), F.col("far") < F.col("node")
     hits = hits.withColumn("source", F.when(near_ok, F.col("near")).when(far_ok, F.col("far"))).where("source is not null")
     best = F.max_by(F.struct("source", "size", "level"), F.struct(near_ok.cast("int"), "size", -F.col("source"))).alias("b")

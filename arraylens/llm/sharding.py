@@ -5,7 +5,9 @@ w_c, the row draws u_c in (0, 1) from the hash of its key and the child's path
 and goes to the child with the smallest -ln(u_c) / w_c, which is child c with
 probability w_c / sum(w). A draw depends on nothing but the key and the path:
 when a weight changes, the draws of all other children stay, so rows move only
-into or out of the subtree whose weight has changed.
+into or out of the subtree whose weight has changed. A place in the tree may be
+closed: rows that reach it go on to the open shard that wins a flat draw, so
+opening it moves rows into it and nowhere else.
 """
 
 from __future__ import annotations
@@ -27,18 +29,21 @@ class Shard:
     rack: str
     number: int
     weight: float = 1.0
+    closed: bool = False  # keeps its place and weight in the tree but holds nothing
 
 
 def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, base: int = 8) -> list[Shard]:
-    """`shards` equal shards: the first `base` fill regions and racks, each later one opens a region of its own.
+    """`shards` equal shards: `base` places in regions and racks, closed beyond `shards`; each later one is a region of its own.
 
-    A shard that is added thus changes no weight but that of its new region, and
-    takes rows only into itself.
+    One more shard opens a closed place, whose weight stood before, or adds a
+    region: either way it takes rows only into itself.
     """
+    if shards < 1:
+        raise ValueError("there must be a shard")
     out = []
-    for i in range(min(shards, base)):
+    for i in range(base):
         rack = i // shards_per_rack
-        out.append(Shard(f"region{rack // racks_per_region}", f"rack{rack}", i))
+        out.append(Shard(f"region{rack // racks_per_region}", f"rack{rack}", i, closed=i >= shards))
     return out + [Shard(f"added{i}", f"added{i}", i) for i in range(base, shards)]
 
 
@@ -49,7 +54,7 @@ def draw(key: Column, path: str, weight: float) -> Column:
 
 
 def descend(key: Column, shards: list[Shard]) -> Column:
-    """Number of the shard that a key reaches."""
+    """Number of the shard that a key reaches; from a closed one it goes on to the open one with the best draw of all."""
 
     def pick(children: list[tuple[str, float, Column]]) -> Column:
         if len(children) == 1:
@@ -67,6 +72,10 @@ def descend(key: Column, shards: list[Shard]) -> Column:
             regions.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
     if not regions:
         raise ValueError("no shard has a weight above 0")
+    lost = [s.number for s in shards if s.weight > 0 and s.closed]
+    still = [(f"again/{s.region}/{s.rack}/{s.number}", s.weight, F.lit(s.number)) for s in shards if s.weight > 0 and not s.closed]
+    if not still:
+        raise ValueError("no shard is open")
     top = []
     for region, racks in regions.items():
         middle = []
@@ -74,7 +83,8 @@ def descend(key: Column, shards: list[Shard]) -> Column:
             low = [(f"{region}/{rack}/{s.number}", s.weight, F.lit(s.number)) for s in leaves]
             middle.append((f"{region}/{rack}", sum(s.weight for s in leaves), pick(low)))
         top.append((region, sum(s.weight for x in racks.values() for s in x), pick(middle)))
-    return pick(top)
+    found = pick(top)
+    return F.when(found.isin(*lost), pick(still)).otherwise(found) if lost else found
 
 
 def assign(df: DataFrame, key: str, shards: list[Shard], out: str = "shard") -> DataFrame:

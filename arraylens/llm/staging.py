@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: few where rows hold whole texts, more where they are a few numbers.
-TEXT_ROWS, NUMBER_ROWS = 256, 16384
+#: Bytes of an Arrow batch, whatever rows hold: a row of a number or a whole text, one row at least.
+BATCH_BYTES = 1 << 22
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one where unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where unset, a temporary one on a local master and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="arraylens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,11 +55,21 @@ class Stage:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in the Arrow batches of the stages that are run next."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) != str(rows):
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes. It is one value for all stages, so a lazy result runs as it was planned."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores added while they clash with `names` in any case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arraylens.llm.line_dedup import dedup_lines
 
@@ -33,9 +34,9 @@ def brute(rows, least):
 
 
 def got(spark, rows, least):
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as _row", "2 as row", "'c' as rank", "doc_id as x", "1 as n")
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as _row", "2 as row", "'c' as rank", "doc_id as x", "1 as n", "3 as _spans", "4 as _Row_")
     out = dedup_lines(df, least)
-    assert out.columns == ["doc_id", "text", "row", "rank", "x", "n", "_lines", "_removed", "_runs"]
+    assert out.columns == ["doc_id", "text", "_row", "row", "rank", "x", "n", "_spans", "_Row_", "_lines", "_removed", "_runs"]
     found = out.collect()
     assert all(sum(s.last - s.first + 1 for s in r._runs) == r._removed for r in found)
     return sorted(((r.doc_id, r.text, r._lines, r._removed) for r in found), key=str)
@@ -62,3 +63,21 @@ def test_long_runs_and_empty_table(spark):
     found = got(spark, rows, 25)
     assert [(r[0], r[3]) for r in sorted(found)] == [(1, 0), (2, 3000), (3, 0), (4, 1)]
     assert got(spark, [], 25) == []
+
+
+def test_an_aggregate_gives_the_same_rows_as_its_table(spark, tmp_path):
+    rng = random.Random(5)
+    lines = [" ".join(f"w{rng.randrange(50)}" for _ in range(9)) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(300)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = given.groupBy("doc_id").agg(F.first("text").alias("text"))
+    given.write.parquet(f"{tmp_path}/t")
+    want = sorted(map(tuple, dedup_lines(spark.read.parquet(f"{tmp_path}/t")).select("doc_id", "text", "_removed").collect()))
+    assert sorted(map(tuple, dedup_lines(made).select("doc_id", "text", "_removed").collect())) == want
+    assert want == sorted((d, t, n) for d, t, _, n in brute(sorted(rows), 25))
+
+
+def test_a_run_longer_than_its_first_window_is_one_run(spark):
+    text = "\n".join(f"some line number {i} here" for i in range(40))
+    found = dedup_lines(spark.createDataFrame([(1, text), (2, f"a\n{text}\nb"), (3, text[:300])], "doc_id long, text string")).collect()
+    assert {r.doc_id: [(x.first, x.last) for x in r._runs] for r in found} == {1: [], 2: [(1, 40)], 3: [(0, text[:300].count("\n") - 1)]}

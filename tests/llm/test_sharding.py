@@ -25,7 +25,11 @@ def brute(key, shards):
     racks = list(regions[r])
     k = racks[pick([(f"{r}/{n}", sum(s.weight for s in regions[r][n])) for n in racks])]
     leaves = regions[r][k]
-    return leaves[pick([(f"{r}/{k}/{s.number}", s.weight) for s in leaves])].number
+    found = leaves[pick([(f"{r}/{k}/{s.number}", s.weight) for s in leaves])]
+    if not found.closed:
+        return found.number
+    still = [s for s in shards if s.weight and not s.closed]
+    return still[pick([(f"again/{s.region}/{s.rack}/{s.number}", s.weight) for s in still])].number
 
 
 def test_matches_brute_force_and_law(spark):
@@ -61,3 +65,16 @@ def test_weights_move_rows_only_across_the_changed_subtree(spark):
 
 def test_empty(spark):
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_more_shard_takes_rows_only_into_itself_at_every_count(spark):
+    df = spark.range(6000)
+    for n in range(1, 14):
+        df = assign(df, "id", tree(n), f"s{n}")
+    rows = df.collect()
+    for n in range(1, 13):
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for r in rows), n
+    for n in range(1, 14):
+        sizes = Counter(r[f"s{n}"] for r in rows)
+        assert set(sizes) == set(range(n)) and max(sizes.values()) < 1.25 * 6000 / n, n
+    assert all(r.s5 == brute(r.id, tree(5)) for r in rows[:500])
