@@ -4,9 +4,12 @@ An item of n shingles is contained where a document has ceil(c * n) of them or
 more. Of the item's shingles, those with the smallest hash values are its
 sketch: as many as n - ceil(c * n) + 1, so a document that lacks the whole
 sketch lacks too many shingles to contain the item. Items are partitioned by
-size, and each partition's sketch length follows its sizes, so short items get
-the short sketches that long documents can be probed with. Each hit is verified
-by exact containment of all the item's shingles. Nothing is lost to chance.
+size, by powers of two. Each partition has one table of its sketch values and
+their largest one, which bounds the sketch of documents too: only a document's
+shingles up to that value are looked up in the table, and none if the document
+has fewer shingles than the partition's least need. The cost of a document thus
+follows its own length and not the number of items. Each hit is verified by
+exact containment of all the item's shingles. Nothing is lost to chance.
 """
 
 from __future__ import annotations
@@ -67,6 +70,31 @@ def item_shingles(items: DataFrame, k: int) -> DataFrame:
     return items.mapInArrow(run, "item long, n long, words int, shingle long")
 
 
+def partitions(shingle: np.ndarray, owner: np.ndarray, n: np.ndarray, needs: np.ndarray) -> list[tuple]:
+    """By powers of two of the items' sizes: (least need, sorted sketch values, where each one's items start, items)."""
+    out = []
+    part = np.frexp(n)[1]
+    for c in np.unique(part):
+        mine = part[owner] == c
+        order = np.lexsort((owner[mine], shingle[mine]))
+        values, at = np.unique(shingle[mine][order], return_index=True)
+        out.append((int(needs[part == c].min()), values, np.append(at, len(order)), owner[mine][order]))
+    return out
+
+
+def candidates(s: np.ndarray, tables: list[tuple]) -> np.ndarray:
+    """Items that share a sketch value with the sorted set s of a document's shingles."""
+    found = []
+    for least, values, at, items in tables:
+        if len(s) < least:
+            continue
+        low = s[: np.searchsorted(s, values[-1], "right")]
+        place = np.searchsorted(values, low)  # below len(values), as no value of low is above the last
+        for i in place[values[place] == low]:
+            found.append(items[at[i] : at[i + 1]])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_col: str = "doc_id", item_col: str = "item_id"
 ) -> DataFrame:
@@ -101,20 +129,17 @@ def find_leaks(
         order = np.lexsort((shingle, owner))
         place = np.arange(len(owner)) - starts[owner]
         sketch = order[place <= (n - needs)[owner]]  # the n - need + 1 smallest of each item, by size
-        sketch = sketch[np.argsort(shingle[sketch], kind="stable")]
-        shared = spark.sparkContext.broadcast((shingle[sketch], owner[sketch], shingle, starts, n, needs, item[starts]))
+        tables = partitions(shingle[sketch], owner[sketch], n, needs)
+        shared = spark.sparkContext.broadcast((tables, shingle, starts, n, needs, item[starts]))
         usual = max(lengths)
         several = [*lengths] if usual == k else [*lengths, k]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, owners, all_shingles, first, size, least, names = shared.value
+            tables, all_shingles, first, size, least, names = shared.value
             for batch in batches:
                 rows = []
                 for doc, s in zip(batch.column(0).to_pylist(), runs(batch.column(1), several), strict=True):
-                    if not len(s):
-                        continue
-                    at = np.minimum(np.searchsorted(s, hashes), len(s) - 1)
-                    for i in np.unique(owners[s[at] == hashes]):
+                    for i in candidates(s, tables):
                         own = all_shingles[first[i] : first[i] + size[i]]
                         at_own = np.minimum(np.searchsorted(s, own), len(s) - 1)
                         both = int(np.count_nonzero(s[at_own] == own))
@@ -127,21 +152,35 @@ def find_leaks(
     else:
         several = sorted({*lengths, k})
 
-        def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for doc, s in zip(batch.column(0).to_pylist(), runs(batch.column(1), several), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc, np.int64)), pa.array(s.view(np.int64))], names=["doc_id", "shingle"])
+        def listed(least: int, most: int):
+            """All shingles of each document up to `most`, of documents with `least` or more."""
+
+            def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    docs_, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                    for doc, s in zip(batch.column(0).to_pylist(), runs(batch.column(1), several), strict=True):
+                        if len(s) >= least:
+                            s = s[: np.searchsorted(s, np.uint64(most), "right")]
+                            docs_.append(np.full(len(s), doc, np.int64)), parts.append(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_)), pa.array(np.concatenate(parts).view(np.int64))], names=["doc_id", "shingle"])
+
+            return run_all
 
-        sketches = table.withColumn("u", F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))))
+        ddl = "doc_id long, shingle long"
+        sketches = table.withColumn("u", F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
         place = F.row_number().over(Window.partitionBy("item").orderBy("u"))
         sketches = sketches.withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1)
+        sketches = stage.keep(sketches.select("item", "shingle", "u", F.floor(F.log2("n")).cast("int").alias("part"), need.alias("need")), "sketches")
         every = docs.withColumn("row", F.monotonically_increasing_id())
-        every = stage.keep(every.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "text"), "documents")
-        lists = every.select("doc_id", "text").mapInArrow(run_all, "doc_id long, shingle long")
+        every = stage.keep(every.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "text"), "documents", compression="zstd")
+        # a row for each power of two among the sizes of items
+        bound = sketches.groupBy("part").agg(F.max("u").alias("most"), F.min("need").alias("least")).agg(F.max("most").alias("most"), F.min("least").alias("least")).first()
+        lists = every.select("doc_id", "text").mapInArrow(listed(bound["least"], bound["most"] + (1 << 63)), ddl)
         hits = lists.join(sketches.select("item", "shingle"), "shingle").select("doc_id", "item").distinct()
         hits = stage.keep(hits, "hits")
         wanted = hits.join(table, "item").select("doc_id", "item", "n", "shingle")
-        held = lists.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+        texts = every.select("doc_id", "text").join(hits.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        held = texts.mapInArrow(listed(0, (1 << 64) - 1), ddl)
         found = wanted.join(held, ["doc_id", "shingle"]).groupBy("doc_id", "item", "n").agg(F.count("*").alias("n_shared"))
         found = found.where(F.col("n_shared") >= need).withColumnRenamed("n", "n_item")
         found = found.join(every.select("doc_id", "id"), "doc_id").select(F.col("id").alias("doc_id"), "item", "n_item", "n_shared")

@@ -1,18 +1,21 @@
 """Personal data by bootstrapped contextual extraction (operator 7), DataFrame functions only.
 
 Base patterns find e-mails, IP addresses, cards and phone numbers. Each whole
-base span is a seed instance; the tokens outside of base spans, with digits or
-not, are the others. The words beside an instance are the lexical patterns.
-Patterns and instances form a graph whose scores are iterated: a pattern scores
-the mean confidence of its instances, an instance the noisy-or of its accepted
-patterns. Tokens that accepted patterns reach with high confidence are added as
-spans of kind `id`; a token without digits must also stand in accepted patterns
-in half of its places, so that a common word in one of them is not taken.
+base span is a seed instance, and so is each token shaped like a secret key. The
+other tokens outside of base spans, with digits or not, are candidates. The
+words beside an instance are the lexical patterns. Patterns and instances form a
+graph whose scores are iterated until they settle: a pattern scores the mean
+confidence of its instances, an instance the noisy-or of its accepted patterns.
+Tokens that accepted patterns reach with high confidence are added as spans of
+kind `id`; a token without digits must also stand in accepted patterns in half
+of its places, so that a common word in one of them is not taken.
 
 The graph has an edge for each token and pattern, so only what can matter is
 listed: a pattern with few confident instances, or with too many others, can't
-be accepted. The others are bounded from below by a fixed bitmap of their
-hashes, which never drops a pattern that could pass.
+be accepted. The others are estimated by a sketch of their distinct values,
+partially aggregated, with a margin of many times its error; what is left is
+listed and counted exactly. Tokens are never stored: each pass that needs them
+cuts the texts anew.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: What is cut off a token, in front and behind.
 LEAD, TRAIL = r"^[^\p{L}\p{N}+(]++", r"(?<![^\p{L}\p{N})])[^\p{L}\p{N})]++$"
 
-#: Rounds of scoring, instances that a pattern needs, and the scores to be accepted.
-ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 5, 0.8, 0.8
+#: A token of this shape is a seed: letters and digits mixed, as keys and hashes are.
+SECRET = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/=_-]{24,}$"
+#: Instances that a pattern needs, and the scores to be accepted.
+SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 5, 0.8, 0.8
+#: Error of the sketch of a pattern's other instances, and the factor and number that they must exceed for it to be dropped.
+SKETCH, MARGIN, SPARE = 0.05, 1.5, 16
 #: Share of the places of a token without digits that accepted patterns must reach.
 PLACES = 0.5
 #: Rows of a set of hashes that are still broadcast.
@@ -77,8 +84,9 @@ def valid(kind: Column, val: Column) -> Column:
 
 
 def coded(value: Column) -> Column:
-    """Hash of an instance; the lowest bit says whether it has digits."""
-    return F.when(value != "", F.xxhash64(value).bitwiseAND(F.lit(-2)).bitwiseOR(value.rlike("[0-9]").cast("long")))
+    """Hash of an instance; the lowest bit says whether it has digits, the next whether it is shaped like a secret."""
+    bits = value.rlike("[0-9]").cast("long") + F.when((F.length(value) >= 24) & value.rlike(SECRET), 2).otherwise(0)
+    return F.when(value != "", F.xxhash64(value).bitwiseAND(F.lit(-4)).bitwiseOR(bits))
 
 
 def patterns_of(near: Column, far: Column, after: Column) -> Column:
@@ -98,8 +106,18 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
-    """(v) of the values that accepted patterns reach, seeds too; units has v and w by token, base the edges (p, v) of the seeds."""
+def total(df: DataFrame, *names: str) -> tuple:
+    """Rows and a sum of hashes, equal for equal tables; numbers count to two digits."""
+    kinds = dict(df.dtypes)
+    parts = [F.round(c, 2) if kinds[c] == "double" else F.col(c) for c in names]
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))).first())
+
+
+def learn(stage: Stage, units: DataFrame) -> DataFrame:
+    """(v) of the values that accepted patterns reach, seeds too; units has v and w by token and the edges (v, ps) of base spans.
+
+    units is read anew in each pass. Scores only rise, so the rounds end.
+    """
     at = F.transform("v", lambda v, i: F.struct(i.alias("at"), v.alias("v"), *[F.get("w", i + k).alias(n) for n, k in (("near", -1), ("far", -2), ("after", 1))]))
     toks = units.select("row", F.explode(F.filter(at, lambda t: t["v"].isNotNull())).alias("t"))
     toks = toks.select("row", "t.at", "t.v", patterns_of(F.col("t.near"), F.col("t.far"), F.col("t.after")).alias("ps"))
@@ -108,10 +126,14 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
         e = t.select("row", "at", "v", F.explode("ps").alias("p"))
         return e if kept is None else e.join(few(kept.select("p")), "p", "left_semi")
 
+    shaped = F.transform(F.filter(at, lambda t: t["v"].bitwiseAND(F.lit(2)) != 0), lambda t: F.struct(t["v"].alias("v"), patterns_of(t["near"], t["far"], t["after"]).alias("ps")))
+    seeds = F.concat(F.coalesce("edges", F.array().cast("array<struct<v:bigint,ps:array<bigint>>>")), shaped)
+    base = units.select(F.explode(seeds).alias("e")).select("e.v", F.explode_outer("e.ps").alias("p"))
+    base = stage.keep(base.distinct(), "seeds")
     scores = stage.keep(base.select("v").distinct().withColumn("confidence", F.lit(1.0)), "scores")
-    base = known = stage.keep(base.where("p is not null").distinct(), "edges")
-    listed = fresh = None
-    for _ in range(ROUNDS):
+    base = known = base.where("p is not null")
+    listed = fresh = before = placed = rare = None
+    while True:
         if fresh is None or not fresh.isEmpty():
             if fresh is not None:
                 found = edges(toks.join(few(fresh), "v", "left_semi")).select("p", "v")
@@ -120,11 +142,9 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
             may = stage.keep(may if listed is None else may.join(listed.select("p").distinct(), "p", "left_anti"), "may")
             if not may.isEmpty():
                 others = edges(toks.join(few(scores.select("v")), "v", "left_anti"), may)
-                bits = [F.expr(f"bit_or(if((v >> 7) & 3 = {k}, shiftleft(1L, int((v >> 1) & 63)), 0L))") for k in range(4)]
-                others = others.groupBy("p").agg(*[b.alias(f"b{k}") for k, b in enumerate(bits)])
-                least = sum((F.coalesce(F.bit_count(f"b{k}"), F.lit(0)) for k in range(4)), F.lit(0))
-                may = may.join(others, "p", "left").where(F.col("n") + 1e-9 >= PATTERN_SCORE * (F.col("n") + least)).select("p")
-                may = stage.keep(may, "may")
+                others = others.groupBy("p").agg(F.approx_count_distinct("v", SKETCH).alias("others"))
+                most = MARGIN * F.col("n") * (1 - PATTERN_SCORE) / PATTERN_SCORE + SPARE
+                may = stage.keep(may.join(others, "p", "left").where(F.coalesce("others", F.lit(0)) <= most).select("p"), "may")
             if not may.isEmpty():
                 full = edges(toks, may).select("p", "v").unionByName(base.join(may, "p", "left_semi").select("p", "v")).distinct()
                 listed = stage.keep(full if listed is None else listed.unionByName(full), "listed")
@@ -139,15 +159,22 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
         reached = stage.keep(reached.agg(F.greatest(F.max("score"), either).alias("reached")), "reached")
         plain = stage.keep(reached.where("v & 1 = 0").join(scores, "v", "left_anti").select("v"), "plain")
         if not plain.isEmpty():
-            there = toks.join(few(plain), "v", "left_semi")
-            total = there.groupBy("v").agg(F.count("*").alias("total"))
-            inside = edges(there, patterns).select("v", "row", "at").distinct().groupBy("v").agg(F.count("*").alias("inside"))
-            rare = stage.keep(total.join(inside, "v", "left").where(F.col("total") * PLACES > F.coalesce("inside", F.lit(0))).select("v"), "rare")
+            here = total(patterns, "p"), total(plain, "v")
+            if here != placed:  # else their places are known
+                placed = here
+                there = toks.join(few(plain), "v", "left_semi")
+                all_ = there.groupBy("v").agg(F.count("*").alias("total"))
+                inside = edges(there, patterns).select("v", "row", "at").distinct().groupBy("v").agg(F.count("*").alias("inside"))
+                rare = stage.keep(all_.join(inside, "v", "left").where(F.col("total") * PLACES > F.coalesce("inside", F.lit(0))).select("v"), "rare")
             reached = reached.join(rare, "v", "left_anti")
         after = scores.join(reached, "v", "full")
         after = stage.keep(after.select("v", F.greatest("confidence", "reached").alias("confidence")), "scores")
         fresh = stage.keep(after.join(scores, "v", "left_anti").select("v"), "fresh")
         scores = after
+        now = total(scores, "v", "confidence")
+        if now == before:
+            break
+        before = now
     return scores.where(F.col("confidence") >= INSTANCE_SCORE).select("v")
 
 
@@ -157,7 +184,9 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     start and end count code points, end exclusive. Base spans are leftmost and
     non-overlapping within a kind and checked after matching; learned spans have
     kind `id` and overlap no base span. Null and empty texts have no spans;
-    repeated rows have each their own; other columns are ignored.
+    repeated rows have each their own; texts of any length are read whole; ties
+    don't arise, as all matches and tokens are judged alike; an empty table gives
+    empty tables; other columns, whatever their names, are ignored.
     """
     stage = Stage(documents.sparkSession)
     text = F.col("text")
@@ -206,9 +235,11 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.exists(kind, lambda z: F.coalesce(valid(F.lit(kind), z["val"]), F.lit(False)))
 
     held = F.greatest(*map(right, KINDS))
-    words = kept.where(held).select("row", "text").join(spans.hint("shuffle_hash"), "row", "left")
-    words = words.unionByName(kept.where(~held).select("row", "text"), allowMissingColumns=True)
-    words = words.select("row", "spans", "taken", F.split("text", r"\s+", -1).alias("words"), F.split(F.lower("text"), r"\s+", -1).alias("lower"))
+    rows = kept.where(held).select("row", "doc_id", "text").join(spans.hint("shuffle_hash"), "row", "left")
+    rows = rows.unionByName(kept.where(~held).select("row", "doc_id", "text"), allowMissingColumns=True)
+    rows = stage.keep(rows, "rows", **PACKED)
+    stage.drop(kept)
+    words = rows.select("row", "spans", "taken", F.split("text", r"\s+", -1).alias("words"), F.split(F.lower("text"), r"\s+", -1).alias("lower"))
     core = F.transform("words", lambda x: coded(F.regexp_replace(x, f"{LEAD}|{TRAIL}", "")))
     free = F.when(F.col("taken").isNull(), F.col("v")).otherwise(F.transform("v", lambda x, i: F.when(~F.array_contains("taken", i), x)))
     words = words.select("row", "spans", "taken", "words", core.alias("v"), F.transform("lower", lambda x: F.when(x != "", F.xxhash64(x))).alias("w"))
@@ -224,15 +255,14 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         near, far = F.coalesce(front, one), F.when(front.isNotNull(), one).otherwise(two)
         return F.struct(coded(s["value"]).alias("v"), patterns_of(near, far, F.coalesce(behind, F.get("w", s["last"] + 1))).alias("ps"))
 
-    units = stage.keep(words.select("row", free.alias("v"), "w", F.transform("spans", edge).alias("edges")), "units", **PACKED)
-    seeds = units.select(F.explode("edges").alias("e")).select("e.v", F.explode_outer("e.ps").alias("p"))
-    reached = stage.keep(learn(stage, units, seeds), "learned")
+    units = words.select("row", free.alias("v"), "w", F.transform("spans", edge).alias("edges"))
+    reached = stage.keep(learn(stage, units), "learned")
 
     # tokens of learned values, and their places in the texts that hold one
     toks = units.select("row", F.posexplode("v").alias("at", "v")).join(few(reached), "v", "left_semi")
     toks = stage.keep(toks.select("row", "at"), "tokens")
     here = Window.partitionBy("row").orderBy("at")
-    held = kept.select("row", "text").join(few(toks.select("row").distinct()), "row", "left_semi")
+    held = rows.select("row", "text").join(few(toks.select("row").distinct()), "row", "left_semi")
     parts = held.select("row", text.rlike(r"^\s").cast("int").alias("_first"), F.posexplode(matches(text, r"\S+")).alias("at", "m"))
     end = F.sum(F.length("m.gap") + F.coalesce(F.length("m.val"), F.lit(0))).over(here)
     parts = parts.select("row", (F.col("at") + F.col("_first")).alias("at"), end.cast("long").alias("end"), F.col("m.val").alias("token")).where("token is not null")
@@ -242,25 +272,26 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "row", F.lit("id").alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(False).alias("base")
     )
     base = base.select("row", "kind", "start", "end", "value")
-    return kept.select("row", "doc_id"), base.withColumn("base", F.lit(True)).unionByName(learned)
+    return rows.select("row", "doc_id"), base.withColumn("base", F.lit(True)).unionByName(learned)
 
 
 def span_digests(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_learned, n_spans, base_sha256, spans) of each row."""
     order = F.create_map(*[x for i, k in enumerate([*KINDS, "id"]) for x in (F.lit(k), F.lit(i))])[F.col("kind")]
     one = F.struct(order.alias("o"), "start", "end", "kind", "base")
     per = spans.groupBy("row").agg(
         F.sort_array(F.collect_list(one)).alias("all"),
         *[F.count(F.when((F.col("kind") == k) & F.col("base"), 1)).alias(f"n_{k}") for k in KINDS],
+        F.count(F.when(~F.col("base"), 1)).alias("n_learned"), F.count("*").alias("n_spans"),
     )
 
     def text(which: Column) -> Column:
         return F.concat_ws(",", F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
     per = per.select(
-        "row", *[f"n_{k}" for k in KINDS], text(F.filter("all", lambda s: s["base"])).alias("b"), text(F.col("all")).alias("spans")
+        "row", *[f"n_{k}" for k in KINDS], "n_learned", "n_spans", text(F.filter("all", lambda s: s["base"])).alias("b"), text(F.col("all")).alias("spans")
     )
     return rows.join(per, "row", "left").select(
-        "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (*KINDS, "learned", "spans")],
         F.sha2(F.coalesce("b", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
     )

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from arraylens.llm.pii import extract, span_digests
@@ -81,3 +82,25 @@ def test_spaced_phones_are_whole_seeds(spark):
 
 def test_empty(spark):
     assert span_digests(*extract(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_secrets_are_seeds_and_lead_to_others(spark):
+    draw = random.Random(4)
+    texts = [f'word{i} token = "{draw.randrange(16**40):040x}a1" other{i}' for i in range(8)]
+    texts += ['z token = "hunter2" ok', "nothing here", "token is a word"]
+    found = learned(spark, texts)
+    assert {i for i, _ in found} == set(range(9)) and (8, "hunter2") in found
+
+
+def test_scores_settle_over_many_hops(spark):
+    """Each hop's identifiers are reached only by the patterns of the hop before; planted recall is above 0.9."""
+    known = [f"user{i}@mail.example.org" for i in range(10)]
+    texts, want = [], set()
+    for h in range(4):  # two new ones among ten, then twelve, ... known: accepted only once the hop before is
+        known += [f"h{h}n0", f"h{h}n1"]
+        for i, x in enumerate(known):
+            texts.append(f"p{h}x{i} q{h}x{i} hop{h} {x}")
+            if i >= 10:
+                want.add((len(texts) - 1, x))
+    found = learned(spark, texts)
+    assert len(found & want) >= 0.9 * len(want) and found <= want
