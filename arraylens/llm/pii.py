@@ -20,6 +20,10 @@ cuts the texts anew.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +49,12 @@ SECRET = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/=_-]{24,}$"
 SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 5, 0.8, 0.8
 #: Error of the sketch of a pattern's other instances, and the factor and number that they must exceed for it to be dropped.
 SKETCH, MARGIN, SPARE = 0.05, 1.5, 16
+#: Left word, two left words, right word, left and right word.
+PS = ("L", "LL", "R", "LR")
 #: Share of the places of a token without digits that accepted patterns must reach.
 PLACES = 0.5
+#: Longs of the bitmap that sifts hashes before they are joined to a set of them.
+SIEVE = 4096
 #: Rows of a set of hashes that are still broadcast.
 FEW = 2_000_000
 #: How tables of texts and of all tokens are written.
@@ -89,16 +97,14 @@ def coded(value: Column) -> Column:
     return F.when(value != "", F.xxhash64(value).bitwiseAND(F.lit(-4)).bitwiseOR(bits))
 
 
-def patterns_of(near: Column, far: Column, after: Column) -> Column:
-    """Hashes of the lexical patterns, from those of the words beside an instance."""
-    return F.array_compact(
-        F.array(
-            F.when(near.isNotNull(), F.xxhash64(F.lit("L"), near)),
-            F.when(near.isNotNull() & far.isNotNull(), F.xxhash64(F.lit("LL"), far, near)),
-            F.when(after.isNotNull(), F.xxhash64(F.lit("R"), after)),
-            F.when(near.isNotNull() & after.isNotNull(), F.xxhash64(F.lit("LR"), near, after)),
-        )
-    )
+def each_pattern(near: Column, far: Column, after: Column) -> list[Column]:
+    """Hashes of the lexical patterns PS, from those of the words beside an instance; null where a word is lacking."""
+    return [
+        F.when(near.isNotNull(), F.xxhash64(F.lit("L"), near)),
+        F.when(near.isNotNull() & far.isNotNull(), F.xxhash64(F.lit("LL"), far, near)),
+        F.when(after.isNotNull(), F.xxhash64(F.lit("R"), after)),
+        F.when(near.isNotNull() & after.isNotNull(), F.xxhash64(F.lit("LR"), near, after)),
+    ]
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -106,6 +112,20 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def sieve(df: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test that is true for all hashes of the set df and for few others: SIEVE longs, whatever the size of df."""
+    x = F.col(name)
+    place, bit = F.shiftright(x, 6).bitwiseAND(F.lit(SIEVE - 1)), F.expr(f"shiftleft(1L, int(`{name}` & 63))")
+    held = {r[0]: r[1] for r in df.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("b")).collect()}
+    bits = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(SIEVE))), ",").cast("array<bigint>")
+
+    def test(h: Column) -> Column:
+        word = F.get(bits, F.shiftright(h, 6).bitwiseAND(F.lit(SIEVE - 1)).cast("int"))
+        return F.coalesce(F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+
+    return test
+
+
 def total(df: DataFrame, *names: str) -> tuple:
     """Rows and a sum of hashes, equal for equal tables; numbers count to two digits."""
     kinds = dict(df.dtypes)
@@ -113,35 +133,43 @@ def total(df: DataFrame, *names: str) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))).first())
 
 
-def learn(stage: Stage, units: DataFrame) -> DataFrame:
-    """(v) of the values that accepted patterns reach, seeds too; units has v and w by token and the edges (v, ps) of base spans.
+def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
+    """(v) of the values that accepted patterns reach, seeds too; units has v and w by token, base the edges (v, p) of base spans.
 
     units is read anew in each pass. Scores only rise, so the rounds end.
     """
-    at = F.transform("v", lambda v, i: F.struct(i.alias("at"), v.alias("v"), *[F.get("w", i + k).alias(n) for n, k in (("near", -1), ("far", -2), ("after", 1))]))
-    toks = units.select("row", F.explode(F.filter(at, lambda t: t["v"].isNotNull())).alias("t"))
-    toks = toks.select("row", "t.at", "t.v", patterns_of(F.col("t.near"), F.col("t.far"), F.col("t.after")).alias("ps"))
+    # neighbours by shifted arrays: each array is made once a row, however long
+    none = F.array(F.lit(None).cast("long"))
+    sides = [F.concat(none, "w").alias("near"), F.concat(none, none, "w").alias("far"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("after")]
+    toks = units.select("row", F.posexplode(F.arrays_zip(F.col("v"), *sides)).alias("at", "t")).where("t.v is not null")
+    near, far, after_ = (F.col(f"t.{c}") for c in ("near", "far", "after"))
+    toks = toks.select("row", "at", "t.v", *[h.alias(c) for h, c in zip(each_pattern(near, far, after_), PS, strict=True)])
 
     def edges(t: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-        e = t.select("row", "at", "v", F.explode("ps").alias("p"))
+        if kept is not None:
+            test = sieve(kept, "p")
+            t = t.where(reduce(or_, [test(F.col(c)) for c in PS]))
+        e = t.select("row", "at", "v", F.explode(F.array(*PS)).alias("p")).where("p is not null")
         return e if kept is None else e.join(few(kept.select("p")), "p", "left_semi")
 
-    shaped = F.transform(F.filter(at, lambda t: t["v"].bitwiseAND(F.lit(2)) != 0), lambda t: F.struct(t["v"].alias("v"), patterns_of(t["near"], t["far"], t["after"]).alias("ps")))
-    seeds = F.concat(F.coalesce("edges", F.array().cast("array<struct<v:bigint,ps:array<bigint>>>")), shaped)
-    base = units.select(F.explode(seeds).alias("e")).select("e.v", F.explode_outer("e.ps").alias("p"))
-    base = stage.keep(base.distinct(), "seeds")
+    def of(values: DataFrame) -> DataFrame:
+        """The tokens of a set of values."""
+        return toks.where(sieve(values, "v")(F.col("v"))).join(few(values), "v", "left_semi")
+
+    shaped = toks.where("v & 2 <> 0").select("v", F.explode(F.array(*PS)).alias("p"))
+    base = stage.keep(base.unionByName(shaped).distinct(), "seeds")
     scores = stage.keep(base.select("v").distinct().withColumn("confidence", F.lit(1.0)), "scores")
     base = known = base.where("p is not null")
     listed = fresh = before = placed = rare = None
     while True:
         if fresh is None or not fresh.isEmpty():
             if fresh is not None:
-                found = edges(toks.join(few(fresh), "v", "left_semi")).select("p", "v")
+                found = edges(of(fresh)).select("p", "v")
                 known = stage.keep(known.unionByName(found).distinct(), "edges")
             may = known.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
             may = stage.keep(may if listed is None else may.join(listed.select("p").distinct(), "p", "left_anti"), "may")
             if not may.isEmpty():
-                others = edges(toks.join(few(scores.select("v")), "v", "left_anti"), may)
+                others = edges(toks, may).join(few(scores.select("v")), "v", "left_anti")
                 others = others.groupBy("p").agg(F.approx_count_distinct("v", SKETCH).alias("others"))
                 most = MARGIN * F.col("n") * (1 - PATTERN_SCORE) / PATTERN_SCORE + SPARE
                 may = stage.keep(may.join(others, "p", "left").where(F.coalesce("others", F.lit(0)) <= most).select("p"), "may")
@@ -162,7 +190,7 @@ def learn(stage: Stage, units: DataFrame) -> DataFrame:
             here = total(patterns, "p"), total(plain, "v")
             if here != placed:  # else their places are known
                 placed = here
-                there = toks.join(few(plain), "v", "left_semi")
+                there = of(plain)
                 all_ = there.groupBy("v").agg(F.count("*").alias("total"))
                 inside = edges(there, patterns).select("v", "row", "at").distinct().groupBy("v").agg(F.count("*").alias("inside"))
                 rare = stage.keep(all_.join(inside, "v", "left").where(F.col("total") * PLACES > F.coalesce("inside", F.lit(0))).select("v"), "rare")
@@ -239,10 +267,14 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.unionByName(kept.where(~held).select("row", "doc_id", "text"), allowMissingColumns=True)
     rows = stage.keep(rows, "rows", **PACKED)
     stage.drop(kept)
-    words = rows.select("row", "spans", "taken", F.split("text", r"\s+", -1).alias("words"), F.split(F.lower("text"), r"\s+", -1).alias("lower"))
-    core = F.transform("words", lambda x: coded(F.regexp_replace(x, f"{LEAD}|{TRAIL}", "")))
+    def cut(t: DataFrame, *more: str) -> DataFrame:
+        """Words, and hashes w of all words and v of their cores, by token."""
+        low = F.transform(F.split(F.lower("text"), r"\s+", -1), lambda x: F.when(x != "", F.xxhash64(x)))
+        bare = F.transform(F.split("text", r"\s+", -1), lambda x: F.when(x.rlike(r"^[\p{L}\p{N}]+$"), x).otherwise(F.regexp_replace(x, f"{LEAD}|{TRAIL}", "")))
+        # a generator keeps the arrays from being made again wherever they are named
+        return t.select("row", *more, F.inline(F.array(F.struct(F.transform(bare, coded).alias("v"), low.alias("w")))))
+
     free = F.when(F.col("taken").isNull(), F.col("v")).otherwise(F.transform("v", lambda x, i: F.when(~F.array_contains("taken", i), x)))
-    words = words.select("row", "spans", "taken", "words", core.alias("v"), F.transform("lower", lambda x: F.when(x != "", F.xxhash64(x))).alias("w"))
 
     def edge(s: Column) -> Column:
         """A base span's hash and patterns; what is joined to it counts as a word if it has letters or digits."""
@@ -253,10 +285,15 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         behind = glued(F.substring(F.get("words", s["last"]), s["tail"] + 1, F.lit(2**31 - 1)))
         one, two = (F.get("w", s["first"] - k) for k in (1, 2))
         near, far = F.coalesce(front, one), F.when(front.isNotNull(), one).otherwise(two)
-        return F.struct(coded(s["value"]).alias("v"), patterns_of(near, far, F.coalesce(behind, F.get("w", s["last"] + 1))).alias("ps"))
-
-    units = words.select("row", free.alias("v"), "w", F.transform("spans", edge).alias("edges"))
-    reached = stage.keep(learn(stage, units), "learned")
+        return F.struct(coded(s["value"]).alias("v"), F.array_compact(F.array(*each_pattern(near, far, F.coalesce(behind, F.get("w", s["last"] + 1))))).alias("ps"))
+
+    # the arrays of texts with base spans are written once, as each span looks into them
+    held = cut(rows.where("spans is not null").withColumn("words", F.split("text", r"\s+", -1)), "spans", "words")
+    held = stage.keep(held.drop("v"), "held", **PACKED)
+    seeds = held.select(F.explode(F.transform("spans", edge)).alias("e")).select("e.v", F.explode_outer("e.ps").alias("p"))
+    units = cut(rows, "taken").select("row", free.alias("v"), "w")
+    reached = stage.keep(learn(stage, units, seeds), "learned")
+    stage.drop(held)
 
     # tokens of learned values, and their places in the texts that hold one
     toks = units.select("row", F.posexplode("v").alias("at", "v")).join(few(reached), "v", "left_semi")
