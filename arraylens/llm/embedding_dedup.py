@@ -1,13 +1,18 @@
 """Embedding near-dedup (operator 6): PCA-ordered tiled comparison.
 
 Unit vectors are turned into the axes of their principal components, found from
-the covariance of all of them. Equal vectors become one with a weight. Each
-label's vectors are cut into tiles along the first component. Tile pairs whose
-ranges on it are further apart than the threshold's chord are skipped; in the
-others the leading components are multiplied first, and a pair is given up when
-its product so far and the bound on the rest, the product of the two suffix
-norms, cannot reach the threshold. A tile pair sends for each linked vector one
-row, the count of its links and one spanning edge, however many pairs link.
+the second moments of all of them. Equal vectors become one with a weight. Each
+label's vectors are put in the order of the interleaved bits of their leading
+components and cut into tiles, so that a tile is small in several components at
+once. A tile's box holds the ranges of its leading components and of the norm of
+the rest. Tiles meet in the cells of a grid over the first two components, as
+wide as the threshold's chord, and go on as a pair only if their boxes are no
+further apart than the chord. In such a pair the leading components are
+multiplied first, and a pair of vectors is given up when its product so far and
+the bound on the rest, the product of the two suffix norms, cannot reach the
+threshold. Products within BORDER of the threshold are decided again on the
+vectors as given. A tile pair sends for each linked vector one row, the count of
+its links and one spanning edge, however many pairs link.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arraylens.llm.components import connected_components
@@ -25,6 +30,10 @@ from arraylens.llm.staging import Stage, bound_batches
 
 #: Vectors of a tile. A tile pair takes TILE * TILE doubles of memory.
 TILE = 1024
+#: Leading components that order the vectors, bits of each, and components of a tile's box.
+ORDERED, BITS, BOX = 6, 3, 12
+#: Distance from the threshold within which a product is decided again on the vectors as given.
+BORDER = 1e-9
 #: Shares of the components after which products are held against the bound.
 STEPS = (0.125, 0.25, 0.5, 1.0)
 #: Groups in which the partial covariances of tasks are added up before the last sum.
@@ -70,8 +79,29 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"dim": table.column("dim")[:1], "part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a and b with a product of `least` or more; leading columns first."""
+def order_of(x: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Interleaved bits of the rows' leading columns, each cut into 2 ** BITS parts of four spreads about 0."""
+    k = min(ORDERED, x.shape[1])
+    t = (x[:, :k] / np.maximum(spread[:k], 1e-12) + 2) / 4
+    q = np.clip(t * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    code = np.zeros(len(x), np.int64)
+    for bit in reversed(range(BITS)):
+        for c in range(k):
+            code = code << 1 | q[:, c] >> bit & 1
+    return code
+
+
+def box_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest values of BOX leading columns and of the norm of the others, over the rows."""
+    y = np.zeros((len(x), BOX + 1))
+    k = min(BOX, x.shape[1])
+    y[:, :k] = x[:, :k]
+    y[:, BOX] = np.sqrt(np.maximum((x[:, k:] ** 2).sum(1), 0))
+    return y.min(0), y.max(0)
+
+
+def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a and b with a product of `least` or more, and the products; leading columns first."""
     d = a.shape[1]
     stops = sorted({max(1, round(d * s)) for s in STEPS})
     i = j = s = None
@@ -95,7 +125,7 @@ def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
             i, j, s = i[keep], j[keep], s[keep]
         done = stop
-    return i, j
+    return i, j, s
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -112,7 +142,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _tiles(bases: dict[int, np.ndarray], size: int):
+def _tiles(size: int):
     names = ["tile", "label", "dim", "lo", "hi", "ids", "weights", "rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +152,10 @@ def _tiles(bases: dict[int, np.ndarray], size: int):
         def tile() -> pa.RecordBatch:
             nonlocal n
             x = np.array([np.frombuffer(r[2]) for r in held])
-            first = x[:, 0]
-            values = [part << 32 | n, key[0], key[1], first.min(), first.max(), [r[0] for r in held], [r[1] for r in held], x.tobytes()]
+            lo, hi = box_of(x)
+            values = [part << 32 | n, key[0], key[1], lo.tolist(), hi.tolist(), [r[0] for r in held], [r[1] for r in held], x.tobytes()]
             n += 1
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -138,7 +168,7 @@ def _tiles(bases: dict[int, np.ndarray], size: int):
         if held:
             yield tile()
 
-    return run, "tile long, label string, dim int, lo double, hi double, ids array<long>, weights array<long>, rows binary"
+    return run, "tile long, label string, dim int, lo array<double>, hi array<double>, ids array<long>, weights array<long>, rows binary"
 
 
 def _links(least: float):
@@ -148,9 +178,15 @@ def _links(least: float):
                 ids = np.array(r["ids_a"]), np.array(r["ids_b"])
                 weights = np.array(r["weights_a"]), np.array(r["weights_b"])
                 a, b = (np.frombuffer(r[k]).reshape(len(ids[n]), -1) for n, k in enumerate(("rows_a", "rows_b")))
-                i, j = compare(a, b, least)
+                i, j, s = compare(a, b, least - BORDER)
+                if r["a"] == r["b"]:
+                    i, j, s = i[i < j], j[i < j], s[i < j]
+                near = s < least + BORDER
+                if near.any():
+                    x, y, wx, wy = ids[0][i[near]], ids[1][j[near]], weights[0][i[near]], weights[1][j[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (x, wy, y, wx)], names=["node", "links", "root", "other"])
+                i, j = i[~near], j[~near]
                 if r["a"] == r["b"]:
-                    i, j = i[i < j], j[i < j]
                     nodes = ids[0]
                     count = np.bincount(i, weights[0][j], len(nodes)) + np.bincount(j, weights[0][i], len(nodes))
                     low = roots(len(nodes), i, j)
@@ -160,10 +196,50 @@ def _links(least: float):
                     low = roots(len(nodes), i, j + len(a))
                 at = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[at]), pa.array(count[at].astype(np.int64)), pa.array(nodes[low[at]])], names=["node", "links", "root"]
+                    [pa.array(nodes[at]), pa.array(count[at].astype(np.int64)), pa.array(nodes[low[at]]), pa.nulls(len(at), pa.int64())],
+                    names=["node", "links", "root", "other"],
                 )
 
-    return run, "node long, links long, root long"
+    return run, "node long, links long, root long, other long"
+
+
+def _decide(least: float):
+    """Whether the vectors as given have a cosine of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
+            ok = [float(np.frombuffer(u) @ np.frombuffer(v)) >= least for u, v in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "links", "root", "other")], names=["node", "links", "root", "other"]).filter(
+                pa.array(ok, pa.bool_())
+            )
+
+    return run, "node long, links long, root long, other long"
+
+
+def _apart(n: int) -> Column:
+    """Squared distance of the boxes of tiles a and b."""
+    gaps = [F.greatest(F.col("a.lo")[i] - F.col("b.hi")[i], F.col("b.lo")[i] - F.col("a.hi")[i], F.lit(0.0)) for i in range(n)]
+    return sum((g * g for g in gaps), F.lit(0.0))
+
+
+def _cells(marks: DataFrame, chord: float, around: int) -> DataFrame:
+    """A row for each cell of the first two components that a tile's box touches, or cells `around` it."""
+    for i, name in enumerate(("c0", "c1")):
+        low, high = (F.floor(F.col(x)[i] / chord).cast("int") for x in ("lo", "hi"))
+        marks = marks.withColumn(name, F.explode(F.sequence(low - around, high + around)))
+    return marks
+
+
+def tile_pairs(tiles: DataFrame, least: float) -> DataFrame:
+    """(a, b), a <= b: tiles of one label and length whose boxes are no further apart than vectors with a cosine of `least`."""
+    chord = float(np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9)
+    marks = tiles.select("tile", "label", "dim", "lo", "hi")
+    a, b = _cells(marks, max(chord, 1e-3), 0).alias("a"), _cells(marks, max(chord, 1e-3), 1).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", "c0", "c1")]
+    meet = same[0] & same[1] & same[2] & same[3] & (F.col("a.tile") <= F.col("b.tile"))
+    near = _apart(BOX + 1) <= chord * chord + 1e-9
+    return a.join(b, meet).where(near).select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b")).distinct()
 
 
 def embedding_duplicates(
@@ -172,11 +248,14 @@ def embedding_duplicates(
     """(vec_id, n_links, component_id, kept) of each row.
 
     Rows link when their labels are equal and the cosine of their vectors, in
-    double precision, is `least` or more. n_links counts the other rows linked
+    double precision, is `least` or more; sums that differ in the last digits by
+    order of addition may decide a pair at the threshold. n_links counts the other rows linked
     directly, copies each for itself; component_id is the smallest vec_id
     reachable by links; kept marks rows whose vec_id it is. Vectors that are null,
     empty, zero, or hold nulls or non-finite numbers, rows with a null label or
-    id, and vectors of different lengths link with nothing. Other columns are ignored.
+    id, and vectors of different lengths link with nothing. Repeated rows of one
+    vec_id are vectors of their own that share a component; an empty table gives
+    an empty one. Other columns, whatever their names, are ignored.
     """
     spark = embeddings.sparkSession
     stage = Stage(spark)
@@ -192,39 +271,45 @@ def embedding_duplicates(
     bases = {}
     for r in sums:
         values, axes = np.linalg.eigh(np.frombuffer(r["sums"]).reshape(r["dim"], r["dim"]))
-        bases[r["dim"]] = np.ascontiguousarray(axes[:, np.argsort(-values)])
+        order = np.argsort(-values)
+        spread = np.sqrt(np.maximum(values[order], 0) / max(values.sum(), 1e-300))  # unit vectors: the sum is their number
+        bases[r["dim"]] = np.ascontiguousarray(axes[:, order]), spread
     shared = spark.sparkContext.broadcast(bases)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, first = [], []
+            out, codes = [], []
             for dim, unit in zip(batch.column("dim").to_pylist(), batch.column("unit").to_pylist(), strict=True):
-                x = np.frombuffer(unit) @ shared.value[dim]
-                out.append(x.tobytes()), first.append(float(x[0]))
+                axes, spread = shared.value[dim]
+                x = np.frombuffer(unit) @ axes
+                out.append(x.tobytes()), codes.append(int(order_of(x[None], spread)[0]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("label", "dim", "rep", "weight")), pa.array(out, pa.binary()), pa.array(first, pa.float64())],
-                names=["label", "dim", "rep", "weight", "row", "first"],
+                [*(batch.column(c) for c in ("label", "dim", "rep", "weight")), pa.array(out, pa.binary()), pa.array(codes, pa.int64())],
+                names=["label", "dim", "rep", "weight", "row", "code"],
             )
 
     same = units.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     same = stage.keep(same, "classes")
-    turned = stage.keep(same.mapInArrow(turn, "label string, dim int, rep long, weight long, row binary, first double"), "turned")
+    turned = stage.keep(same.mapInArrow(turn, "label string, dim int, rep long, weight long, row binary, code long"), "turned")
     # every partition is read whole by one task, which cuts it into tiles
     parts = max(1, -(-turned.count() // (4 * TILE)))
-    dealt = turned.repartitionByRange(parts, "label", "dim", "first").sortWithinPartitions("label", "dim", "first")
-    run, ddl = _tiles(bases, TILE)
+    dealt = turned.repartitionByRange(parts, "label", "dim", "code").sortWithinPartitions("label", "dim", "code")
+    run, ddl = _tiles(TILE)
     tiles = stage.keep(dealt.mapInArrow(run, ddl), "tiles")
-    marks = tiles.select("tile", "label", "dim", "lo", "hi")
-    chord = float(np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9)
-    a, b = marks.alias("a"), marks.alias("b")
-    near = (F.col("a.lo") - F.col("b.hi") <= chord) & (F.col("b.lo") - F.col("a.hi") <= chord)
-    equal = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.tile") <= F.col("b.tile"))
-    pairs = a.join(b, equal & near).select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"))
+    pairs = tile_pairs(tiles, least)
     for side in "ab":
         body = tiles.select(F.col("tile").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("ids", "weights", "rows")])
         pairs = pairs.join(body, side)
     run, ddl = _links(least)
     found = stage.keep(pairs.mapInArrow(run, ddl), "found")
+    close = stage.keep(found.where("other is not null"), "close")
+    if not close.isEmpty():
+        for node, vector in (("node", "u"), ("root", "v")):
+            close = close.join(same.select(F.col("rep").alias(node), F.col("unit").alias(vector)), node)
+        run, ddl = _decide(least)
+        close = stage.keep(close.select("node", "links", "root", "other", "u", "v").mapInArrow(run, ddl), "decided")
+        back = close.select(F.col("root").alias("node"), F.col("other").alias("links"), "root")
+        found = found.where("other is null").select("node", "links", "root").unionByName(close.select("node", "links", "root")).unionByName(back)
     parts = connected_components(found.where("node <> root"), stage, "node", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     per = same.join(counts, F.col("rep") == F.col("node"), "left").drop("node")

@@ -12,10 +12,10 @@ of its places, so that a common word in one of them is not taken.
 
 The graph has an edge for each token and pattern, so only what can matter is
 listed: a pattern with few confident instances, or with too many others, can't
-be accepted. The others are estimated by a sketch of their distinct values,
-partially aggregated, with a margin of many times its error; what is left is
-listed and counted exactly. Tokens are never stored: each pass that needs them
-cuts the texts anew.
+be accepted. Others that are seen in one part of the texts are others in all of
+them, so one part in PARTS rules out the patterns of common words for certain;
+what is left is listed and counted exactly over all texts. Tokens are never
+stored: each pass that needs them cuts the texts anew.
 """
 
 from __future__ import annotations
@@ -45,10 +45,12 @@ LEAD, TRAIL = r"^[^\p{L}\p{N}+(]++", r"(?<![^\p{L}\p{N})])[^\p{L}\p{N})]++$"
 
 #: A token of this shape is a seed: letters and digits mixed, as keys and hashes are.
 SECRET = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/=_-]{24,}$"
+#: A text without such a run has no token of that shape.
+SECRET_PART = r"[A-Za-z0-9+/=_-]{24}"
 #: Instances that a pattern needs, and the scores to be accepted.
 SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 5, 0.8, 0.8
-#: Error of the sketch of a pattern's other instances, and the factor and number that they must exceed for it to be dropped.
-SKETCH, MARGIN, SPARE = 0.05, 1.5, 16
+#: Parts of the texts, of which one is looked at before patterns are listed.
+PARTS = 16
 #: Left word, two left words, right word, left and right word.
 PS = ("L", "LL", "R", "LR")
 #: Share of the places of a token without digits that accepted patterns must reach.
@@ -133,17 +135,23 @@ def total(df: DataFrame, *names: str) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))).first())
 
 
-def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
-    """(v) of the values that accepted patterns reach, seeds too; units has v and w by token, base the edges (v, p) of base spans.
+def learn(stage: Stage, units: DataFrame, base: DataFrame, shaped: DataFrame) -> DataFrame:
+    """(v) of the values that accepted patterns reach, seeds too.
 
-    units is read anew in each pass. Scores only rise, so the rounds end.
+    units has v and w by token, base the edges (v, p) of base spans, shaped the
+    units of texts that may hold tokens shaped like secrets. units is read anew
+    in each pass. Scores only rise, so the rounds end.
     """
     # neighbours by shifted arrays: each array is made once a row, however long
     none = F.array(F.lit(None).cast("long"))
     sides = [F.concat(none, "w").alias("near"), F.concat(none, none, "w").alias("far"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("after")]
-    toks = units.select("row", F.posexplode(F.arrays_zip(F.col("v"), *sides)).alias("at", "t")).where("t.v is not null")
     near, far, after_ = (F.col(f"t.{c}") for c in ("near", "far", "after"))
-    toks = toks.select("row", "at", "t.v", *[h.alias(c) for h, c in zip(each_pattern(near, far, after_), PS, strict=True)])
+
+    def tokens(u: DataFrame) -> DataFrame:
+        t = u.select("row", F.posexplode(F.arrays_zip(F.col("v"), *sides)).alias("at", "t")).where("t.v is not null")
+        return t.select("row", "at", "t.v", *[h.alias(c) for h, c in zip(each_pattern(near, far, after_), PS, strict=True)])
+
+    toks, part = tokens(units), tokens(units.where(F.pmod(F.xxhash64("row"), F.lit(PARTS)) == 0))
 
     def edges(t: DataFrame, kept: DataFrame | None = None) -> DataFrame:
         if kept is not None:
@@ -156,7 +164,7 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
         """The tokens of a set of values."""
         return toks.where(sieve(values, "v")(F.col("v"))).join(few(values), "v", "left_semi")
 
-    shaped = toks.where("v & 2 <> 0").select("v", F.explode(F.array(*PS)).alias("p"))
+    shaped = tokens(shaped).where("v & 2 <> 0").select("v", F.explode(F.array(*PS)).alias("p"))
     base = stage.keep(base.unionByName(shaped).distinct(), "seeds")
     scores = stage.keep(base.select("v").distinct().withColumn("confidence", F.lit(1.0)), "scores")
     base = known = base.where("p is not null")
@@ -169,9 +177,9 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame) -> DataFrame:
             may = known.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
             may = stage.keep(may if listed is None else may.join(listed.select("p").distinct(), "p", "left_anti"), "may")
             if not may.isEmpty():
-                others = edges(toks, may).join(few(scores.select("v")), "v", "left_anti")
-                others = others.groupBy("p").agg(F.approx_count_distinct("v", SKETCH).alias("others"))
-                most = MARGIN * F.col("n") * (1 - PATTERN_SCORE) / PATTERN_SCORE + SPARE
+                others = edges(part, may).join(few(scores.select("v")), "v", "left_anti")
+                others = others.groupBy("p").agg(F.count_distinct("v").alias("others"))
+                most = F.col("n") * (1 - PATTERN_SCORE) / PATTERN_SCORE + 1e-9
                 may = stage.keep(may.join(others, "p", "left").where(F.coalesce("others", F.lit(0)) <= most).select("p"), "may")
             if not may.isEmpty():
                 full = edges(toks, may).select("p", "v").unionByName(base.join(may, "p", "left_semi").select("p", "v")).distinct()
@@ -267,12 +275,13 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.unionByName(kept.where(~held).select("row", "doc_id", "text"), allowMissingColumns=True)
     rows = stage.keep(rows, "rows", **PACKED)
     stage.drop(kept)
-    def cut(t: DataFrame, *more: str) -> DataFrame:
+    def cut(t: DataFrame, *more: str, which: str = "vw") -> DataFrame:
         """Words, and hashes w of all words and v of their cores, by token."""
         low = F.transform(F.split(F.lower("text"), r"\s+", -1), lambda x: F.when(x != "", F.xxhash64(x)))
         bare = F.transform(F.split("text", r"\s+", -1), lambda x: F.when(x.rlike(r"^[\p{L}\p{N}]+$"), x).otherwise(F.regexp_replace(x, f"{LEAD}|{TRAIL}", "")))
         # a generator keeps the arrays from being made again wherever they are named
-        return t.select("row", *more, F.inline(F.array(F.struct(F.transform(bare, coded).alias("v"), low.alias("w")))))
+        arrays = {"v": F.transform(bare, coded), "w": low}
+        return t.select("row", *more, F.inline(F.array(F.struct(*[arrays[c].alias(c) for c in which]))))
 
     free = F.when(F.col("taken").isNull(), F.col("v")).otherwise(F.transform("v", lambda x, i: F.when(~F.array_contains("taken", i), x)))
 
@@ -288,15 +297,16 @@ def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.struct(coded(s["value"]).alias("v"), F.array_compact(F.array(*each_pattern(near, far, F.coalesce(behind, F.get("w", s["last"] + 1))))).alias("ps"))
 
     # the arrays of texts with base spans are written once, as each span looks into them
-    held = cut(rows.where("spans is not null").withColumn("words", F.split("text", r"\s+", -1)), "spans", "words")
-    held = stage.keep(held.drop("v"), "held", **PACKED)
+    held = cut(rows.where("spans is not null").withColumn("words", F.split("text", r"\s+", -1)), "spans", "words", which="w")
+    held = stage.keep(held, "held", **PACKED)
     seeds = held.select(F.explode(F.transform("spans", edge)).alias("e")).select("e.v", F.explode_outer("e.ps").alias("p"))
-    units = cut(rows, "taken").select("row", free.alias("v"), "w")
-    reached = stage.keep(learn(stage, units, seeds), "learned")
+    units, shaped = (cut(t, "taken").select("row", free.alias("v"), "w") for t in (rows, rows.where(text.rlike(SECRET_PART))))
+    reached = stage.keep(learn(stage, units, seeds, shaped), "learned")
     stage.drop(held)
 
     # tokens of learned values, and their places in the texts that hold one
-    toks = units.select("row", F.posexplode("v").alias("at", "v")).join(few(reached), "v", "left_semi")
+    alone = cut(rows, "taken", which="v").select("row", F.posexplode(free).alias("at", "v"))
+    toks = alone.where(sieve(reached, "v")(F.col("v"))).join(few(reached), "v", "left_semi")
     toks = stage.keep(toks.select("row", "at"), "tokens")
     here = Window.partitionBy("row").orderBy("at")
     held = rows.select("row", "text").join(few(toks.select("row").distinct()), "row", "left_semi")

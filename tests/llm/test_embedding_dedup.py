@@ -1,7 +1,9 @@
+import math
+
 import numpy as np
 
 from arraylens.llm import embedding_dedup
-from arraylens.llm.embedding_dedup import compare, embedding_duplicates
+from arraylens.llm.embedding_dedup import box_of, compare, embedding_duplicates, tile_pairs
 
 
 def brute(rows, least):
@@ -64,4 +66,28 @@ def test_pruned_products_lose_no_pair():
     a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
     for least in (0.5, 0.9, 0.99):
         want = set(zip(*np.nonzero(a @ b.T >= least), strict=True))
-        assert set(zip(*compare(a, b, least), strict=True)) == want
+        assert set(zip(*compare(a, b, least)[:2], strict=True)) == want
+
+
+def test_boxes_lose_no_pair_and_tiles_far_apart_do_not_meet(spark):
+    rng = np.random.default_rng(7)
+    rows, at = [], 0
+    for t in range(40):
+        centre = rng.normal(size=20) * (0.9 ** np.arange(20))
+        x = centre + 0.15 * rng.normal(size=(30, 20))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        lo, hi = box_of(x)
+        rows.append((t, "a" if t % 4 else "b", 20, lo.tolist(), hi.tolist(), x))
+    ddl = "tile long, label string, dim int, lo array<double>, hi array<double>"
+    got = {tuple(r) for r in tile_pairs(spark.createDataFrame([r[:5] for r in rows], ddl), 0.93).collect()}
+    need = {(p[0], q[0]) for p in rows for q in rows if p[0] <= q[0] and p[1] == q[1] and (p[5] @ q[5].T).max() >= 0.93}
+    every = sum(p[1] == q[1] and p[0] <= q[0] for p in rows for q in rows)
+    assert need <= got and len(got) < every
+
+
+def test_products_at_the_threshold_are_decided_on_the_vectors(spark):
+    c = 0.93
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [c, math.sqrt(1 - c * c)]), (3, "a", [c - 1e-10, math.sqrt(1 - (c - 1e-10) ** 2) * -1])]
+    got = {r.vec_id: r.n_links for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    want = {i: sum(j != i and float(np.dot(u, v)) / np.linalg.norm(u) / np.linalg.norm(v) >= c for j, _, v in rows) for i, _, u in rows}
+    assert got == want and got[3] == 0
