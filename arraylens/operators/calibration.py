@@ -60,37 +60,57 @@ def fit_delays(gains: DataFrame, by: Sequence[str] = ("ant", "antpol", "time_idx
 
 
 def delay_fluctuations(delays: DataFrame, by: Sequence[str] = ("ant", "antpol"), value: str = "delay", flag: str | None = None) -> DataFrame:
-    """delays with `fluct`, their distance from the antenna's median; flagged ones count as 0 but not in the median."""
+    """delays with `avg`, the antenna's median, `fluct`, the distance from it, and `ok`; flagged ones count as 0 and have no part in the median."""
     by = list(by)
-    x = delays if flag is None else delays.withColumn(value, F.when(~F.col(flag), F.col(value)))
-    med = x.groupBy(*by).agg(F.median(value).alias("_m"))
-    return x.join(med, by).withColumn("fluct", F.coalesce(F.col(value), F.lit(0.0)) - F.col("_m")).drop("_m")
+    x = delays.withColumn("ok", F.lit(True) if flag is None else ~F.col(flag))
+    med = x.groupBy(*by).agg(F.coalesce(F.median(F.when(F.col("ok"), F.col(value))), F.lit(0.0)).alias("avg"))
+    return x.join(med, by).withColumn("fluct", F.when(F.col("ok"), F.coalesce(F.col(value), F.lit(0.0))).otherwise(0.0) - F.col("avg"))
 
 
 def delay_std(fluct: DataFrame, by: Sequence[str] = ("ant", "antpol")) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per antenna, per time, whole): scatter of delay fluctuations, square roots of biweight midvariances."""
+    """(per antenna, per time, whole): scatter of delay fluctuations, square roots of biweight midvariances of the unflagged ones, 0 without any.
+
+    ant_avg is the antenna's median delay, ant_z the median size of all its fluctuations over the whole scatter.
+    """
     by = list(by)
     std = F.sqrt("midvar")
-    ant = biweight(fluct, by, "fluct").join(fluct.groupBy(*by).agg(F.avg("fluct").alias("ant_avg")), by).select(*by, "ant_avg", std.alias("ant_std"))
-    time = biweight(fluct, ["time_idx"], "fluct").select("time_idx", std.alias("time_std"))
-    agg = biweight(fluct, [], "fluct").select(std.alias("agg_std")).crossJoin(F.broadcast(ant.agg(F.max("ant_std").alias("max_std"))))  # one row each
+    good = fluct.withColumn("fluct", F.when(F.col("ok"), F.col("fluct")))
+    ant = biweight(good, by, "fluct").join(fluct.groupBy(*by).agg(F.first("avg").alias("ant_avg")), by).select(*by, "ant_avg", std.alias("ant_std"))
+    time = biweight(good, ["time_idx"], "fluct").select("time_idx", std.alias("time_std"))
+    agg = biweight(good, [], "fluct").select(std.alias("agg_std")).crossJoin(F.broadcast(ant.agg(F.max("ant_std").alias("max_std"))))  # one row each
     z = fluct.crossJoin(F.broadcast(agg.select("agg_std"))).withColumn("_z", F.abs(ieee_divide("fluct", "agg_std")))
     ant = ant.join(z.groupBy(*by).agg(F.median("_z").alias("ant_z")), by)
     return ant, time, agg
 
 
-def chisq_metric(cal: DataFrame, by: Sequence[str] = ("ant", "antpol"), cut: float = 4.0) -> DataFrame:
-    """(by, chisq_avg, chisq_std, z, good) of antennas' chi-square (chisq by time and channel)."""
+def in_band(cal: DataFrame, edge: int = 0, channels: int | None = None) -> DataFrame:
+    """The channels between the edges."""
+    band = cal.where(F.col("chan") >= edge)
+    return band if channels is None else band.where(F.col("chan") < channels - edge)
+
+
+def chisq_metric(cal: DataFrame, by: Sequence[str] = ("ant", "antpol"), cut: float = 4.0, edge: int = 0, channels: int | None = None) -> DataFrame:
+    """(by, chisq_avg, chisq_std, z, std_loc, std_scale, max_z, tot_avg, good): biweights of chi-square over all times and channels of the band.
+
+    z is an antenna's scatter against that of all, max_z its largest size, tot_avg the location over all antennas.
+    """
     by = list(by)
-    per = cal.groupBy(*by, "time_idx").agg(F.median("chisq").alias("v"))
-    ant = biweight(per, by, "v").select(*by, F.col("loc").alias("chisq_avg"), F.sqrt("midvar").alias("chisq_std"))
-    over = biweight(ant, [], "chisq_std")  # one row
-    z = ieee_divide(F.col("chisq_std") - F.col("loc"), F.sqrt("midvar"))
-    out = ant.crossJoin(F.broadcast(over)).select(*by, "chisq_avg", "chisq_std", z.alias("z"))
-    worst = out.agg((F.max(F.abs("z")) < cut).alias("good"))
+    band = in_band(cal, edge, channels)
+    ant = biweight(band, by, "chisq").select(*by, F.col("loc").alias("chisq_avg"), F.sqrt("midvar").alias("chisq_std"))
+    over = biweight(ant, [], "chisq_std").select(F.col("loc").alias("std_loc"), F.sqrt("midvar").alias("std_scale"))
+    total = biweight(band, [], "chisq").select(F.col("loc").alias("tot_avg"))
+    out = ant.crossJoin(F.broadcast(over)).crossJoin(F.broadcast(total))  # one row each
+    out = out.withColumn("z", ieee_divide(F.col("chisq_std") - F.col("std_loc"), "std_scale"))
+    worst = out.agg(F.max(F.abs("z")).alias("max_z")).withColumn("good", F.col("max_z") < cut)
     return out.crossJoin(F.broadcast(worst))
 
 
+def chisq_over_time(cal: DataFrame, edge: int = 0, channels: int | None = None) -> DataFrame:
+    """(time_idx, chisq_avg): median over the band of the medians over antennas."""
+    per = in_band(cal, edge, channels).groupBy("time_idx", "chan").agg(F.median("chisq").alias("_m"))
+    return per.groupBy("time_idx").agg(F.median("_m").alias("chisq_avg"))
+
+
 def gain_ratio(omni: DataFrame, first: DataFrame, keys: Sequence[str] = ("ant", "antpol", "time_idx", "chan")) -> DataFrame:
     """(keys, re, im): omnical over firstcal gains."""
     f = first.select(*keys, F.col("gain_re").alias("_r"), F.col("gain_im").alias("_i"))
@@ -107,8 +127,7 @@ def phase_residuals(ratio: DataFrame, by: Sequence[str] = ("ant", "antpol")) ->
 
 def phase_std(phases: DataFrame, edge: int = 0, channels: int | None = None, by: Sequence[str] = ("ant", "antpol")) -> tuple[DataFrame, DataFrame]:
     """(per antenna, per antenna and time): biweight scatter of phases over the band between the edges."""
-    band = phases.where(F.col("chan") >= edge)
-    band = band if channels is None else band.where(F.col("chan") < channels - edge)
+    band = in_band(phases, edge, channels)
     per = biweight(band, [*by], "phase").select(*by, F.sqrt("midvar").alias("phs_std"))
     time = biweight(band, [*by, "time_idx"], "phase").select(*by, "time_idx", F.sqrt("midvar").alias("phs_std"))
     return per, time

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,14 +145,14 @@ def auto_power(autos: DataFrame, counts: float = 1.0) -> DataFrame:
 def auto_slope(autos: DataFrame, edge_cut: int = 100, size: int = 17) -> DataFrame:
     """(ant, antpol, value): slope over offset of a line through the median-filtered mean spectrum between the edges.
 
-    The axis runs from -0.5 to 0.5 over the kept channels. An all-zero spectrum
+    The axis runs from -0.5 to 0.5 over the whole band, edges too. An all-zero spectrum
     has slope 0, a zero offset an infinite one.
     """
     mean = autos.groupBy(*ANT, "chan").agg(F.avg("v").alias("m"))
     smooth = rank_filter_1d(mean, "chan", ANT, size // 2, "m", "s")
     n = smooth.agg((F.max("chan") + 1).alias("_n"))  # one row
     x = smooth.crossJoin(F.broadcast(n)).where((F.col("chan") >= edge_cut) & (F.col("chan") < F.col("_n") - edge_cut))
-    axis = (F.col("chan") - edge_cut) / (F.col("_n") - 2 * edge_cut - 1) - 0.5
+    axis = F.col("chan") / (F.col("_n") - 1) - 0.5
     fit = x.withColumn("_x", axis).groupBy(*ANT).agg(
         F.regr_slope("s", "_x").alias("_a"), F.regr_intercept("s", "_x").alias("_b"), F.max(F.abs("s")).alias("_top")
     )
@@ -199,16 +200,24 @@ def even_odd_zeros_class(total: DataFrame, diff: DataFrame, good=(0, 2), suspect
 
 
 def xengine_counts(diff: DataFrame, chans: int = 96, cut: float = 10.0) -> DataFrame:
-    """(ant1, ant2, pol, n): blocks of channels whose differences are not like noise.
+    """(ant1, ant2, pol, n): times and blocks of channels of a baseline whose differences are not like noise.
 
-    diff has re, im and sigma, the expected noise of a sample's differences.
-    The mean over a block of |d| / sigma is held against that of the Rayleigh
-    distribution (autos: the half-normal one).
+    diff has re, im and sigma, the expected noise of a sample's difference, and
+    may have `flag`. A sample's |d| is scored by the mean and spread of noise
+    (Rayleigh; half-normal for autos); the mean size of a block's scores at one
+    time is held against that of a half-normal one.
     """
     auto = (F.col("ant1") == F.col("ant2")) & (F.substring("pol", 1, 1) == F.substring("pol", 2, 1))
-    x = safe_divide(F.hypot("re", "im"), "sigma")
-    mean = F.when(auto, F.lit((2 / 3.141592653589793) ** 0.5)).otherwise(F.lit(3.141592653589793**0.5 / 2))
-    var = F.when(auto, F.lit(1 - 2 / 3.141592653589793)).otherwise(F.lit(1 - 3.141592653589793 / 4))
-    z = (F.avg(x) - F.first(mean)) / F.sqrt(F.first(var) / F.count(x))
-    per = diff.groupBy("ant1", "ant2", "pol", F.expr(f"chan div {int(chans)}").alias("block")).agg(F.abs(z).alias("z"))
-    return per.groupBy("ant1", "ant2", "pol").agg(F.count_if(F.col("z") > cut).alias("n"))
+    mean = F.when(auto, (2 / pi) ** 0.5).otherwise((pi / 4) ** 0.5)
+    spread = F.when(auto, (1 - 2 / pi) ** 0.5).otherwise((1 - pi / 4) ** 0.5)
+    z = F.abs(safe_divide(F.hypot("re", "im") - mean * F.col("sigma"), spread * F.col("sigma")))
+    if "flag" in diff.columns:
+        z = F.when(~F.col("flag"), z)
+    per = diff.groupBy("ant1", "ant2", "pol", "time_idx", F.expr(f"chan div {int(chans)}").alias("block")).agg(F.avg(z).alias("m"), F.count(z).alias("k"))
+    score = (F.col("m") - (2 / pi) ** 0.5) / F.sqrt(F.lit(1 - 2 / pi) / F.col("k"))
+    return per.groupBy("ant1", "ant2", "pol").agg(F.count_if(score > cut).alias("n"))
+
+
+def xengine_class(diff: DataFrame, chans: int = 96, cut: float = 10.0) -> DataFrame:
+    """Antennas by the bad blocks they are blamed for: good without any, else bad."""
+    return classify(blame(feeds(xengine_counts(diff, chans, cut))), "n", good=(0, 0), bad=(1, INF))

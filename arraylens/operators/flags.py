@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arraylens.functions.expr import at_least, finite, is_true
@@ -22,20 +22,20 @@ def flag_metric(
     out = metric.withColumn("flag", F.lit(False) if nsig_p is None else at_least(F.abs(value), nsig_p))
     for axis, nsig in (("chan", nsig_f), ("time_idx", nsig_t)):
         if nsig is not None:
-            c = collapse(metric, [*by, axis], method, value, weight, "_c").withColumn("_hit", F.col("_c").isNull() | at_least("_c", nsig))
+            c = collapse(metric, [*by, axis], method, value, weight, "_c").withColumn("_hit", F.col("_c").isNull() | at_least(F.abs("_c"), nsig))
             out = out.join(c.select(*by, axis, "_hit"), [*by, axis], "left").withColumn("flag", F.col("flag") | is_true(F.col("_hit"))).drop("_hit")
     return out
 
 
 def watershed_flag(
-    metric: DataFrame, nsig_p: float = 2.0, nsig_f: float | None = None, nsig_t: float | None = None, method: str = "quadmean", by: Sequence[str] = (), value: str = "v"
+    metric: DataFrame, nsig_p: float = 2.0, nsig_f: float | None = None, nsig_t: float | None = None, method: str = "quadmean", by: Sequence[str] = (), value: str = "v", weight: str | None = None,
 ) -> DataFrame:
     """Grows `flag` over pixels, then fully flagged channels and integrations over their neighbours."""
     by = list(by)
     out = grouped.watershed(metric.withColumnRenamed("flag", "seed"), by, value, "seed", nsig_p).drop("seed")
     for axis, nsig in (("chan", nsig_f), ("time_idx", nsig_t)):
         if nsig is not None:
-            c = collapse(out, [*by, axis], method, value, None, "z").join(out.groupBy(*by, axis).agg(F.bool_and("flag").alias("seed")), [*by, axis])
+            c = collapse(out, [*by, axis], method, value, weight, "z").join(out.groupBy(*by, axis).agg(F.bool_and("flag").alias("seed")), [*by, axis])
             grown = grouped.watershed_series(c, by, axis, "z", "seed", nsig, "_hit").select(*by, axis, "_hit")
             out = out.join(grown, [*by, axis], "left").withColumn("flag", F.col("flag") | is_true(F.col("_hit"))).drop("_hit")
     return out
@@ -44,7 +44,7 @@ def watershed_flag(
 def threshold_waterfall(
     metric: DataFrame, nsig_f: float = 7.0, nsig_t: float = 7.0, next_f: float = 3.0, next_t: float = 3.0, by: Sequence[str] = (), value: str = "v", fix_nonfinite_time: bool = False
 ) -> DataFrame:
-    """Flags whole channels and integrations by the modified z of their medians, grown along the axis.
+    """Flags whole channels and integrations by the size of the modified z of their medians, grown along the axis.
 
     A channel without any finite sample is flagged; an integration is so only
     with fix_nonfinite_time.
@@ -54,7 +54,7 @@ def threshold_waterfall(
     out = metric.withColumn("flag", F.lit(False))
     for axis, nsig, near, fix in (("chan", nsig_f, next_f, True), ("time_idx", nsig_t, next_t, fix_nonfinite_time)):
         z = modzscore_1d(x.groupBy(*by, axis).agg(F.median("_x").alias("_m")), by, "_m")
-        z = z.withColumn("z", F.coalesce(finite("z"), F.lit(float(nsig)) if fix else F.lit(None).cast("double")))
+        z = z.withColumn("z", F.coalesce(F.abs(finite("z")), F.lit(float(nsig)) if fix else F.lit(None).cast("double")))
         z = z.withColumn("seed", at_least("z", nsig))
         grown = grouped.watershed_series(z, by, axis, "z", "seed", near, "_hit").select(*by, axis, "_hit")
         out = out.join(grown, [*by, axis], "left").withColumn("flag", F.col("flag") | is_true(F.col("_hit"))).drop("_hit")
@@ -111,17 +111,31 @@ def apply_flags(data: DataFrame, flags: DataFrame, keys: Sequence[str] = ("time_
     return out.withColumn("net_flag", net).withColumn("flag", F.col("flag") | F.col("_f")).drop("_f")
 
 
-def flag_antennas(df: DataFrame, xants: Sequence[int]) -> DataFrame:
-    """Flags all rows of the antennas; df has ant1 and ant2, or ant."""
-    if not xants:
-        return df
+def of_antennas(df: DataFrame, xants: Sequence) -> Column:
+    """Whether a row has one of the antennas, or of the (antenna, feed) pairs; df has ant1, ant2 and pol, or ant and antpol or pol.
+
+    A row of an antenna without a feed has all its feeds; a baseline has the feed of each end that its polarization names.
+    """
+    whole = [x for x in xants if isinstance(x, int)]
+    pairs = [x for x in xants if not isinstance(x, int)]
     if {"ant1", "ant2"} <= set(df.columns):
-        hit = F.col("ant1").isin(*xants) | F.col("ant2").isin(*xants)
+        ends = [("ant1", F.substring("pol", 1, 1)), ("ant2", F.substring("pol", 2, 1))]
     elif "ant" in df.columns:
-        hit = F.col("ant").isin(*xants)
+        feed = F.substring("antpol", 2, 1) if "antpol" in df.columns else F.substring("pol", 1, 1) if "pol" in df.columns else None
+        ends = [("ant", feed)]
     else:
         raise ValueError("waterfalls without antennas can't be flagged by antenna")
-    return df.withColumn("flag", F.col("flag") | hit)
+    hit = F.lit(False)
+    for ant, feed in ends:
+        hit |= F.col(ant).isin(*whole)
+        for a, p in pairs:
+            hit |= (F.col(ant) == a) & (F.lit(True) if feed is None else feed == p[1])
+    return hit
+
+
+def flag_antennas(df: DataFrame, xants: Sequence) -> DataFrame:
+    """Flags all rows of the antennas or (antenna, feed) pairs."""
+    return df.withColumn("flag", F.col("flag") | of_antennas(df, xants)) if xants else df
 
 
 def array_flags(flags: DataFrame, share: float = 0.1, bad: Sequence[int] = ()) -> DataFrame:
@@ -219,12 +233,9 @@ def apply_a_priori(
     for on, axis, hits in ((flag_freqs, "chan", a_priori_channels(spec, freqs)), (flag_times, "time_idx", a_priori_times(spec, times))):
         if on:
             out = out.join(hits.withColumn("_hit", F.lit(True)), axis, "left").withColumn("flag", F.col("flag") | is_true(F.col("_hit"))).drop("_hit")
-    ants = a_priori_antennas(spec, indices_only=True) if flag_ants else []
+    ants = a_priori_antennas(spec) if flag_ants else []
     if drop_antennas and ants:
-        cols = [c for c in ("ant1", "ant2", "ant") if c in out.columns]
-        for c in cols:
-            out = out.where(~F.col(c).isin(*ants))
-        return out
+        return out.where(~of_antennas(out, ants))
     return flag_antennas(out, ants)
 
 

@@ -132,8 +132,19 @@ def modz(
         return d.assign(z=(d["d"] - med) / np.float64(mad) / reduce.MAD_AUTO)
 
 
+def auto_pass(autos: DataFrame, n: int, ex: Sequence[int], cut: float) -> tuple[set[int], dict[str, DataFrame | None]]:
+    """(excluded, scores by metric) of round n's four metrics, each of which starts from `ex`."""
+    after, scores = set(ex), {}
+    for name, (spec, dist) in reduce.AUTO_METRICS[n].items():
+        spectra = reduce.auto_spectra(autos, **spec, **({"ex_ants": ex} if spec.get("waterfall_norm") and n == 2 else {}))
+        found, scores[name] = modz_search(spectra, ex, cut, **dist)
+        after |= set(found)
+    return after, scores
+
+
 def auto_search(autos: DataFrame, cuts: tuple[float, float] = (8.0, 4.0), prior: Sequence[int] = ()) -> tuple[list[int], list[int]]:
-    """(first, second): antennas excluded after each round; a round's four metrics go on together until none excludes more.
+    """(first, second): antennas excluded after each round; a round's four metrics start from one set, whose union with
+    what they exclude is the next pass's set, until none excludes more.
 
     The second round divides by waterfalls of the antennas still kept, which
     Spark reduces anew in each pass.
@@ -142,12 +153,10 @@ def auto_search(autos: DataFrame, cuts: tuple[float, float] = (8.0, 4.0), prior:
     rounds = []
     for n, cut in zip((1, 2), cuts, strict=True):
         while True:
-            before = set(ex)
-            for spec, dist in reduce.AUTO_METRICS[n].values():
-                spectra = reduce.auto_spectra(autos, **spec, **({"ex_ants": ex} if spec.get("waterfall_norm") and n == 2 else {}))
-                ex = modz_search(spectra, ex, cut, **dist)[0]
-            if set(ex) == before:
+            after, _ = auto_pass(autos, n, ex, cut)
+            if after == set(ex):
                 break
+            ex = sorted(after)
         rounds.append(sorted(set(ex)))
     return rounds[0], rounds[1]
 

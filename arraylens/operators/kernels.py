@@ -185,13 +185,13 @@ def simple_flag_waterfall(
     """Median- and mean-filter flags with growth, then whole integrations and channels, edges and busy channels."""
     with np.errstate(all="ignore"):
         zmed = detrend_medfilt(x, None, kt, kf)
-        flags = watershed(zmed, zmed > first, next_to)
+        flags = watershed(zmed, np.abs(zmed) > first, next_to)  # growth is signed, starts are not
         zmean = detrend_meanfilt(x, flags, kt, kf)
-        grown = watershed(np.where(np.isfinite(zmean), zmean, -np.inf), (zmean > first) | flags, next_to)
+        grown = watershed(np.where(np.isfinite(zmean), zmean, -np.inf), (np.abs(zmean) > first) | flags, next_to)
         z = np.where(flags, zmed, zmean)
         z = np.where(np.isfinite(z), z, np.nan)
         freq, time = np.nanmedian(z, axis=0), np.nanmedian(z, axis=1)
-        zf, zt = modzscore(freq, kf, detrend=False), modzscore(time, kt, detrend=False)
+        zf, zt = np.abs(modzscore(freq, kf, detrend=False)), np.abs(modzscore(time, kt, detrend=False))
         zf = np.where(np.isfinite(zf), zf, first)
         if fix_nonfinite_time:
             zt = np.where(np.isfinite(zt), zt, first)
@@ -203,10 +203,10 @@ def simple_flag_waterfall(
 
 
 def max_gap(flags: np.ndarray, longest: int = 30) -> np.ndarray:
-    """For each run of unflagged samples' gap of flags longer than `longest`, flags the side with fewer unflagged samples."""
+    """At each run of flags longer than `longest`, the longest first and of equal ones the last, flags the side with fewer unflagged samples."""
     flags = flags.copy()
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]])))
-    runs = sorted(edge.reshape(-1, 2), key=lambda r: r[1] - r[0], reverse=True)
+    runs = sorted(edge.reshape(-1, 2), key=lambda r: (r[1] - r[0], r[0]), reverse=True)
     for a, b in runs:
         if b - a > longest:
             if np.sum(~flags[:a]) > np.sum(~flags[b:]):
@@ -216,27 +216,38 @@ def max_gap(flags: np.ndarray, longest: int = 30) -> np.ndarray:
     return flags
 
 
+def gauss_smooth(x: np.ndarray, sigma: float) -> np.ndarray:
+    """x weighted by a Gaussian over as many samples as it has, half of them before (rounded down), edges mirrored."""
+    n = len(x)
+    before, after = n // 2, n - n // 2
+    kernel = np.exp(-(np.arange(-before, after + 1) ** 2) / (2 * sigma**2))
+    return np.correlate(np.pad(x, (before, after), mode="symmetric"), kernel / kernel.sum(), "valid")
+
+
+def stretches(on: np.ndarray) -> np.ndarray:
+    """(start, stop) of each run of true values."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]]))).reshape(-1, 2)
+
+
 def convolution_flagging(metric: np.ndarray, start: np.ndarray, ok: tuple[float, float], sigma: float = 30, longest: int = 30) -> np.ndarray:
-    """Grows flags by a Gaussian-smoothed metric until nothing changes, then limits gaps."""
-    half = int(len(metric)) // 2
-    at = np.arange(-half, half + 1)
-    kernel = np.exp(-(at**2) / (2 * max(sigma, 1e-9) ** 2))
-    kernel /= kernel.sum()
-    smooth = np.convolve(np.pad(metric, half, mode="symmetric"), kernel, "valid")
-    flags = max_gap(start | (metric > ok[1]), longest)
+    """Adds the whole stretches in which the smoothed metric never returns to the ok range, and limits gaps, until nothing changes.
+
+    Stretches are what lies between the flagged ones whose smoothed metric exceeds the range; other flags don't end one.
+    """
+    smooth = gauss_smooth(metric, sigma)
+    fine = (smooth >= ok[0]) & (smooth <= ok[1])
+    flags = start.copy()
     while True:
-        new = flags.copy()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]])))
-        for a, b in edge.reshape(-1, 2):
-            while a > 0 and not ok[0] <= smooth[a - 1] <= ok[1]:
-                a -= 1
-            while b < len(new) and not ok[0] <= smooth[b] <= ok[1]:
-                b += 1
-            new[a:b] = True
-        new = max_gap(new, longest)
-        if (new == flags).all():
+        before = flags.sum()
+        rest = np.ones(len(flags), bool)
+        for a, b in stretches(flags):
+            rest[a:b] = not (smooth[a:b] > ok[1]).any()
+        for a, b in stretches(rest):
+            if not fine[a:b].any():
+                flags[a:b] = True
+        flags = max_gap(flags, longest)
+        if flags.sum() == before:
             return flags
-        flags = new
 
 
 def dpss_basis(freqs: np.ndarray, centers: list[float], half_widths: list[float], cutoffs: list[float]) -> np.ndarray:
@@ -265,7 +276,7 @@ def dpss_flagger(
         fit = np.linalg.lstsq(a, np.where(w[i], row, 0), rcond=None)[0]
         model = basis @ fit
         with np.errstate(all="ignore"):
-            out[i] = np.abs(row - model) > nsig * np.abs(model) * noise[i] / np.where(good[i], row, np.nan)
+            out[i] = row - model > nsig * np.abs(model) * noise[i] / np.where(good[i], row, np.nan)
     return out
 
 

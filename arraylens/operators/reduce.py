@@ -102,8 +102,10 @@ def reduce_axis(df: DataFrame, by: Sequence[str], how: str, value: str = "v", ou
     raise ValueError(f"unknown reducer {how!r}")
 
 
-def _without(df: DataFrame, ex_ants: Sequence[int]) -> DataFrame:
-    return df.where(~F.col("ant").isin(*ex_ants)) if len(ex_ants) else df
+def _over(df: DataFrame, by: Sequence[str], how: str, value: str, ex_ants: Sequence[int] = ()) -> Column:
+    """Median or mean of the group's other rows and this one, antennas of ex_ants left out."""
+    x = F.when(~F.col("ant").isin(*ex_ants), F.col(value)) if len(ex_ants) else F.col(value)
+    return {"median": F.median, "mean": F.avg}[how](x).over(Window.partitionBy(*by))
 
 
 def auto_spectra(
@@ -115,8 +117,8 @@ def auto_spectra(
     not in ex_ants; scalar_norm divides by the `norm` of the antenna's waterfall.
     """
     if waterfall_norm:
-        ref = reduce_axis(_without(autos, ex_ants), ["pol", "time_idx", "chan"], norm, out="_ref")
-        autos = autos.join(ref, ["pol", "time_idx", "chan"]).withColumn("v", safe_divide("v", "_ref")).drop("_ref")
+        ref = _over(autos, ["pol", "time_idx", "chan"], norm, "v", ex_ants)  # a group has a row for each antenna
+        autos = autos.withColumn("v", safe_divide(F.col("v"), ref))
     out = reduce_axis(autos, ["ant", "pol", "chan"], how)
     if scalar_norm:
         out = out.join(reduce_axis(autos, ["ant", "pol"], norm, out="_n"), ["ant", "pol"])
@@ -128,7 +130,7 @@ def spectrum_distance(
     spectra: DataFrame, ex_ants: Sequence[int] = (), overall: str = "median", metric: str = "median", power: float = 1.0, log: bool = False, abs_diff: bool = True
 ) -> DataFrame:
     """(ant, pol, d): each spectrum's reduced difference from its polarization's overall spectrum."""
-    ref = reduce_axis(_without(spectra, ex_ants), ["pol", "chan"], overall, "s", "_ref")
+    spectra = spectra.withColumn("_ref", _over(spectra, ["pol", "chan"], overall, "s", ex_ants))  # a group has a row for each antenna
     x = F.col("s") - F.col("_ref")
     if log:
         x = F.when(F.col("s") > 0, F.ln("s")) - F.when(F.col("_ref") > 0, F.ln("_ref"))
@@ -136,17 +138,20 @@ def spectrum_distance(
         x = F.abs(x)
     if power != 1.0:
         x = F.pow(x, F.lit(power))
-    both = spectra.join(ref, ["pol", "chan"]).select("ant", "pol", "chan", x.alias("x"))
+    both = spectra.select("ant", "pol", "chan", x.alias("x"))
     return reduce_axis(both, ["ant", "pol"], metric, "x", "d")
 
 
 def modified_z(df: DataFrame, value: str = "d", out: str = "z", keep: Column | None = None, scale: float = MAD_AUTO) -> DataFrame:
-    """df with (value - median) / MAD / scale, medians over all rows that `keep` holds for."""
-    kept = df if keep is None else df.where(keep)
-    med = kept.agg(F.median(value).alias("_med"))
-    mad = kept.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))  # one row each
-    z = ieee_divide(F.col(value) - F.col("_med"), F.col("_mad")) / F.lit(scale)
-    return df.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad)).withColumn(out, z).drop("_med", "_mad")
+    """df with (value - median) / MAD / scale, medians over all rows that `keep` holds for.
+
+    df is a table of antennas, which the array bounds: one window over it reads it once.
+    """
+    w = Window.partitionBy(F.lit(0))
+    kept = F.lit(True) if keep is None else keep
+    x = df.withColumn("_med", F.median(F.when(kept, F.col(value))).over(w))
+    x = x.withColumn("_mad", F.median(F.when(kept, F.abs(F.col(value) - F.col("_med")))).over(w))
+    return x.withColumn(out, ieee_divide(F.col(value) - F.col("_med"), F.col("_mad")) / F.lit(scale)).drop("_med", "_mad")
 
 
 def spectrum_modz(spectra: DataFrame, ex_ants: Sequence[int] = (), **how) -> DataFrame:

@@ -30,8 +30,8 @@ def gain_curves(cal: DataFrame, kind: str = "phase") -> DataFrame:
 
 
 def chisq_curves(cal: DataFrame) -> DataFrame:
-    """(ant, antpol, chan, chisq): averages over time."""
-    return cal.groupBy("ant", "antpol", "chan").agg(F.avg("chisq").alias("chisq"))
+    """(ant, antpol, chan, chisq): medians over time."""
+    return cal.groupBy("ant", "antpol", "chan").agg(F.median("chisq").alias("chisq"))
 
 
 def baseline_matrix(vis: DataFrame, corr: bool = True) -> DataFrame:

@@ -121,14 +121,13 @@ def average_good_waterfall(spark, sf_dir):
 _BL = """
 SELECT a.ant AS ant1, b.ant AS ant2, CASE a.chan // 16 WHEN 0 THEN 'ee' WHEN 1 THEN 'nn' WHEN 2 THEN 'en' ELSE 'ne' END AS pol, a.time_idx, a.chan,
        a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im
-FROM ad_spec a JOIN ad_spec b USING (time_idx, chan) WHERE a.ant < b.ant AND a.time_idx < 12
+FROM ad_spec a JOIN ad_spec b USING (time_idx, chan) WHERE a.ant < b.ant
 """
 _EVEN_ODD = "eo AS (SELECT e.ant1, e.ant2, e.pol, e.re * o.re + e.im * o.im AS re, e.im * o.re - e.re * o.im AS im FROM bl e JOIN bl o ON e.ant1 = o.ant1 AND e.ant2 = o.ant2 AND e.pol = o.pol AND e.chan = o.chan AND e.time_idx % 2 = 0 AND o.time_idx = e.time_idx + 1)"
 _CORR = f"WITH bl AS ({_BL}), {_EVEN_ODD}, cs AS (SELECT ant1, ant2, pol, sqrt(pow(avg(re / hyp), 2) + pow(avg(im / hyp), 2)) AS corr FROM (SELECT *, sqrt(re * re + im * im) AS hyp FROM eo) WHERE hyp > 0 GROUP BY ALL), ed AS (SELECT * FROM cs UNION ALL SELECT ant2, ant1, pol, corr FROM cs)"
 
 
-#: The same over all integrations of the labels.
-_BL_ALL, _CORR_ALL = (x.replace(" AND a.time_idx < 12", "") for x in (_BL, _CORR))
+_BL_ALL, _CORR_ALL = _BL, _CORR
 
 
 def _baselines(spark, sf_dir):
@@ -143,11 +142,6 @@ def _baselines(spark, sf_dir):
     )
 
 
-def _first_baselines(spark, sf_dir):
-    """The first 12 integrations, as _BL takes them."""
-    return _baselines(spark, sf_dir).where("time_idx < 12")
-
-
 @query(_CORR_ALL + " SELECT ant1, ant2, pol, round(corr, 6) AS corr FROM cs", "ad_spec")
 def corr_stats_interleaved_all(spark, sf_dir):
     return rounded(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)), "ant1", "ant2", "pol")
@@ -193,24 +187,23 @@ def _edges(spark, sf_dir):
 
 @query(_CORR + " SELECT ant1, ant2, pol, round(corr, 6) AS corr FROM cs", "ad_spec")
 def corr_stats_interleaved(spark, sf_dir):
-    return rounded(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)), "ant1", "ant2", "pol")
+    return rounded(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)), "ant1", "ant2", "pol")
 
 
 @query(
     f"""WITH bl AS ({_BL}), eo AS (SELECT s.ant1, s.ant2, s.pol, (s.re + d.re) AS er, (s.im + d.im) AS ei, (s.re - d.re) AS o_r, (s.im - d.im) AS oi
-FROM bl s JOIN bl d ON s.ant1 = d.ant1 AND s.ant2 = d.ant2 AND s.pol = d.pol AND s.chan = d.chan AND s.time_idx < 6 AND d.time_idx = s.time_idx + 6),
+FROM bl s JOIN bl d ON s.ant1 = d.ant1 AND s.ant2 = d.ant2 AND s.pol = d.pol AND s.chan = d.chan AND s.time_idx % 2 = 0 AND d.time_idx = s.time_idx + 1),
 p AS (SELECT ant1, ant2, pol, er * o_r + ei * oi AS re, ei * o_r - er * oi AS im FROM eo)
 SELECT ant1, ant2, pol, round(sqrt(pow(avg(re / h), 2) + pow(avg(im / h), 2)), 6) AS corr FROM (SELECT *, sqrt(re * re + im * im) AS h FROM p) WHERE h > 0 GROUP BY ALL""",
     "ad_spec",
 )
 def corr_stats_sumdiff(spark, sf_dir):
-    b = _first_baselines(spark, sf_dir)
-    return rounded(reduce.corr_stats_sumdiff(b.where("time_idx < 6"), b.where("time_idx >= 6").withColumn("time_idx", F.col("time_idx") - 6)), "ant1", "ant2", "pol")
+    return corr_stats_sumdiff_all(spark, sf_dir)
 
 
 @query(_CORR + " SELECT ant1 AS ant, pol, round(avg(corr), 6) AS corr FROM ed WHERE pol IN ('ee', 'nn') GROUP BY ALL", "ad_spec")
 def corr_per_ant(spark, sf_dir):
-    return rounded(reduce.corr_per_ant(reduce.corr_edges(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)))), "ant", "pol")
+    return rounded(reduce.corr_per_ant(reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))), "ant", "pol")
 
 
 @query(
@@ -218,14 +211,14 @@ def corr_per_ant(spark, sf_dir):
     "ad_spec",
 )
 def corr_cross_pol(spark, sf_dir):
-    return rounded(reduce.corr_cross_pol(reduce.corr_edges(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)))), "ant")
+    return rounded(reduce.corr_cross_pol(reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))), "ant")
 
 
 @query(
     _CORR + " SELECT ant1 AS ant, pol FROM ed WHERE pol IN ('ee', 'nn') GROUP BY ALL HAVING coalesce(median(CASE WHEN corr > 0.2 THEN corr ELSE 0 END), 0) = 0", "ad_spec"
 )
 def dead_ants(spark, sf_dir):
-    e = reduce.corr_edges(reduce.corr_stats_interleaved(_first_baselines(spark, sf_dir)))
+    e = reduce.corr_edges(reduce.corr_stats_interleaved(_baselines(spark, sf_dir)))
     return reduce.dead_ants(e.withColumn("corr", F.when(F.col("corr") > 0.2, F.col("corr")).otherwise(0.0)))
 
 
@@ -236,7 +229,7 @@ def ant_iterative(spark, sf_dir):
 
 @query()
 def iter_modz_exclusion(spark, sf_dir):
-    out, _ = iterate.modz_search(reduce.auto_spectra(_inner(spark, sf_dir)), cut=2.0)
+    out, _ = iterate.modz_search(reduce.auto_spectra(_inner(spark, sf_dir)), cut=1.0)
     return spark.createDataFrame([(a,) for a in out], "ant int")
 
 
@@ -463,7 +456,15 @@ def watershed_1d(spark, sf_dir):
     return grouped.watershed_series(s, [], "chan", "z", "seed", 0.0).select("chan", "flag")
 
 
-@query()
+@query(
+    f"""WITH {_GRID}, m AS (SELECT time_idx, chan, {_UPPER} AS m FROM {_boxes(2, "g", False)} GROUP BY ALL),
+d AS (SELECT time_idx, chan, g.v - m AS d, (g.v - m) * (g.v - m) AS v FROM g JOIN m USING (time_idx, chan)),
+s AS (SELECT time_idx, chan, {_UPPER} AS s FROM {_boxes(2, "d", False)} GROUP BY ALL),
+z AS (SELECT time_idx, chan, CASE WHEN sqrt(s / {MAD_SQUARE}) > 2.220446049250313e-16 THEN d / sqrt(s / {MAD_SQUARE}) ELSE 'inf'::DOUBLE END AS z FROM d JOIN s USING (time_idx, chan)),
+f AS (SELECT time_idx, chan FROM z WHERE z >= 4 UNION SELECT z.time_idx, z.chan FROM f JOIN z ON abs(z.time_idx - f.time_idx) + abs(z.chan - f.chan) = 1 WHERE z.z >= 2)
+SELECT z.time_idx, z.chan, f.time_idx IS NOT NULL AS flag FROM z LEFT JOIN f USING (time_idx, chan)""",
+    "ad_wf",
+)
 def xrfi_waterfall(spark, sf_dir):
     return grouped.xrfi(_grid(spark, sf_dir), [], 2, 2, 4.0, 2.0).select("time_idx", "chan", "flag")
 
@@ -541,9 +542,19 @@ def edge_cut(spark, sf_dir):
     return flags.edge_mask(waterfall(spark, sf_dir), 2, 24).select("time_idx", "chan", "edge")
 
 
-@query()
+def _axis_sql(axis: str, n: str) -> str:
+    """Modified z of the medians along an axis, and its flags as a recursive union."""
+    m = f"{n}m AS (SELECT {axis} AS i, median(z) AS m FROM z GROUP BY {axis})"
+    c = f"{n}c AS (SELECT median(m) AS c FROM {n}m)"
+    s = f"{n}s AS (SELECT i, abs((m - c) / sqrt((SELECT median((m - c) * (m - c)) FROM {n}m, {n}c) / {MAD_SQUARE})) AS s FROM {n}m, {n}c)"
+    return f"{m}, {c}, {s}, {n}f AS (SELECT i FROM {n}s WHERE s >= 2 UNION SELECT {n}s.i FROM {n}f JOIN {n}s ON abs({n}s.i - {n}f.i) = 1 WHERE {n}s.s >= 1)"
+
+
+@query(
+    f"WITH {_ZS}, {_axis_sql('chan', 'f')}, {_axis_sql('time_idx', 't')} SELECT time_idx, chan, chan IN (SELECT i FROM ff) OR time_idx IN (SELECT i FROM tf) AS flag FROM z", "ad_wf"
+)
 def threshold_waterfall(spark, sf_dir):
-    return flags.threshold_waterfall(_zwf(spark, sf_dir), 3.0, 3.0, 1.0, 1.0, value="z").select("time_idx", "chan", "flag")
+    return flags.threshold_waterfall(_zwf(spark, sf_dir), 2.0, 2.0, 1.0, 1.0, value="z").select("time_idx", "chan", "flag")
 
 
 # A-priori flags
@@ -589,7 +600,7 @@ def auto_power_class(spark, sf_dir):
 @query(
     f"""WITH m AS (SELECT ant, {_ANTPOL} AS antpol, chan, avg(v) AS m FROM ad_autos GROUP BY ALL),
 f AS (SELECT a.ant, a.antpol, a.chan, list_sort(list(b.m))[count(*) // 2 + 1] AS s FROM m a CROSS JOIN (SELECT unnest(range(-2, 3)) AS o) JOIN m b ON a.ant = b.ant AND a.antpol = b.antpol AND b.chan = {_REFLECT.format(i="(a.chan + o)", n=24)} GROUP BY ALL)
-SELECT ant, antpol, round(regr_slope(s, (chan - 2) / 19 - 0.5) / regr_intercept(s, (chan - 2) / 19 - 0.5), 6) AS value FROM f WHERE chan BETWEEN 2 AND 21 GROUP BY ALL""",
+SELECT ant, antpol, round(regr_slope(s, chan / 23 - 0.5) / regr_intercept(s, chan / 23 - 0.5), 6) AS value FROM f WHERE chan BETWEEN 2 AND 21 GROUP BY ALL""",
     "ad_autos",
 )
 def auto_slope(spark, sf_dir):
@@ -626,7 +637,7 @@ def class_merge(spark, sf_dir):
     "ad_spec",
 )
 def even_odd_zero_counts(spark, sf_dir):
-    b = _first_baselines(spark, sf_dir).withColumn("re", F.when(F.abs("re") < 0.002, 0.0).otherwise(1.0)).withColumn("im", F.lit(0.0))
+    b = _baselines(spark, sf_dir).withColumn("re", F.when(F.abs("re") < 0.002, 0.0).otherwise(1.0)).withColumn("im", F.lit(0.0))
     none = b.withColumn("re", F.lit(0.0))
     return classify.even_odd_zeros(b, none)
 
@@ -649,16 +660,16 @@ def even_odd_zero_blame(spark, sf_dir):
 # Covariance, noise and calibration
 
 _PAIR = """
-p AS (SELECT a.ant AS b1, b.ant AS b2, a.re AS r1, a.im AS i1, b.re AS r2, b.im AS i2 FROM ad_spec a JOIN ad_spec b USING (time_idx, chan) WHERE a.ant < 3 AND b.ant BETWEEN 3 AND 5),
+p AS (SELECT a.ant AS b1, b.ant AS b2, a.re AS r1, a.im AS i1, b.re AS r2, b.im AS i2 FROM ad_spec a JOIN ad_spec b USING (time_idx, chan)),
 s AS (SELECT b1, b2, count(*) AS n, avg(r1 * r2 + i1 * i2) - (avg(r1) * avg(r2) + avg(i1) * avg(i2)) AS re, avg(i1 * r2 - r1 * i2) - (avg(i1) * avg(r2) - avg(r1) * avg(i2)) AS im,
 avg(r1 * r1 + i1 * i1) - (pow(avg(r1), 2) + pow(avg(i1), 2)) AS v1, avg(r2 * r2 + i2 * i2) - (pow(avg(r2), 2) + pow(avg(i2), 2)) AS v2 FROM p GROUP BY ALL)
 """
 
-#: All pairs of labels, in both orders and with themselves.
-_PAIR_ALL = _PAIR.replace(" WHERE a.ant < 3 AND b.ant BETWEEN 3 AND 5", "")
+_PAIR_ALL = _PAIR
 
 
 def _cov_all(spark, sf_dir, corr):
+    """All pairs of labels, in both orders and with themselves."""
     s = spectra(spark, sf_dir).withColumnRenamed("ant", "bl")
     return rounded(calibration.covariance(s, s, corr=corr), "b1", "b2", "n")
 
@@ -673,20 +684,14 @@ def bl_corr_all(spark, sf_dir):
     return _cov_all(spark, sf_dir, True)
 
 
-def _cov(spark, sf_dir, corr):
-    """Labels 0 to 2 with 3 to 5, as _PAIR takes them."""
-    s = spectra(spark, sf_dir).withColumnRenamed("ant", "bl")
-    return rounded(calibration.covariance(s.where("bl < 3"), s.where("bl between 3 and 5"), corr=corr), "b1", "b2", "n")
-
-
 @query(f"WITH {_PAIR} SELECT b1, b2, n, round(re, 6) AS re, round(im, 6) AS im FROM s", "ad_spec")
 def bl_cov(spark, sf_dir):
-    return _cov(spark, sf_dir, False)
+    return _cov_all(spark, sf_dir, False)
 
 
 @query(f"WITH {_PAIR} SELECT b1, b2, n, round(re / greatest(sqrt(v1 * v2), 1e-10), 6) AS re, round(im / greatest(sqrt(v1 * v2), 1e-10), 6) AS im FROM s", "ad_spec")
 def bl_corr(spark, sf_dir):
-    return _cov(spark, sf_dir, True)
+    return _cov_all(spark, sf_dir, True)
 
 
 @query(
@@ -700,13 +705,13 @@ def noise_variance(spark, sf_dir):
     return rounded(windows.noise_variance(s, ["ant"]), "ant", "chan")
 
 
-def _biweight_sql(src: str, by: str) -> str:
+def _biweight_sql(src: str, by: str, n: str = "") -> str:
     return f"""
-bm AS (SELECT {by}, median(v) AS m FROM {src} GROUP BY ALL), bd AS (SELECT {by}, v, m FROM {src} JOIN bm USING ({by})),
-ba AS (SELECT {by}, median(abs(v - m)) AS mad FROM bd GROUP BY ALL),
-bu AS (SELECT {by}, m, v - m AS d, pow((v - m) / nullif(6 * mad, 0), 2) AS u6, pow((v - m) / nullif(9 * mad, 0), 2) AS u9 FROM bd JOIN ba USING ({by})),
-bw AS (SELECT {by}, any_value(m) + coalesce(sum(CASE WHEN u6 < 1 THEN d * pow(1 - u6, 2) END) / sum(CASE WHEN u6 < 1 THEN pow(1 - u6, 2) END), 0) AS loc,
-coalesce(count(*) * sum(CASE WHEN u9 < 1 THEN d * d * pow(1 - u9, 4) END) / nullif(pow(sum(CASE WHEN u9 < 1 THEN (1 - u9) * (1 - 5 * u9) END), 2), 0), 0) AS midvar FROM bu GROUP BY ALL)
+bm{n} AS (SELECT {by}, median(v) AS m FROM {src} GROUP BY ALL), bd{n} AS (SELECT {by}, v, m FROM {src} JOIN bm{n} USING ({by})),
+ba{n} AS (SELECT {by}, median(abs(v - m)) AS mad FROM bd{n} GROUP BY ALL),
+bu{n} AS (SELECT {by}, m, v - m AS d, pow((v - m) / nullif(6 * mad, 0), 2) AS u6, pow((v - m) / nullif(9 * mad, 0), 2) AS u9 FROM bd{n} JOIN ba{n} USING ({by})),
+bw{n} AS (SELECT {by}, any_value(m) + coalesce(sum(CASE WHEN u6 < 1 THEN d * pow(1 - u6, 2) END) / sum(CASE WHEN u6 < 1 THEN pow(1 - u6, 2) END), 0) AS loc,
+coalesce(count(*) * sum(CASE WHEN u9 < 1 THEN d * d * pow(1 - u9, 4) END) / nullif(pow(sum(CASE WHEN u9 < 1 THEN (1 - u9) * (1 - 5 * u9) END), 2), 0), 0) AS midvar FROM bu{n} GROUP BY ALL)
 """
 
 
@@ -749,21 +754,9 @@ def delay_fit(spark, sf_dir):
     return d.select("ant", "time_idx", (r6(F.col("delay_s") * 1e9) + 0.0).alias("delay_ns"))
 
 
-@query(
-    f"""WITH dl AS (SELECT ant, time_idx, re AS v FROM ad_spec WHERE chan = 5), md AS (SELECT ant, median(v) AS md FROM dl GROUP BY ant), x AS (SELECT ant, v - md AS v FROM dl JOIN md USING (ant)),
-{_biweight_sql('x', 'ant')} SELECT ant, round((SELECT avg(v) FROM x y WHERE y.ant = bw.ant), 6) AS ant_avg, round(sqrt(midvar), 6) AS ant_std FROM bw""",
-    "ad_spec",
-)
-def delay_std(spark, sf_dir):
-    """Of one channel's real part in place of delays, as its SQL takes it."""
-    d = spectra(spark, sf_dir).where("chan = 5").withColumnRenamed("re", "delay")
-    ant, _, _ = calibration.delay_std(calibration.delay_fluctuations(d, ["ant"]), ["ant"])
-    return rounded(ant.drop("ant_z"), "ant")
-
-
 @query(
     f"""WITH {_UNWRAP}, dl AS (SELECT ant, time_idx, median(s) / (-2 * pi()) * 1e9 AS v FROM s GROUP BY ALL), md AS (SELECT ant, median(v) AS md FROM dl GROUP BY ant), x AS (SELECT ant, v - md AS v FROM dl JOIN md USING (ant)),
-{_biweight_sql('x', 'ant')} SELECT ant, round((SELECT avg(v) FROM x y WHERE y.ant = bw.ant), 6) AS ant_avg, round(sqrt(midvar), 6) AS ant_std FROM bw""",
+{_biweight_sql('x', 'ant')} SELECT ant, round((SELECT md FROM md WHERE md.ant = bw.ant), 6) AS ant_avg, round(sqrt(midvar), 6) AS ant_std FROM bw""",
     "ad_spec",
 )
 def delay_std_fitted(spark, sf_dir):
@@ -774,6 +767,53 @@ def delay_std_fitted(spark, sf_dir):
     return rounded(ant.drop("ant_z"), "ant")
 
 
+@query(ORACLE["delay_std_fitted"])
+def delay_std(spark, sf_dir):
+    return delay_std_fitted(spark, sf_dir)
+
+
+@query(
+    f"""WITH x AS (SELECT ant, abs(re) AS v FROM ad_spec WHERE chan BETWEEN 4 AND 59), {_biweight_sql('x', 'ant')},
+y AS (SELECT 1 AS o, sqrt(midvar) AS v FROM bw), {_biweight_sql('y', 'o', 'y')}, t AS (SELECT 1 AS o, v FROM x), {_biweight_sql('t', 'o', 't')},
+q AS (SELECT ant, bw.loc AS chisq_avg, sqrt(bw.midvar) AS chisq_std, bwy.loc AS std_loc, sqrt(bwy.midvar) AS std_scale, bwt.loc AS tot_avg FROM bw, bwy, bwt)
+SELECT ant, round(chisq_avg, 6) AS chisq_avg, round(chisq_std, 6) AS chisq_std, round(std_loc, 6) AS std_loc, round(std_scale, 6) AS std_scale, round(tot_avg, 6) AS tot_avg,
+round((chisq_std - std_loc) / std_scale, 6) AS z, round((SELECT max(abs((chisq_std - std_loc) / std_scale)) FROM q), 6) AS max_z, (SELECT max(abs((chisq_std - std_loc) / std_scale)) FROM q) < 4 AS good FROM q""",
+    "ad_spec",
+)
+def chisq_metric(spark, sf_dir):
+    cal = spectra(spark, sf_dir).select("ant", "time_idx", "chan", F.abs("re").alias("chisq"))
+    return rounded(calibration.chisq_metric(cal, ["ant"], 4.0, 4, 64), "ant", "good")
+
+
+@query(
+    "SELECT time_idx, round(median(m), 6) AS chisq_avg FROM (SELECT time_idx, chan, median(abs(re)) AS m FROM ad_spec WHERE chan BETWEEN 4 AND 59 GROUP BY ALL) GROUP BY time_idx", "ad_spec"
+)
+def chisq_over_time(spark, sf_dir):
+    cal = spectra(spark, sf_dir).select("ant", "time_idx", "chan", F.abs("re").alias("chisq"))
+    return rounded(calibration.chisq_over_time(cal, 4, 64), "time_idx")
+
+
+_XENGINE = """
+WITH d AS (SELECT ant AS ant1, ant AS ant2, 'ee' AS pol, time_idx, chan // 16 AS block, abs((sqrt(re * re + im * im) - sqrt(2 / pi()) * 0.05) / (sqrt(1 - 2 / pi()) * 0.05)) AS z FROM ad_spec),
+b AS (SELECT ant1, ant2, pol, time_idx, block, (avg(z) - sqrt(2 / pi())) / sqrt((1 - 2 / pi()) / count(z)) AS z FROM d GROUP BY ALL)
+SELECT ant1, ant2, pol, CAST(count_if(z > 8) AS BIGINT) AS n FROM b GROUP BY ALL
+"""
+
+
+def _diffs(spark, sf_dir):
+    return spectra(spark, sf_dir).select(F.col("ant").alias("ant1"), F.col("ant").alias("ant2"), F.lit("ee").alias("pol"), "time_idx", "chan", "re", "im", F.lit(0.05).alias("sigma"))
+
+
+@query(_XENGINE, "ad_spec")
+def xengine_counts(spark, sf_dir):
+    return classify.xengine_counts(_diffs(spark, sf_dir), 16, 8.0)
+
+
+@query("WITH n AS (" + _XENGINE.strip() + ") SELECT ant1 AS ant, 'Jee' AS antpol, CASE WHEN n = 0 THEN 'good' ELSE 'bad' END AS class FROM n", "ad_spec")
+def xengine_class(spark, sf_dir):
+    return classify.xengine_class(_diffs(spark, sf_dir), 16, 8.0)
+
+
 @query()
 def phase_spectrum(spark, sf_dir):
     return rounded(grouped.phase_spectra(spectra(spark, sf_dir), ["ant"]), "ant", "mode")

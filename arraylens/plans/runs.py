@@ -25,28 +25,30 @@ def auto_metrics(autos: DataFrame, cuts: tuple[float, float] = (8.0, 4.0), edge_
     Round 2 leaves out the pixels that the mean waterfall of the kept antennas flags.
     """
     inner = flags.edge_mask(autos, edge_cut).where("NOT edge").drop("edge")
-    first, _ = iterate.auto_search(inner, (cuts[0], INF), prior)
+    first = sorted(set(prior))
+    while (after := iterate.auto_pass(inner, 1, first, cuts[0])[0]) != set(first):
+        first = sorted(after)
     mean = reduce.collapse(autos.where(~F.col("ant").isin(*first)) if first else autos, ["time_idx", "chan"], "mean").select("time_idx", "chan", "v")
     mask = grouped.simple_flags(mean, [], edge_cut=edge_cut, **rfi).select("time_idx", "chan", "flag")
     clean = autos.join(mask, ["time_idx", "chan"]).where("NOT flag").drop("flag")
     ex = list(first)
     while True:
-        before = set(ex)
-        scores = {}
-        for name, (spec, dist) in reduce.AUTO_METRICS[2].items():
-            s = reduce.auto_spectra(clean, **spec, **({"ex_ants": ex} if spec.get("waterfall_norm") else {}))
-            ex, scores[name] = iterate.modz_search(s, ex, cuts[1], **dist)
-        if set(ex) == before:
+        after, scores = iterate.auto_pass(clean, 2, ex, cuts[1])
+        if after == set(ex):
             return {"round1": first, "round2": sorted(ex), "flags": mask, "scores": scores}
+        ex = sorted(after)
 
 
 def metric_pipe(
     data: DataFrame, by: Sequence[str], algorithm: str = "detrend_medfilt", kt: int = 8, kf: int = 8, value: str = "v", centre: bool = True, method: str = "quadmean"
 ) -> DataFrame:
-    """(time_idx, chan, v, w): an algorithm on each waterfall, collapsed over waterfalls, and filtered again (centred)."""
+    """(time_idx, chan, v, w): an algorithm on each waterfall, collapsed over waterfalls, and filtered again (centred).
+
+    w is 1 where there are data and else 0, so that all products count alike when they are combined.
+    """
     z = grouped.detrend(data, by, algorithm, kt, kf, value)
     z = z.withColumn("z", F.when(F.abs("z") < INF, F.col("z")))
-    wf = reduce.collapse(z, ["time_idx", "chan"], method, "z")
+    wf = reduce.collapse(z, ["time_idx", "chan"], method, "z").withColumn("w", F.when(F.col("w") > 0, 1.0).otherwise(0.0))
     if not centre:
         return reduce.infinite(wf, "v")
     again = grouped.detrend(wf, [], algorithm, kt, kf, "v", out="z")
@@ -129,7 +131,7 @@ def firstcal_metrics(gains: DataFrame, std_cut: float = 0.5, by: Sequence[str] =
         fluct = remove_drift(fluct, by)
     ant, time, agg = calibration.delay_std(fluct, by)
     ant = ant.join(rotated, list(by)).withColumn("bad", (F.col("ant_std") > std_cut) | F.col("rotated"))
-    return {"delays": fluct, "ants": ant, "times": time, "all": agg.withColumn("good", F.col("agg_std") < std_cut)}
+    return {"delays": fluct, "ants": ant, "times": time, "all": agg.withColumn("good", ~(F.col("max_std") > std_cut))}
 
 
 def remove_drift(fluct: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -149,7 +151,7 @@ def remove_drift(fluct: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def omnical_metrics(cal: DataFrame, firstcal: DataFrame | None = None, edge: int = 0, channels: int | None = None, phs_cut: float = 0.3, chisq_cut: float = 4.0) -> dict[str, DataFrame]:
     """Chi-square metrics of calibration solutions and, against firstcal gains, phase metrics."""
-    out = {"chisq": calibration.chisq_metric(cal, cut=chisq_cut)}
+    out = {"chisq": calibration.chisq_metric(cal, cut=chisq_cut, edge=edge, channels=channels), "chisq_time": calibration.chisq_over_time(cal, edge, channels)}
     if firstcal is not None:
         ratio = calibration.gain_ratio(cal, firstcal)
         p = calibration.phase_residuals(ratio)
