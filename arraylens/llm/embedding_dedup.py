@@ -278,11 +278,15 @@ def embedding_duplicates(
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, codes = [], []
-            for dim, unit in zip(batch.column("dim").to_pylist(), batch.column("unit").to_pylist(), strict=True):
-                axes, spread = shared.value[dim]
-                x = np.frombuffer(unit) @ axes
-                out.append(x.tobytes()), codes.append(int(order_of(x[None], spread)[0]))
+            dims, given = batch.column("dim").to_numpy(), batch.column("unit").to_pylist()
+            out, codes = [b""] * len(given), np.zeros(len(given), np.int64)
+            for dim in np.unique(dims):
+                axes, spread = shared.value[int(dim)]
+                at = np.flatnonzero(dims == dim)
+                x = np.frombuffer(b"".join(given[i] for i in at)).reshape(len(at), int(dim)) @ axes
+                codes[at] = order_of(x, spread)
+                for i, row in zip(at, x, strict=True):
+                    out[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("label", "dim", "rep", "weight")), pa.array(out, pa.binary()), pa.array(codes, pa.int64())],
                 names=["label", "dim", "rep", "weight", "row", "code"],
