@@ -309,6 +309,30 @@ def load(definition: str) -> Bpe:
     return _loaded[key]
 
 
+def encode_decode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>, text) of each row's whole text: its ids, and the text that these ids decode to.
+
+    As `encode` and then `decode`, in one pass: one Python worker a task, with one
+    model, and no ids sent back to be decoded.
+    """
+    spark = documents.sparkSession
+    bound_batches(spark)
+    with open(tokenizer, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())  # one vocabulary file
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(shared.value)
+        for batch in batches:
+            flat, lengths = model.encode_all(batch.column(1).to_pylist())
+            at = np.append(0, np.cumsum(lengths)).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
+            texts = pa.array([model.decode(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, texts], schema=schema)
+
+    return with_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def encode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of each row's whole text; tokenizer: path of a JSON definition.
 

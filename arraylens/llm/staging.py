@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, whatever rows hold: a row of a number or a whole text, one row at least.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

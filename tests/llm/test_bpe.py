@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from arraylens.llm.bpe import Bpe, decode, encode
+from arraylens.llm.bpe import Bpe, decode, encode, encode_decode
 
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
@@ -64,7 +64,8 @@ def test_operator(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i, tuple(ids), library.decode(ids, skip_special_tokens=False)))
     assert found == sorted(want, key=str)
+    assert sorted(((r.doc_id, tuple(r.ids), r.text) for r in encode_decode(df, PATH).collect()), key=str) == found
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert encode(empty, PATH).collect() == []
+    assert encode(empty, PATH).collect() == [] and encode_decode(empty, PATH).collect() == []
     gone = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert decode(gone, PATH).collect()[0].text is None
