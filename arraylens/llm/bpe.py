@@ -13,6 +13,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from arraylens.llm.staging import bound_batches, with_text
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: Words handled at once.
 WORDS = 1 << 18
+#: Letters of the longest word that is merged in a block with others.
+BLOCK_CHARS = 24
 _NEVER = 1 << 40
 
 
@@ -54,7 +57,7 @@ class Known:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self.flat) + np.cumsum(lengths) - lengths
         self.row.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.flat = np.append(self.flat, np.fromiter((t for x in ids for t in x), np.int32))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32, lengths.sum()))
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
         self.long += [w for w in words if len(w) > CACHE_CHARS]
 
@@ -100,6 +103,10 @@ class Bpe:
         keys = np.array([x << 32 | y for x, y in self.merges], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.results = np.array([z for _, z in self.merges.values()], np.int64)[order]
+        self.letter, self.last = np.full(512, -1), np.full(512, -1)  # ids of letters by code point, and at the end of a word
+        for c in self.letters:
+            self.letter[ord(c)], self.last[ord(c)] = self.vocab[c], self.vocab[c + self.end]
 
         # tokens that encode to themselves, children before parents
         made = np.flatnonzero(self.rank >= 0)
@@ -108,7 +115,11 @@ class Bpe:
         for t, ok in sorted(zip(made, apart, strict=True), key=lambda x: self.rank[x[0]]):
             sound[t] = ok and sound[self.left[t]] and sound[self.right[t]]
         self.whole = {s: i for s, i in self.vocab.items() if sound[i]}
-        self.longest = max(map(len, self.whole))
+        self.reach: dict[str, int] = {}  # letters of the longest token that starts with three letters
+        for s in self.whole:
+            n = len(s) - len(self.end) if self.end and s.endswith(self.end) else len(s)
+            if n > 2:
+                self.reach[s[:3]] = max(n, self.reach.get(s[:3], 0))
         self.known = Known()
 
     def crossing(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -151,10 +162,10 @@ class Bpe:
 
     def greedy(self, s: str) -> list[int] | None:
         """Longest matches from the left of a word in byte letters; None if some part has none."""
-        out, i, n, whole = [], 0, len(s), self.whole
+        out, i, n, whole, reach, end = [], 0, len(s), self.whole, self.reach, self.end
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                t = whole.get(s[i:j] + self.end if j == n else s[i:j])
+            for j in range(min(n, i + reach.get(s[i : i + 3], 2)), i, -1):
+                t = whole.get(s[i:j] + end if j == n else s[i:j])
                 if t is not None:
                     out.append(t)
                     i = j
@@ -163,26 +174,43 @@ class Bpe:
                 return None
         return out
 
-    def exact(self, s: str) -> list[int]:
-        """Merges by rank, from the left on equal ranks."""
-        vocab, merges = self.vocab, self.merges
-        ids = [vocab[c] for c in s[:-1]] + [vocab[s[-1] + self.end]]
-        if len(ids) > 24:
-            return self.exact_long(ids)
-        pairs = [merges.get(x) for x in zip(ids, ids[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, m in enumerate(pairs):
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = merges.get((ids[at - 1], ids[at]))
-            if at < len(pairs):
-                pairs[at] = merges.get((ids[at], ids[at + 1]))
+    def exact(self, words: list[str]) -> list[list[int]]:
+        """Merges by rank, from the left on equal ranks; short words as the rows of a matrix, one merge a row at a time."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        flat = self.letter[points]
+        flat[ends - 1] = self.last[points[ends - 1]]
+        out: list[list[int]] = [[]] * len(words)
+        for i in np.flatnonzero(lengths > BLOCK_CHARS):
+            out[i] = self.exact_long(flat[ends[i] - lengths[i] : ends[i]].tolist())
+        row = np.flatnonzero(lengths <= BLOCK_CHARS)
+        if not len(row):
+            return out
+        col = np.arange(lengths[row].max() + 1)  # the last column stays empty
+        n = lengths[row]
+        ids = np.where(col < n[:, None], flat[np.minimum((ends[row] - n)[:, None] + col, len(flat) - 1)], -1)
+        ranks = np.full(ids.shape, _NEVER)
+        ranks[:, :-1] = np.where(col[1:] < n[:, None], self.crossing(ids[:, :-1], ids[:, 1:]), _NEVER)
+        while len(row):
+            best = ranks.argmin(1)
+            at = np.arange(len(row))
+            done = ranks[at, best] == _NEVER
+            for i, x, k in zip(row[done].tolist(), ids[done].tolist(), n[done].tolist(), strict=True):
+                out[i] = x[:k]
+            go = ~done
+            row, ids, ranks, n, best = row[go], ids[go], ranks[go], n[go] - 1, best[go]
+            at = np.arange(len(row))
+            made = self.results[np.searchsorted(self.keys, ids[at, best] << 32 | ids[at, best + 1])]
+            after = col[:-1] > best[:, None]
+            ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+            ids[at, best] = made
+            ranks[:, :-1] = np.where(after, ranks[:, 1:], ranks[:, :-1])
+            ranks[at, best] = np.where(best + 1 < n, self.crossing(made, ids[at, best + 1]), _NEVER)
+            i = np.flatnonzero(best > 0)
+            j = best[i]
+            ranks[i, j - 1] = self.crossing(ids[i, j - 1], made[i])
+        return out
 
     def exact_long(self, ids: list[int]) -> list[int]:
         merges, n = self.merges, len(ids)
@@ -208,11 +236,12 @@ class Bpe:
         """Token ids of each piece."""
         found, cuts = {}, {}
         for w in pieces:
-            s = "".join([self.letters[b] for b in w.encode()])
+            plain = w.isascii() and w.isprintable()  # letters that stand for themselves
+            s = w if plain else "".join([self.letters[b] for b in w.encode()])
             cuts[w] = s, self.greedy(s)
         tried = [(w, ids) for w, (_, ids) in cuts.items() if ids is not None]
         if tried:
-            flat = np.fromiter((t for _, ids in tried for t in ids), np.int64)
+            flat = np.fromiter(chain.from_iterable(ids for _, ids in tried), np.int64)
             ends = np.cumsum([len(ids) for _, ids in tried])
             seam = np.ones(len(flat), bool)  # pairs inside a word
             seam[ends - 1] = False
@@ -222,7 +251,8 @@ class Bpe:
             failed[at] = ~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
             wrong = np.add.reduceat(failed, np.append(0, ends[:-1]))
             found = {w: ids for (w, ids), x in zip(tried, wrong, strict=True) if not x}
-        return found | {w: self.exact(s) for w, (s, _) in cuts.items() if w not in found}
+        left = [w for w in cuts if w not in found]
+        return found | dict(zip(left, self.exact([cuts[w][0] for w in left]), strict=True)) if left else found
 
     def normal(self, text: str) -> str:
         # lower case by single characters: no final sigma
@@ -248,7 +278,7 @@ class Bpe:
                 new = list(set(words))
             cut = {w: self.pieces(w) for w in new}
             ids = self.learn({p for x in cut.values() for p in x})
-            known.add(new, [[t for p in cut[w] for t in ids[p]] for w in new])
+            known.add(new, [ids[x[0]] if len(x) == 1 else [t for p in x for t in ids[p]] for x in cut.values()])
         at = np.fromiter(map(known.row.__getitem__, words), np.int64, len(words))
         starts, lengths = known.starts[at], known.lengths[at]
         ends = np.cumsum(lengths)

@@ -46,7 +46,7 @@ def test_speculation_agrees_with_exact_merging(model):
     rng = random.Random(5)
     words = {"".join(rng.choice("aeionrsthbl") for _ in range(rng.randrange(1, 14))) for _ in range(5000)}
     for w, ids in model.learn(words).items():
-        assert ids == model.exact("".join(model.letters[b] for b in w.encode()))
+        assert ids == model.exact(["".join(model.letters[b] for b in w.encode())])[0]
 
 
 def test_small_cache(monkeypatch, model, library):
