@@ -158,8 +158,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     def ranked(pairs: DataFrame) -> DataFrame:
         """Numbers the distinct pairs x, y in order; pairs that stand once get none."""
         twice = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = twice.repartitionByRange(parts, "x", "y").sortWithinPartitions("x", "y")
+        order = twice.repartitionByRange("x", "y").sortWithinPartitions("x", "y")  # no count: late rounds are small and take few tasks
         return stage.keep(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
     level = lines.select("row", "at", F.col("id").alias("x"), F.col("more").alias("y"))
