@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, ngram_join, pii, quality, quotes, sharding
+from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, ngram_join, pii, quality, quotes, repeats, sharding
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
@@ -69,6 +69,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quote_linking": op2_quote_linking,
@@ -80,10 +85,12 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
     "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_suffix_array_dedup": repeats.ORACLE,
 }
