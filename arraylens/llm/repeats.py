@@ -5,11 +5,12 @@
    a row with one anchor are a piece. Anchors that come once in the corpus are
    counted away, and with them nearly all text that repeats nowhere.
 2. The bytes of the other pieces are read again. Pieces with equal bytes are
-   told by 128-bit hashes and counted, and one copy of each goes on. An anchor
-   under which more than HOT different pieces stand would fill one task; its
-   pieces are cut to single windows, whose copies are counted likewise.
-3. The remaining pieces are dealt into shards by anchor, so that equal windows
-   meet. Each shard is one text with its pieces' ends marked, and its suffix and
+   told by 128-bit hashes and counted, and one copy of each goes on: all windows
+   of a piece with copies are repeated. An anchor under which more than HOT
+   different pieces stand would fill one task; its pieces are cut to single
+   windows, whose copies are counted likewise.
+3. Anchors with a piece that has no copy, and something to repeat it, are dealt
+   into shards with all their pieces, so that equal windows meet. Each shard is one text with its pieces' ends marked, and its suffix and
    common-prefix arrays come from external induced sorting: tuples wait in
    queues on disk, so a shard may be far larger than memory. A window that has
    `width` bytes in common with its neighbour in the array is repeated.
@@ -128,7 +129,7 @@ def _digest(x: bytes) -> tuple[int, int]:
 
 def _read_pieces(width: int):
     """The listed pieces of each text with the hash of their bytes; the bytes themselves once a task."""
-    names = ["row", "first", "n", "anchor", "c", "d", "bytes"]
+    names = ["row", "first", "n", "anchor", "twice", "c", "d", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set = set()
@@ -141,7 +142,7 @@ def _read_pieces(width: int):
                     key = _digest(x)
                     new = key not in sent
                     sent.add(key)
-                    for o, v in zip(out, (row, p["first"], p["n"], p["anchor"], *key, x if new else None), strict=True):
+                    for o, v in zip(out, (row, p["first"], p["n"], p["anchor"], p["twice"], *key, x if new else None), strict=True):
                         o.append(v)
                     held += len(x) if new else 64
                 if held > 1 << 20:
@@ -150,8 +151,8 @@ def _read_pieces(width: int):
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return run, "row long, first long, n int, anchor long, c long, d long, bytes binary"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    return run, "row long, first long, n int, anchor long, twice boolean, c long, d long, bytes binary"
 
 
 def _windows(width: int):
@@ -319,22 +320,24 @@ def cut_repeats(documents: DataFrame, width: int = WIDTH, text_col: str = "text"
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("anchor")
     shared = stage.keep(shared, "shared")
     listed = anchors.join(shared, "anchor", "left_semi")
-    listed = listed.groupBy("row").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("pieces"))
+    listed = listed.groupBy("row").agg(F.collect_list(F.struct("first", "n", "anchor", "twice")).alias("pieces"))
     run, ddl = _read_pieces(width)
     read = stage.keep(texts.join(listed.hint("shuffle_hash"), "row").select("row", "text", "pieces").mapInArrow(run, ddl), "pieces", compression="zstd")
     stage.drop(anchors, shared)
 
     places = read.select("row", "first", "n", "c", "d")
-    copies = read.groupBy("anchor", "c", "d").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    copies = read.groupBy("anchor", "c", "d").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("twice").alias("twice"))
     copies = stage.keep(copies, "copies")
-    hot = stage.keep(copies.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor"), "hot")
+    # all windows of a piece with copies are repeated; one without can only repeat itself or another piece of its anchor
+    per = copies.groupBy("anchor").agg(F.count("*").alias("c"), F.min("copies").alias("least"), F.max("twice").alias("t"))
+    per = stage.keep(per.where("least = 1 and (c > 1 or t)").select("anchor", (F.col("c") > HOT).alias("hot")), "open")
     bodies = read.where("bytes is not null").select("anchor", "c", "d", "bytes")
-    cool = bodies.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    cool = bodies.join(per.where("not hot"), "anchor", "left_semi").repartition("anchor").sortWithinPartitions("anchor")
     run, ddl = _sorted_shards(width)
     marks = cool.mapInArrow(run, ddl)
     # windows of hot anchors: any copy of a piece will do, and bytes come once a task
     run, ddl = _windows(width)
-    few = bodies.join(hot, "anchor", "left_semi").groupBy("c", "d").agg(F.first("bytes").alias("bytes"))
+    few = bodies.join(per.where("hot"), "anchor", "left_semi").groupBy("c", "d").agg(F.first("bytes").alias("bytes"))
     single = stage.keep(few.mapInArrow(run, ddl), "windows")
     again = single.groupBy("x", "y").agg(F.count("*").alias("k")).where("k > 1").select("x", "y")
     single = single.join(again, ["x", "y"], "left_semi").select("c", "d", F.struct(F.col("at").alias("first"), (F.col("at") + 1).alias("end")).alias("r"))

@@ -32,7 +32,7 @@ MEMORY = 1 << 22
 BATCH = 1 << 16
 #: Characters from which on ranges of several are scanned together.
 WIDE = 1 << 12
-_BLOCK = 32
+_BLOCK = 16
 
 
 class Scratch:
@@ -81,7 +81,7 @@ class RangeMin:
         if len(far):
             first, last = a[far] + 1, b[far] - 1
             level = np.frexp((last - first + 1).astype(float))[1] - 1
-            for r in np.unique(level):
+            for r in np.flatnonzero(np.bincount(level)):
                 at = np.flatnonzero(level == r)
                 x = self.runs[r]
                 both = np.minimum(x[first[at]], x[last[at] - (1 << int(r)) + 1])
@@ -481,13 +481,19 @@ def _doubled(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix and prefix array of a text that fits in memory, by prefix doubling."""
     n = len(text)
     ranks = [text.astype(np.int64)]
-    while 1 << (len(ranks) - 1) < depth:
+    top = int(ranks[0].max())
+    while 1 << (len(ranks) - 1) < depth and top + 1 < n:
         half, r = 1 << (len(ranks) - 1), ranks[-1]
-        if len(np.unique(r)) == n:
-            break
-        key = r * (int(r.max()) + 2) + np.append(r[half:] + 1, np.zeros(min(half, n), np.int64))[:n]
-        ranks.append(np.unique(key, return_inverse=True)[1])
-    sa = np.argsort(ranks[-1], kind="stable")
+        key = r * (top + 2)
+        key[: n - half] += r[half:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        place = np.append(0, np.cumsum(key[1:] != key[:-1]))
+        r = np.empty(n, np.int64)
+        r[order] = place
+        ranks.append(r)
+        top = int(place[-1])
+    sa = np.argsort(ranks[-1])
     a, b = sa[:-1].copy(), sa[1:].copy()
     common = np.zeros(n - 1, np.int64)
     for r in reversed(range(len(ranks))):
