@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, ngram_join, pii, quality, quotes, repeats, sharding
+from arraylens.llm import bpe, decontaminate, embedding_dedup, language, line_dedup, ngram_join, pii, quality, quotes, repeats, resample, sharding, vector_codes
 from arraylens.llm.ngram_join import near_duplicates
 from arraylens.llm.staging import table
 
@@ -74,6 +74,15 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quote_linking": op2_quote_linking,
@@ -86,6 +95,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
     "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
