@@ -173,21 +173,25 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
 
     Labels that are null, or whose id is null, are left out; an id with several
     labels counts by their mean. Texts are found by a broadcast of `rows` ids at
-    most. Without labels every text gets 0.5.
+    most, and of rows that share an id only the one with the least statistics
+    counts, so that no more than `rows` rows of numbers reach the driver.
+    Without labels every text gets 0.5. Null and empty texts count as empty
+    ones, texts of any length are read whole, and the order of rows and ties do
+    not matter. An empty table trains as one without labels.
     """
     bound_batches(documents.sparkSession)
     y = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     y = y.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     y = y.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    docs = with_text(documents).join(F.broadcast(y), F.col("doc_id") == F.col("label_id")).select("text", "y")
+    docs = with_text(documents).join(F.broadcast(y), F.col("doc_id") == F.col("label_id")).select("text", "y", "label_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(0))
             packed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([packed, batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([packed, batch.column(1), batch.column(2)], names=["x", "y", "id"])
 
-    found = docs.mapInArrow(run, "x array<double>, y double").toArrow()  # TRAIN_ROWS rows of numbers, and repeats of their ids
+    found = docs.mapInArrow(run, "x array<double>, y double, id long").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, len(STATISTICS))
     y = found.column("y").to_numpy()
     order = np.lexsort((*x.T, y))  # rows come in any order
@@ -195,7 +199,11 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
 
 
 def score(documents: DataFrame, model: Trees, out: str = "score", text_col: str = "text") -> DataFrame:
-    """documents with a probability of quality 1; null and empty texts are scored as empty, other columns kept."""
+    """documents with a probability of quality 1 in the column `out`, which replaces one of that name; all others stay.
+
+    Null and empty texts are scored as empty, texts of any length whole, and
+    repeated rows alike; an empty table stays empty.
+    """
     spark = documents.sparkSession
     bound_batches(spark)
     documents = documents.drop(out) if out in documents.columns else documents
