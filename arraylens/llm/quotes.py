@@ -60,7 +60,7 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, list[str]]]]:
     passages: list[tuple[int, list[str]]] = []
     before = 0
     for i, (level, line) in enumerate(rows):
-        after = next((x for x, t in rows[i + 1 :][:3] if x > level or t.strip()), level)
+        after = next((x for x, t in rows[i + 1 : i + 4] if x > level or t.strip()), level)
         if after > level and ATTRIBUTION.search(line):
             before = -1 if level else 0
             continue
@@ -134,7 +134,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     before it (via `turn`); the rest are roots (via `root`). position counts a
     thread's messages from 0, sources before replies.
 
-    Null and empty texts quote nothing. Rows that share conv_id and turn are
+    Null and empty texts quote nothing; texts of any length are read whole, in
+    linear time; an empty table gives an empty one. Rows that share conv_id and turn are
     messages of their own, in the order of role and text. Rows with a null
     conv_id or turn are roots of their own threads at position 0, with null
     thread columns, and are nobody's source. Other columns are ignored.
