@@ -297,7 +297,8 @@ def embedding_duplicates(
     turned = stage.keep(same.mapInArrow(turn, "label string, dim int, rep long, weight long, row binary, code long"), "turned")
     # every partition is read whole by one task, which cuts it into tiles
     parts = max(1, -(-turned.count() // (4 * TILE)))
-    dealt = turned.repartitionByRange(parts, "label", "dim", "code").sortWithinPartitions("label", "dim", "code")
+    # rep parts vectors of one code, which would else be one task
+    dealt = turned.repartitionByRange(parts, "label", "dim", "code", "rep").sortWithinPartitions("label", "dim", "code", "rep")
     run, ddl = _tiles(TILE)
     tiles = stage.keep(dealt.mapInArrow(run, ddl), "tiles")
     pairs = tile_pairs(tiles, least)
