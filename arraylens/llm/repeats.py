@@ -4,13 +4,13 @@
    depends on the window alone, so equal windows have equal anchors. Windows in
    a row with one anchor are a piece. Anchors that come once in the corpus are
    counted away, and with them nearly all text that repeats nowhere.
-2. The bytes of the other pieces are read again. Pieces with equal bytes are
-   told by 128-bit hashes and counted, and one copy of each goes on: all windows
-   of a piece with copies are repeated. An anchor under which more than HOT
-   different pieces stand would fill one task; its pieces are cut to single
-   windows, whose copies are counted likewise.
+2. The other pieces are told apart by 128-bit hashes of their bytes and counted:
+   all windows of a piece with copies are repeated. An anchor under which more
+   than HOT different pieces stand would fill one task; its pieces are cut to
+   single windows, whose copies are counted likewise.
 3. Anchors with a piece that has no copy, and something to repeat it, are dealt
-   into shards with all their pieces, so that equal windows meet. Each shard is one text with its pieces' ends marked, and its suffix and
+   into shards with a copy of each of their pieces, so that equal windows meet.
+   Each shard is one text with its pieces' ends marked, and its suffix and
    common-prefix arrays come from external induced sorting: tuples wait in
    queues on disk, so a shard may be far larger than memory. A window that has
    `width` bytes in common with its neighbour in the array is repeated.
@@ -42,7 +42,7 @@ ANCHOR = 0.64
 #: Windows of a piece at most, so that a text of one repeated character is cut.
 LONGEST = 1024
 #: Different pieces of an anchor that are still sorted in one shard.
-HOT = 2000
+HOT = 500
 #: Bytes of a shard, about; an anchor's pieces stay together.
 SHARD = 64 << 20
 
@@ -127,32 +127,30 @@ def _digest(x: bytes) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(x))
 
 
-def _read_pieces(width: int):
-    """The listed pieces of each text with the hash of their bytes; the bytes themselves once a task."""
-    names = ["row", "first", "n", "anchor", "twice", "c", "d", "bytes"]
+_READ = {"row": pa.int64(), "first": pa.int64(), "n": pa.int32(), "anchor": pa.int64(), "twice": pa.bool_(), "c": pa.int64(), "d": pa.int64()}
+_BODY = {"anchor": pa.int64(), "hot": pa.bool_(), "c": pa.int64(), "d": pa.int64(), "bytes": pa.binary()}
+
+
+def _listed(width: int, kinds: dict, given: tuple[str, ...], keep: bool):
+    """Rows for the pieces listed with each text: the fields `given`, the hash of their bytes, and with keep the bytes."""
+    ddl = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set = set()
         for batch in batches:
             raw, at = utf8(batch.column(1))
-            body, out, held = memoryview(raw), [[] for _ in names], 0
+            body, out, held = memoryview(raw), [], 0
             for row, lo, found in zip(batch.column(0).to_pylist(), at[:-1].tolist(), batch.column(2).to_pylist(), strict=True):
                 for p in found:
                     x = bytes(body[lo + p["first"] : lo + p["first"] + p["n"] + width - 1])
-                    key = _digest(x)
-                    new = key not in sent
-                    sent.add(key)
-                    for o, v in zip(out, (row, p["first"], p["n"], p["anchor"], p["twice"], *key, x if new else None), strict=True):
-                        o.append(v)
-                    held += len(x) if new else 64
+                    out.append((*(() if keep else (row,)), *(p[f] for f in given), *_digest(x), *((x,) if keep else ())))
+                    held += len(x) if keep else 64
                 if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=names)
-                    out, held = [[] for _ in names], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-    return run, "row long, first long, n int, anchor long, twice boolean, c long, d long, bytes binary"
+    return run, ", ".join(f"{n} {ddl[t]}" for n, t in kinds.items())
 
 
 def _windows(width: int):
@@ -321,24 +319,29 @@ def cut_repeats(documents: DataFrame, width: int = WIDTH, text_col: str = "text"
     shared = stage.keep(shared, "shared")
     listed = anchors.join(shared, "anchor", "left_semi")
     listed = listed.groupBy("row").agg(F.collect_list(F.struct("first", "n", "anchor", "twice")).alias("pieces"))
-    run, ddl = _read_pieces(width)
-    read = stage.keep(texts.join(listed.hint("shuffle_hash"), "row").select("row", "text", "pieces").mapInArrow(run, ddl), "pieces", compression="zstd")
+    run, ddl = _listed(width, _READ, ("first", "n", "anchor", "twice"), False)
+    read = stage.keep(texts.join(listed.hint("shuffle_hash"), "row").select("row", "text", "pieces").mapInArrow(run, ddl), "pieces")
     stage.drop(anchors, shared)
 
     places = read.select("row", "first", "n", "c", "d")
-    copies = read.groupBy("anchor", "c", "d").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("twice").alias("twice"))
+    copies = read.groupBy("anchor", "c", "d").agg(
+        F.count("*").alias("copies"), F.max("n").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("row", "first")).alias("at")
+    )
     copies = stage.keep(copies, "copies")
     # all windows of a piece with copies are repeated; one without can only repeat itself or another piece of its anchor
     per = copies.groupBy("anchor").agg(F.count("*").alias("c"), F.min("copies").alias("least"), F.max("twice").alias("t"))
-    per = stage.keep(per.where("least = 1 and (c > 1 or t)").select("anchor", (F.col("c") > HOT).alias("hot")), "open")
-    bodies = read.where("bytes is not null").select("anchor", "c", "d", "bytes")
-    cool = bodies.join(per.where("not hot"), "anchor", "left_semi").repartition("anchor").sortWithinPartitions("anchor")
+    per = per.where("least = 1 and (c > 1 or t)").select("anchor", (F.col("c") > HOT).alias("hot"))
+    # one copy of each piece of these anchors is read again, from the text that has it first
+    wanted = copies.join(stage.keep(per, "open"), "anchor")
+    wanted = wanted.groupBy("at.row").agg(F.collect_list(F.struct("at.first", "n", "anchor", "hot")).alias("pieces"))
+    run, ddl = _listed(width, _BODY, ("anchor", "hot"), True)
+    bodies = texts.join(wanted.hint("shuffle_hash"), "row").select("row", "text", "pieces").mapInArrow(run, ddl)
+    bodies = stage.keep(bodies, "bodies", compression="zstd")
+    cool = bodies.where("not hot").select("anchor", "c", "d", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     run, ddl = _sorted_shards(width)
     marks = cool.mapInArrow(run, ddl)
-    # windows of hot anchors: any copy of a piece will do, and bytes come once a task
     run, ddl = _windows(width)
-    few = bodies.join(per.where("hot"), "anchor", "left_semi").groupBy("c", "d").agg(F.first("bytes").alias("bytes"))
-    single = stage.keep(few.mapInArrow(run, ddl), "windows")
+    single = stage.keep(bodies.where("hot").select("c", "d", "bytes").mapInArrow(run, ddl), "windows")
     again = single.groupBy("x", "y").agg(F.count("*").alias("k")).where("k > 1").select("x", "y")
     single = single.join(again, ["x", "y"], "left_semi").select("c", "d", F.struct(F.col("at").alias("first"), (F.col("at") + 1).alias("end")).alias("r"))
     marks = marks.unionByName(single.groupBy("c", "d").agg(F.sort_array(F.collect_list("r")).alias("runs")))
