@@ -32,11 +32,19 @@ FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)
 """,
 }
 
-#: Common table expressions for DuckDB.
+_FEEDS = "(SELECT ant, 'e' AS f, time_idx, chan, re, im FROM {spec} UNION ALL SELECT ant, 'n' AS f, time_idx, chan, im AS re, re AS im FROM {spec})"
+#: Visibilities of all pairs of labels, autocorrelations included; the second feed has the spectra with their parts exchanged.
+_VIS = f"""
+SELECT a.ant AS ant1, b.ant AS ant2, concat(a.f, b.f) AS pol, a.time_idx, a.chan, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im
+FROM {_FEEDS} a JOIN {_FEEDS} b ON a.time_idx = b.time_idx AND a.chan = b.chan AND a.ant <= b.ant
+"""
+
+#: Common table expressions for DuckDB; ad_vis stands on ad_spec.
 DUCKDB = {
     "ad_autos": _AUTOS.format(day=_DAY["duckdb"], events="events"),
     "ad_wf": _WATERFALL.format(day=_DAY["duckdb"], events="events"),
     "ad_spec": _SPECTRA["duckdb"],
+    "ad_vis": _VIS.format(spec="ad_spec"),
 }
 
 
@@ -57,3 +65,8 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ant, time_idx, chan, re, im): complex spectra."""
     return spark.sql(_SPECTRA["spark"], embeddings=spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ant1, ant2, pol, time_idx, chan, re, im): products of all pairs of spectra and feeds."""
+    return spark.sql(_VIS, spec=spectra(spark, sf_dir))
