@@ -86,15 +86,16 @@ def watershed_series(df: DataFrame, by: Sequence[str], order: str, metric: str =
 
 def dpss_flags(
     df: DataFrame, by: Sequence[str], freqs: Sequence[float], centers: Sequence[float] = (0.0,), half_widths: Sequence[float] = (2e-7,), nsig: float = 6.0,
-    cutoffs: Sequence[float] = (1e-9,), value: str = "v", noise: str = "noise", out: str = "flag",
+    cutoffs: Sequence[float] = (1e-9,), value: str = "v", noise: str = "noise", out: str = "flag", flags: str | None = None,
 ) -> DataFrame:
-    """Smooth-model flags of each waterfall; freqs are the channels' frequencies in Hz."""
+    """Smooth-model flags of each waterfall; freqs are the channels' frequencies in Hz. Samples that `flags` has are not fitted."""
     f = np.array(freqs)
 
     def kernel(a: dict[str, np.ndarray]) -> np.ndarray:
-        return kernels.dpss_flagger(a[value], a[noise], f[: a[value].shape[1]], list(centers), list(half_widths), None, nsig, list(cutoffs))
+        before = None if flags is None else a[flags] == 1
+        return kernels.dpss_flagger(a[value], a[noise], f[: a[value].shape[1]], list(centers), list(half_widths), before, nsig, list(cutoffs))
 
-    return apply_waterfall(df, by, kernel, [value, noise], out, T.BooleanType())
+    return apply_waterfall(df, by, kernel, [value, noise] + ([flags] if flags else []), out, T.BooleanType())
 
 
 def convolution_flags(df: DataFrame, by: Sequence[str], ok: tuple[float, float], sigma: float = 30, longest: int = 30, order: str = "idx", metric: str = "metric", start: str = "flag") -> DataFrame:

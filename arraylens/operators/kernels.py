@@ -280,16 +280,94 @@ def dpss_flagger(
     return out
 
 
-def gp_smooth(times: np.ndarray, y: np.ndarray, length: float = 0.2, noise: float = 1e-2) -> np.ndarray:
-    """Prediction of a Gaussian process with an RBF kernel and white noise, at the times of its samples; NaNs are skipped."""
+def gp_likelihood(p: np.ndarray, gap: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Negative log marginal likelihood of y and its gradient by the logarithms p of an RBF kernel's length and a white noise's variance.
+
+    gap has the squared distances of the samples; the kernel's own variance is 1.
+    """
+    length, noise = np.exp(p)
+    smooth = np.exp(-gap / (2 * length**2))
+    try:
+        low = np.linalg.cholesky(smooth + noise * np.eye(len(y)))
+    except np.linalg.LinAlgError:
+        return np.inf, np.zeros(2)
+    inverse = np.linalg.inv(low)
+    inverse = inverse.T @ inverse
+    a = inverse @ y
+    value = 0.5 * y @ a + np.log(np.diag(low)).sum() + 0.5 * len(y) * np.log(2 * np.pi)
+    rest = inverse - np.outer(a, a)
+    return float(value), np.array([0.5 * np.sum(rest * (smooth * gap / length**2)), 0.5 * noise * np.trace(rest)])
+
+
+def gp_fit(
+    times: np.ndarray, y: np.ndarray, lengths: tuple[float, float] = (0.01, 1.0), noises: tuple[float, float] = (1e-5, 1e5), starts: tuple = ((0.2, 0.01), (0.03, 0.01), (0.2, 1.0)), rounds: int = 60
+) -> tuple[float, float]:
+    """(length, noise) of the largest marginal likelihood within the bounds, by quasi-Newton descent from each start."""
+    gap = (times[:, None] - times[None, :]) ** 2
+    lo, hi = np.log([lengths[0], noises[0]]), np.log([lengths[1], noises[1]])
+    best = (np.inf, np.log(starts[0]))
+    for start in starts:
+        p = np.clip(np.log(start), lo, hi)
+        f, g = gp_likelihood(p, gap, y)
+        h = np.eye(2)
+        for _ in range(rounds):
+            free = ~(((p <= lo) & (g > 0)) | ((p >= hi) & (g < 0)))  # parameters that a bound does not hold
+            if not np.isfinite(f) or np.abs(g[free]).max(initial=0) < 1e-6:
+                break
+            step = -(h @ (g * free)) * free
+            if step @ g >= 0:
+                h, step = np.eye(2), -g * free
+            step *= min(1.0, 2.0 / np.abs(step).max())
+            t = 1.0
+            while t > 1e-8:
+                q = np.clip(p + t * step, lo, hi)
+                f2, g2 = gp_likelihood(q, gap, y)
+                if f2 <= f + 1e-4 * (q - p) @ g:
+                    break
+                t /= 2
+            else:
+                break
+            s, d = q - p, g2 - g
+            if f - f2 < 1e-12 * max(1.0, abs(f)):
+                p, f, g = q, f2, g2
+                break
+            if s @ d > 1e-12:  # update of the inverse curvature
+                r = 1 / (s @ d)
+                left = np.eye(2) - r * np.outer(s, d)
+                h = left @ h @ left.T + r * np.outer(s, s)
+            p, f, g = q, f2, g2
+        if f < best[0]:
+            best = (f, p)
+    length, noise = np.exp(best[1])
+    return float(length), float(noise)
+
+
+def biweight_scale(y: np.ndarray) -> float:
+    """Square root of the biweight midvariance."""
+    d = y - np.median(y)
+    mad = np.median(np.abs(d))
+    if mad == 0:
+        return 0.0
+    u = (d / (9 * mad)) ** 2
+    d, u = d[u < 1], u[u < 1]
+    return float(np.sqrt(len(y) * np.sum(d**2 * (1 - u) ** 4)) / np.abs(np.sum((1 - u) * (1 - 5 * u))))
+
+
+def gp_smooth(times: np.ndarray, y: np.ndarray, length: float | None = None, noise: float | None = None) -> np.ndarray:
+    """What a Gaussian process with an RBF kernel and white noise predicts at the times of its samples; NaNs are skipped.
+
+    Samples are scaled by their biweight scatter; length and noise are fitted
+    unless both are given. Without two samples or scatter the prediction is 0.
+    """
     ok = np.isfinite(y)
-    if ok.sum() < 2:
-        return np.zeros_like(y)
-    mean = y[ok].mean()
-    size = max(y[ok].var(), 1e-300)
-    k = size * np.exp(-((times[:, None] - times[None, :]) ** 2) / (2 * length**2))
-    inner = k[np.ix_(ok, ok)] + np.eye(ok.sum()) * size * noise
-    return mean + k[:, ok] @ np.linalg.solve(inner, y[ok] - mean)
+    size = biweight_scale(y[ok]) if ok.sum() > 1 else 0.0
+    if size == 0:
+        return np.zeros(len(y))
+    x, z = times[ok], y[ok] / size
+    if length is None or noise is None:
+        length, noise = gp_fit(x, z)
+    k = np.exp(-((times[:, None] - x[None, :]) ** 2) / (2 * length**2))
+    return size * (k @ np.linalg.solve(k[ok] + noise * np.eye(len(x)), z))
 
 
 def phase_spectrum(gain: np.ndarray) -> np.ndarray:

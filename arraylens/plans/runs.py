@@ -135,15 +135,22 @@ def firstcal_metrics(gains: DataFrame, std_cut: float = 0.5, by: Sequence[str] =
 
 
 def remove_drift(fluct: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Delay fluctuations without the slow part that a Gaussian process follows, per antenna."""
+    """Delay fluctuations without the slow part that a Gaussian process follows, fitted to each antenna.
+
+    Times are fractions of a day where there is a `jd`, else of the run. A group
+    is one antenna's integrations.
+    """
     from arraylens.operators.kernels import gp_smooth
 
     names = fluct.columns
 
     def run(pdf):
         pdf = pdf.sort_values("time_idx")
-        t = pdf["time_idx"].to_numpy(float)
-        t = (t - t.min()) / max(t.max() - t.min(), 1)
+        if "jd" in names:
+            t = pdf["jd"].to_numpy(float) - pdf["jd"].min()
+        else:
+            t = pdf["time_idx"].to_numpy(float)
+            t = (t - t.min()) / max(t.max() - t.min(), 1)
         return pdf.assign(fluct=pdf["fluct"] - gp_smooth(t, pdf["fluct"].to_numpy(float)))[names]
 
     return fluct.groupBy(*by).applyInPandas(run, fluct.schema)
@@ -175,6 +182,30 @@ def flag_autos(
     return flags.flag_antennas(f, list(bad)), array
 
 
+def auto_rfi_class(
+    autos: DataFrame, freqs: Sequence[float], int_count: float, bad: Sequence[int] = (), good=(0, 0.01), suspect=(0.01, 0.02), nsig: float = 6.0, share: float = 0.5,
+    widths: Sequence[int] = (3, 4, 5), centers: Sequence[float] = (0.0,), half_widths: Sequence[float] = (200e-9,), cutoffs: Sequence[float] = (1e-9,),
+) -> tuple[DataFrame, DataFrame]:
+    """(classes, shares): antennas by the share of their pixels that are flagged beside the array's flags.
+
+    Channel differences find first flags; pixels that a share of the antennas
+    flags are the array's, and all antennas start the second step from these: a
+    smooth model of each integration, fitted to what the array leaves. Bad
+    antennas don't vote, are wholly flagged and are not classified.
+    """
+    from arraylens.operators import classify
+
+    _, first = flag_autos(autos, int_count, bad, nsig, share, widths)
+    x = autos.where(~F.col("ant").isin(*bad)) if bad else autos
+    x = x.join(first.select("time_idx", "chan", F.col("flag").alias("_array")), ["time_idx", "chan"], "left")
+    x = x.withColumns({"_array": F.coalesce("_array", F.lit(False)), "noise": F.abs("v") / (int_count / 2) ** 0.5})
+    second = grouped.dpss_flags(x, ["ant", "pol"], freqs, centers, half_widths, nsig, cutoffs, flags="_array")
+    second = second.withColumn("flag", F.col("flag") | F.col("_array")).drop("_array", "noise")
+    array = flags.array_flags(second, share)
+    value = classify.auto_rfi(second.withColumn("antpol", F.when(F.substring("pol", 1, 1) == "e", "Jee").otherwise("Jnn")), array)
+    return classify.with_bad(value, "value", good, suspect), value
+
+
 def seeds_to_flags(metric: DataFrame, first: float, next_to: float, by: Sequence[str] = ()) -> DataFrame:
     """Threshold and growth of a metric (by, time_idx, chan, v)."""
     return grouped.watershed(metric.withColumn("seed", at_least("v", first)), by, "v", "seed", next_to)

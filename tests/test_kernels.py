@@ -97,3 +97,33 @@ def test_feeds_are_flagged_on_their_own(spark):
     assert {(r.ant1, r.ant2, r.pol): r.flag for r in got} == {(5, 6, "ee"): True, (5, 6, "nn"): False, (5, 6, "en"): True, (5, 6, "ne"): False, (4, 5, "ne"): True}
     autos = spark.createDataFrame([(5, "Jee", False), (5, "Jnn", False), (2, "Jnn", False)], "ant int, antpol string, flag boolean")
     assert [r.flag for r in flags.flag_antennas(autos, [2, (5, "Jnn")]).orderBy("ant", "antpol").collect()] == [True, False, True]
+
+
+def test_fitted_gaussian_process():
+    """The fit is at the top of a dense grid of likelihoods and near what was planted."""
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.random(150))
+    gap = (t[:, None] - t[None, :]) ** 2
+    y = np.linalg.cholesky(np.exp(-gap / (2 * 0.1**2)) + 0.05 * np.eye(150)) @ rng.normal(size=150)
+    length, noise = kernels.gp_fit(t, y)
+    grid = min(kernels.gp_likelihood(np.log([a, b]), gap, y)[0] for a in np.geomspace(0.01, 1, 30) for b in np.geomspace(1e-3, 10, 30))
+    best, slope = kernels.gp_likelihood(np.log([length, noise]), gap, y)
+    assert best <= grid + 1e-9 and np.abs(slope).max() < 1e-3
+    assert 0.06 < length < 0.16 and 0.03 < noise < 0.08
+    for i in range(2):  # the gradient is the slope of the likelihood
+        p = np.log([0.07, 0.3])
+        d = np.eye(2)[i] * 1e-5
+        up, down = (kernels.gp_likelihood(p + s * d, gap, y)[0] for s in (1, -1))
+        assert np.isclose((up - down) / 2e-5, kernels.gp_likelihood(p, gap, y)[1][i], rtol=1e-4)
+
+
+def test_gaussian_process_follows_the_slow_part():
+    rng = np.random.default_rng(9)
+    t = np.linspace(0, 1, 120)
+    slow, fast = 3 * np.sin(5 * t), rng.normal(0, 0.1, 120)
+    y = slow + fast
+    y[7] = np.nan
+    got = kernels.gp_smooth(t, y)
+    assert np.isfinite(got).all() and np.abs(got - slow).max() < 0.2
+    assert kernels.gp_smooth(t, np.zeros(120)).tolist() == [0.0] * 120
+    assert kernels.gp_smooth(t[:1], y[:1]).tolist() == [0.0]

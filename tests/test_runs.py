@@ -115,3 +115,71 @@ def test_live_power(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.power, r.n) for r in spark.sql("select * from live").collect()] == [(25.0, 6)]
+
+
+def test_modz_search_against_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    s = 10 + rng.normal(0, 0.1, (9, 12))
+    s[4] += np.linspace(0, 9, 12)
+    s[7] += 2.0
+    rows = [(a, "ee", c, float(s[a, c])) for a in range(9) for c in range(12)]
+    from arraylens.operators.iterate import modz_search
+
+    got, scores = modz_search(spark.createDataFrame(rows, "ant int, pol string, chan int, s double"), cut=6.0)
+    out = []
+    while True:
+        kept = [a for a in range(9) if a not in out]
+        d = np.median(np.abs(s - np.median(s[kept], 0)), 1)
+        z = (d - np.median(d[kept])) / np.median(np.abs(d[kept] - np.median(d[kept]))) / reduce.MAD_AUTO
+        worst = max(kept, key=lambda a: z[a])
+        if z[worst] <= 6.0:
+            break
+        out.append(worst)
+    assert got == sorted(out) and {4, 7} <= set(got)
+    assert np.allclose([r.z for r in scores.orderBy("ant").collect()], z)
+
+
+def test_auto_rfi_finds_the_planted_antenna(spark):
+    rng = np.random.default_rng(7)
+    band = 100 + 20 * np.sin(np.linspace(0, 2, 60))
+    parts = []
+    for a in range(6):
+        x = band * (1 + rng.normal(0, 0.005, (8, 60)))
+        x[2:5, 40] *= 3  # seen by all antennas
+        if a == 2:
+            x[:, 20] *= 1.5
+        if a == 5:
+            x[:] = rng.random((8, 60)) * 1000
+        t, f = np.indices(x.shape)
+        parts.append(pd.DataFrame({"ant": a, "pol": "ee", "time_idx": t.ravel().astype("int32"), "chan": f.ravel().astype("int32"), "v": x.ravel()}))
+    autos = spark.createDataFrame(pd.concat(parts))
+    classes, shares = runs.auto_rfi_class(autos, [100e6 + 1e5 * i for i in range(60)], 40_000.0, bad=[5], suspect=(0.01, 0.015), nsig=6.0)
+    assert {r.ant: r["class"] for r in classes.collect()} == {0: "good", 1: "good", 2: "bad", 3: "good", 4: "good"}
+    assert abs({r.ant: r.value for r in shares.collect()}[2] - 1 / 60) < 0.01
+
+
+def test_day_threshold_takes_infinite_metrics_from_the_first_round(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(12, 14)), rng.normal(size=(12, 14))
+    x[:, 5] = np.inf
+    y[:, 5] += 60
+    x[8] += 60
+    make = lambda z: frame(spark, z).selectExpr("'auto' AS product", "time_idx", "chan", "v")
+    got = {(r.time_idx, r.chan) for r in runs.day_threshold(make(x), make(y)).where("flag").collect()}
+    assert got == {(t, c) for t in range(12) for c in range(14) if c == 5 or t == 8}
+
+
+def test_firstcal_metrics_and_drift(spark):
+    rng = np.random.default_rng(4)
+    freq = 100e6 + 1e5 * np.arange(16)
+    rows = []
+    for a in range(4):
+        for t in range(40):
+            delay = 50e-9 + 2e-9 * np.sin(t / 8) + 1e-11 * rng.normal() * (400 if a == 3 else 1)
+            g = np.exp(2j * np.pi * freq * delay)
+            rows += [(a, "Jee", t, c, float(freq[c]), float(g[c].real), float(g[c].imag)) for c in range(16)]
+    gains = spark.createDataFrame(rows, "ant int, antpol string, time_idx int, chan int, freq_hz double, gain_re double, gain_im double")
+    rough, smooth = (runs.firstcal_metrics(gains, 0.5, smooth=s) for s in (False, True))
+    wide, narrow = ({r.ant: r.ant_std for r in x["ants"].collect()} for x in (rough, smooth))
+    assert all(narrow[a] < 0.2 < 1.0 < wide[a] for a in range(3)) and narrow[3] > 0.5
+    assert {r.ant: r.bad for r in smooth["ants"].collect()} == {0: False, 1: False, 2: False, 3: True}
