@@ -16,13 +16,11 @@ def mirrored(df: DataFrame, axis: str, k: int, by: Sequence[str] = ()) -> DataFr
     Indices run from 0; `_size` has the length of the axis. Filters window over
     the mirrored rows and then keep 0 <= index < _size.
     """
-    by = list(by)
-    top = df.groupBy(*by).agg((F.max(axis) + 1).alias("_size"))
-    df = df.join(F.broadcast(top) if not by else top, by) if by else df.crossJoin(F.broadcast(top))  # one row without groups
-    i = F.col(axis)
-    low = df.where(i < k).withColumn(axis, -1 - i)
-    high = df.where(i >= F.col("_size") - k).withColumn(axis, 2 * F.col("_size") - 1 - i)
-    return df.unionByName(low).unionByName(high).withColumn(axis, F.col(axis).cast("int"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # one waterfall, as in the filters
+    i, size = F.col(axis), F.col("_size")
+    df = df.withColumn("_size", F.max(axis).over(group) + 1)
+    images = F.array(i, F.when(i < k, -1 - i), F.when(i >= size - k, 2 * size - 1 - i))
+    return df.withColumn(axis, F.explode(F.array_compact(images).cast("array<int>")))
 
 
 def gradient(df: DataFrame, axis: str, by: Sequence[str], value: str = "v", out: str = "g") -> DataFrame:
@@ -46,11 +44,9 @@ def detrend_deriv(wf: DataFrame, by: Sequence[str] = (), dt: bool = True, df: bo
     if dt:
         x = gradient(x, "time_idx", [*by, "chan"], "_g", "_g")
     square = F.pow("_g", F.lit(2))
-    sf = x.groupBy(*by, "chan").agg(F.median(square).alias("_sf"))
-    st = x.groupBy(*by, "time_idx").agg(F.median(square).alias("_st"))
-    mid = st.groupBy(*by).agg(F.median("_st").alias("_mid"))
-    st = st.join(mid, by) if by else st.crossJoin(F.broadcast(mid))  # one row without groups
-    x = x.join(sf, [*by, "chan"]).join(st, [*by, "time_idx"])
+    x = x.withColumns({"_sf": F.median(square).over(Window.partitionBy(*by, "chan")), "_st": F.median(square).over(Window.partitionBy(*by, "time_idx"))})
+    # times have equally many channels, so that the median over rows is that over times
+    x = x.withColumn("_mid", F.median("_st").over(Window.partitionBy(*(by or [F.lit(0)]))))
     scale = F.sqrt(F.col("_sf") * safe_divide("_st", "_mid"))
     return x.withColumn(out, safe_divide("_g", scale)).drop("_g", "_sf", "_st", "_mid")
 

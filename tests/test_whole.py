@@ -110,3 +110,10 @@ def test_grids_have_all_days(spark, days, name):
     spike = next(r for r in rows if (r.time_idx, r.chan) == (34, 12))
     if name in ("detrend_medfilt", "detrend_meanfilt", "xrfi_waterfall"):
         assert spike.flag if "flag" in spike else abs(spike.z) > 3  # the mirrored spike is 2 of 25 samples: 3.5 at most by means
+
+
+def test_filters_read_their_table_once(spark):
+    """The grid reads the events twice, for its days and its samples, and the filters on it no further."""
+    for name in ("detrend_meanfilt", "channel_diff_flags", "detrend_deriv"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 2, name
