@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arraylens.functions.expr import MAD_ARRAY, MAD_AUTO, MAD_SQUARE, at_least, r6
-from arraylens.operators import calibration, classify, flags, grouped, iterate, reduce, windows
-from arraylens.sources.adaptors import DUCKDB, autos, spectra, waterfall
+from arraylens.operators import calibration, classify, flags, grouped, iterate, nights, noise, reduce, windows
+from arraylens.plans import nights as night_plans
+from arraylens.plans import runs
+from arraylens.sources import nested
+from arraylens.sources.adaptors import DUCKDB, autos, spectra, visibilities, waterfall
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -373,17 +376,17 @@ def detrend_medfilt(spark, sf_dir):
     return rounded(z.withColumn("z", F.when(F.abs("z") < float("inf"), F.col("z"))).drop("v"), "time_idx", "chan")
 
 
-@query(
-    f"""WITH {_GRID}, p AS (SELECT pt AS time_idx, pc AS chan, g.v FROM (SELECT unnest(range(-2, 32)) AS pt) CROSS JOIN (SELECT unnest(range(-2, 26)) AS pc)
+_MEANFILT = f"""WITH {_GRID}, p AS (SELECT pt AS time_idx, pc AS chan, g.v FROM (SELECT unnest(range(-2, 32)) AS pt) CROSS JOIN (SELECT unnest(range(-2, 26)) AS pc)
 JOIN g ON g.time_idx = {_REFLECT.format(i="pt", n=30)} AND g.chan = {_REFLECT.format(i="pc", n=24)}),
 m AS (SELECT a.time_idx, a.chan, any_value(a.v) - avg(b.v) AS d FROM p a JOIN p b ON b.time_idx BETWEEN a.time_idx - 2 AND a.time_idx + 2 AND b.chan BETWEEN a.chan - 2 AND a.chan + 2 GROUP BY ALL),
 s AS (SELECT a.time_idx, a.chan, any_value(a.d) / sqrt(avg(b.d * b.d)) AS z FROM m a JOIN m b ON b.time_idx BETWEEN a.time_idx - 2 AND a.time_idx + 2 AND b.chan BETWEEN a.chan - 2 AND a.chan + 2 GROUP BY ALL)
-SELECT time_idx, chan, round(z, 6) AS z FROM s WHERE time_idx BETWEEN 0 AND 29 AND chan BETWEEN 0 AND 23""",
-    "ad_wf",
-)
+SELECT time_idx, chan, round(z, 6) AS z FROM s WHERE time_idx BETWEEN 0 AND 29 AND chan BETWEEN 0 AND 23"""
+
+
+@query(_MEANFILT, "ad_wf")
 def detrend_meanfilt(spark, sf_dir):
     g = _grid(spark, sf_dir)
-    g = g.crossJoin(F.broadcast(g.agg(F.min("time_idx").alias("_low")))).withColumn("time_idx", F.col("time_idx") - F.col("_low"))  # the filter's indices run from 0
+    g = g.withColumn("_low", F.min("time_idx").over(Window.partitionBy(F.lit(0)))).withColumn("time_idx", F.col("time_idx") - F.col("_low"))  # the filter's indices run from 0
     z = windows.detrend_mean_filter(g, kt=2, kf=2).withColumn("time_idx", F.col("time_idx") + F.col("_low"))
     return rounded(z.drop("v", "_low"), "time_idx", "chan")
 
@@ -896,3 +899,122 @@ def range_membership(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_discount", "l_quantity")
     hits = rows.join(F.broadcast(r), F.col("l_discount").between(F.col("lo"), F.col("hi")))
     return rounded(hits.groupBy("band").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), "band", "n")
+
+
+# Nights of observations (R07, R08), noise from autocorrelations (J04, A24, A25), both axes (W07), waterfalls of shares (R06, R12), metric files (S11), auto RFI
+
+
+def _observed(spark, sf_dir):
+    """The grid as one night of observations of ten integrations each."""
+    return _grid(spark, sf_dir).withColumns({"night": F.lit(0), "obs": F.expr("CAST(time_idx div 10 AS INT)")})
+
+
+@query(_MEANFILT.replace("SELECT time_idx, chan, round(z, 6) AS z FROM s", "SELECT CAST(time_idx // 10 AS INT) AS obs, time_idx, chan, round(z, 6) AS z FROM s"), "ad_wf")
+def obs_mean_metric(spark, sf_dir):
+    """A mean filter on the chunk of each observation gives what it gives on the whole night."""
+    z = nights.detrend(_observed(spark, sf_dir), [], "detrend_meanfilt", 2, 2)
+    return rounded(z.select("obs", "time_idx", "chan", "z"), "obs", "time_idx", "chan")
+
+
+@query("WITH " + ORACLE["xrfi_waterfall"].split(f"WITH RECURSIVE ad_wf AS ({DUCKDB['ad_wf']}), ", 1)[1].replace("WHERE z >= 4", "WHERE abs(z) >= 4").replace("SELECT z.time_idx, z.chan, f.time_idx IS NOT NULL", "SELECT CAST(z.time_idx // 10 AS INT) AS obs, z.time_idx, z.chan, f.time_idx IS NOT NULL"), "ad_wf")
+def obs_xrfi_flags(spark, sf_dir):
+    """Median filters by observation, thresholds and growth over the night."""
+    z = nights.detrend(_observed(spark, sf_dir), [], "detrend_medfilt", 2, 2, out="m")
+    return night_plans.grown(z.select("night", "obs", "time_idx", "chan", F.col("m").alias("v")), 4.0, 2.0).select("obs", "time_idx", "chan", "flag")
+
+
+def _with_autos_sql(src: str) -> str:
+    def side(t: str, n: int) -> str:
+        return f"JOIN au {t} ON {t}.ant = v.ant{n} AND {t}.f = substr(v.pol, {n}, 1) AND {t}.time_idx = v.time_idx AND {t}.chan = v.chan"
+
+    return (
+        "au AS (SELECT ant1 AS ant, substr(pol, 1, 1) AS f, time_idx, chan, sqrt(re * re + im * im) AS a FROM ad_vis WHERE ant1 = ant2 AND substr(pol, 1, 1) = substr(pol, 2, 1)), "
+        f"vx AS (SELECT v.*, p.a AS a1, q.a AS a2 FROM {src} v {side('p', 1)} {side('q', 2)})"
+    )
+
+
+@query(
+    f"""WITH {_with_autos_sql("ad_vis")},
+nf AS (SELECT ant1, ant2, pol, time_idx, chan, re - lead(re) OVER w AS re, im - lead(im) OVER w AS im, a1 + lead(a1) OVER w AS a1, a2 + lead(a2) OVER w AS a2 FROM vx WINDOW w AS (PARTITION BY ant1, ant2, pol, time_idx ORDER BY chan)),
+nt AS (SELECT ant1, ant2, pol, chan, re - lead(re) OVER w AS re, im - lead(im) OVER w AS im, (a1 + lead(a1) OVER w) / 4 AS a1, (a2 + lead(a2) OVER w) / 4 AS a2 FROM nf WINDOW w AS (PARTITION BY ant1, ant2, pol, chan ORDER BY time_idx))
+SELECT ant1, ant2, pol, chan, round(avg((re * re + im * im) / (4 * (a1 * a2))), 6) AS variance FROM nt WHERE re IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL GROUP BY ALL""",
+    "ad_spec", "ad_vis",
+)
+def baseline_noise_variance(spark, sf_dir):
+    return rounded(noise.baseline_noise_variance(visibilities(spark, sf_dir)), "ant1", "ant2", "pol", "chan")
+
+
+def _time_diffs(spark, sf_dir):
+    vis = visibilities(spark, sf_dir)
+    return vis, windows.sequential_diff(vis, "time_idx", ["ant1", "ant2", "pol", "chan"], pad=False).drop("weight")
+
+
+@query(
+    f"""WITH sd AS (SELECT ant1, ant2, pol, time_idx, chan, (lead(re) OVER w - re) * sqrt(0.5) AS re, (lead(im) OVER w - im) * sqrt(0.5) AS im FROM ad_vis WINDOW w AS (PARTITION BY ant1, ant2, pol, chan ORDER BY time_idx)),
+dd AS (SELECT * FROM sd WHERE re IS NOT NULL), {_with_autos_sql("dd")},
+zs AS (SELECT *, sqrt(a1 * a2) AS s, CASE WHEN ant1 = ant2 AND substr(pol, 1, 1) = substr(pol, 2, 1) THEN sqrt(2 / pi()) ELSE sqrt(pi() / 4) END AS m,
+  CASE WHEN ant1 = ant2 AND substr(pol, 1, 1) = substr(pol, 2, 1) THEN sqrt(1 - 2 / pi()) ELSE sqrt(1 - pi() / 4) END AS k FROM vx),
+b AS (SELECT ant1, ant2, pol, time_idx, chan // 16 AS block, (avg(abs((sqrt(re * re + im * im) - m * s) / (k * s))) - sqrt(2 / pi())) / sqrt((1 - 2 / pi()) / count(*)) AS z FROM zs GROUP BY ALL)
+SELECT ant1, ant2, pol, CAST(count_if(z > 8) AS BIGINT) AS n FROM b GROUP BY ALL""",
+    "ad_spec", "ad_vis",
+)
+def xengine_baselines(spark, sf_dir):
+    """Bad blocks of all baselines, against the noise that their two autocorrelations predict."""
+    return noise.xengine_counts_from_vis(*_time_diffs(spark, sf_dir), chans=16, cut=8.0)
+
+
+@query()
+def xengine_baseline_class(spark, sf_dir):
+    return noise.xengine_class_from_vis(*_time_diffs(spark, sf_dir), chans=16, cut=8.0)
+
+
+_T_INT = "CASE WHEN (time_idx + chan) % 11 = 0 THEN 0.0 WHEN time_idx % 3 = 0 THEN 20.0 ELSE 10.0 END"
+
+
+def _step_sql(src: str, out: str, axis: str, other: str) -> str:
+    return f"""{out}w AS (SELECT *, coalesce(lead(re) OVER w, 0) AS lre, coalesce(lead(im) OVER w, 0) AS lim, coalesce(lead(t) OVER w, 0) AS lt FROM {src} WINDOW w AS (PARTITION BY ant, {other} ORDER BY {axis})),
+{out} AS (SELECT ant, time_idx, chan, (lre - re) * k AS re, (lim - im) * k AS im, CASE WHEN t > 0 AND lt > 0 THEN 0.5 * (t + lt) ELSE 0 END AS t
+  FROM (SELECT *, CASE WHEN t > 0 AND lt > 0 THEN sqrt((1 / (1 / t + 1 / lt)) / (0.5 * (t + lt))) ELSE 1 END AS k FROM {out}w))"""
+
+
+@query(
+    f"""WITH x AS (SELECT ant, time_idx, chan, re, im, CAST({_T_INT} AS DOUBLE) AS t FROM ad_spec), {_step_sql("x", "d1", "time_idx", "chan")}, {_step_sql("d1", "d2", "chan", "time_idx")}
+SELECT ant, time_idx, chan, round(re, 6) AS re, round(im, 6) AS im, round(t, 6) AS t_int FROM d2""",
+    "ad_spec",
+)
+def seq_diff_both(spark, sf_dir):
+    s = spectra(spark, sf_dir).withColumn("t_int", F.expr(_T_INT).cast("double"))
+    return rounded(noise.sequential_diff(s, ("time_idx", "chan"), ["ant"]), "ant", "time_idx", "chan")
+
+
+@query(
+    f"""WITH {_AF}, wf AS (SELECT time_idx, chan, sqrt(avg(flag::INT)) AS v FROM af GROUP BY ALL), c AS (SELECT chan, sqrt(avg(v * v)) AS c FROM wf GROUP BY chan), t AS (SELECT time_idx, sqrt(avg(v * v)) AS t FROM wf GROUP BY time_idx)
+SELECT ant, pol, time_idx, chan, af.flag OR v >= 0.6 OR c >= 0.45 OR t >= 0.45 AS flag FROM af JOIN wf USING (time_idx, chan) JOIN c USING (chan) JOIN t USING (time_idx)""",
+    "ad_autos",
+)
+def share_flags_applied(spark, sf_dir):
+    """Flags of single waterfalls, folded by shares of pixels, channels and integrations, and put on every waterfall."""
+    f = _auto_flags(spark, sf_dir)
+    return night_plans.h1c_apply(f, [night_plans.share_waterfall(f, 0.6, 0.45, 0.45)]).select("ant", "pol", "time_idx", "chan", "flag")
+
+
+@query(
+    """SELECT pol AS file, 'power' AS metric, ant, CASE WHEN pol = 'ee' THEN 'Jee' ELSE 'Jnn' END AS antpol, round(avg(v), 6) AS value FROM ad_autos GROUP BY ALL
+UNION ALL SELECT pol, 'samples', NULL, NULL, CAST(count(*) AS DOUBLE) FROM ad_autos GROUP BY pol""",
+    "ad_autos",
+)
+def metric_trees(spark, sf_dir):
+    """Metrics written as nested texts, keyed by antenna and feed, and read back."""
+    a = autos(spark, sf_dir)
+    feed = F.when(F.col("pol") == "ee", "Jee").otherwise("Jnn")
+    per = a.groupBy("pol", "ant").agg(r6(F.avg("v")).alias("v")).withColumn("key", F.format_string("(%d, '%s')", "ant", feed))
+    power = per.groupBy("pol").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("power"))
+    texts = power.join(a.groupBy("pol").agg(F.count("*").alias("samples")), "pol")
+    found = nested.metrics(nested.leaves(texts.select(F.col("pol").alias("file"), F.to_json(F.struct("power", "samples")).alias("text"))))
+    return found.select("file", "metric", "ant", "antpol", "value")
+
+
+@query()
+def auto_rfi_class(spark, sf_dir):
+    classes, _ = runs.auto_rfi_class(autos(spark, sf_dir), [100e6 + 1e5 * i for i in range(24)], 800.0, nsig=3.0, widths=(3,), half_widths=(8e-7,))
+    return classes
