@@ -57,3 +57,55 @@ def test_stages_keep_columns_and_drop_only_what_they_find(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, AT).collect()
     assert len(out) > 50 and all(r.n_tokens == len(r.ids) for r in out)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _quality double, _removed long, _lines string, _runs int, _n int, _row string"
+
+
+def odd_rows():
+    """Rows with nulls, repeats, ids that stand for several texts, and columns named as the stages' own."""
+    rng = random.Random(3)
+    vocab = [f"word{i}" for i in range(400)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocab) for _ in range(n))
+
+    a, b, c = prose(60), prose(70), prose(80)
+    texts = [(1, a), (1, b), (1, a + " end"), (2, a), (None, c), (None, c + " more"), (3, c), (4, None), (4, ""), (5, "   "), (None, None), (6, prose(30_000))]
+    return [(i, t, None, "s", 7, 0.5, 7, "l", 9, 11, f"r{k}") for k, (i, t) in enumerate(texts)], (a, b, c)
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    rows, (a, b, c) = odd_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    steps = dict(corpus_pipeline.STAGES)
+    for name in list(steps)[:4]:
+        out = steps[name](spark, docs, AT)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {(r._quality, r._removed, r._lines, r._runs, r._n) for r in got} == {(0.5, 7, "l", 9, 11)}, name
+        assert {r._row for r in got} <= {r[-1] for r in rows}
+        if name == "ngram_jaccard_join":  # one of each group; other texts of an id stay, texts without words too
+            kept = {r._row: (r.doc_id, r.text) for r in got}
+            assert {"r1", "r7", "r8", "r9", "r10", "r11"} <= kept.keys()
+            groups = [{"r0", "r2", "r3"}, {"r4", "r5", "r6"}]
+            assert [len(g & kept.keys()) for g in groups] == [1, 1] and len(kept) == 8
+            assert kept[(groups[0] & kept.keys()).pop()][0] == 1 and "r6" in kept
+        if name in ("benchmark_decontamination", "line_dedup"):
+            assert {"r7", "r8", "r10"} <= {r._row for r in got}
+    out = steps["bpe"](spark, docs, AT).collect()
+    assert len(out) == len(rows) and sorted(r.n_tokens == 0 for r in out)[-3:] == [True] * 3
+
+
+def test_a_leak_takes_no_other_text_of_its_id(spark):
+    leak = table(spark, AT, "benchmark").first().text
+    docs = spark.createDataFrame([(1, "x y z " + leak), (1, "clean words of the same document"), (None, leak), (None, "also clean")], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, AT)
+    assert sorted(r.text for r in got.collect()) == ["also clean", "clean words of the same document"]
+
+
+def test_empty_tables(spark):
+    docs = table(spark, AT, "documents").where("doc_id < -1")
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, AT)
+        assert out.collect() == [] and (name == "bpe" or out.columns == docs.columns)
