@@ -337,12 +337,14 @@ def cut_repeats(documents: DataFrame, width: int = WIDTH, text_col: str = "text"
     run, ddl = _listed(width, _BODY, ("anchor", "hot"), True)
     bodies = texts.join(wanted.hint("shuffle_hash"), "row").select("row", "text", "pieces").mapInArrow(run, ddl)
     bodies = stage.keep(bodies, "bodies", compression="zstd")
-    cool = bodies.where("not hot").select("anchor", "c", "d", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a count, so that small partitions are not joined to large shards
+    cool = bodies.where("not hot").select("anchor", "c", "d", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor")
     run, ddl = _sorted_shards(width)
     marks = cool.mapInArrow(run, ddl)
     run, ddl = _windows(width)
     single = stage.keep(bodies.where("hot").select("c", "d", "bytes").mapInArrow(run, ddl), "windows")
-    again = single.groupBy("x", "y").agg(F.count("*").alias("k")).where("k > 1").select("x", "y")
+    # kept, so that the rows of a common window can be split over tasks where they meet it
+    again = stage.keep(single.groupBy("x", "y").agg(F.count("*").alias("k")).where("k > 1").select("x", "y"), "again")
     single = single.join(again, ["x", "y"], "left_semi").select("c", "d", F.struct(F.col("at").alias("first"), (F.col("at") + 1).alias("end")).alias("r"))
     marks = marks.unionByName(single.groupBy("c", "d").agg(F.sort_array(F.collect_list("r")).alias("runs")))
     whole = copies.where("copies > 1").select("c", "d", F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("end"))).alias("runs"))
