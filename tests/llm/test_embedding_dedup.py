@@ -91,3 +91,13 @@ def test_products_at_the_threshold_are_decided_on_the_vectors(spark):
     got = {r.vec_id: r.n_links for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     want = {i: sum(j != i and float(np.dot(u, v)) / np.linalg.norm(u) / np.linalg.norm(v) >= c for j, _, v in rows) for i, _, u in rows}
     assert got == want and got[3] == 0
+
+
+def test_vectors_of_one_code_are_parted(spark, monkeypatch):
+    """Many different vectors near one another: range partitions part them by id, and the links are whole."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 64)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=8)
+    rows = [(i, [float(x) for x in base + rng.normal(size=8) * 1e-4], 1) for i in range(1500)]
+    got = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 1500 and {(r.n_links, r.component_id) for r in got} == {(1499, 0)}

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from arraylens.llm.quality import STATISTICS, Trees, fit, quality, statistics
+from arraylens.llm.quality import STATISTICS, Trees, fit, quality, score, statistics, train
 
 
 def one_by_one(trees: Trees, x):
@@ -74,3 +74,18 @@ def test_held_out_accuracy_on_the_given_table(spark):
     bad = [r for r in got if r.quality == 0]
     assert sum(r.predicted == r.quality for r in got) / len(got) > 0.95
     assert sum(r.predicted == 0 for r in bad) / len(bad) > 0.8
+
+
+def test_a_labelled_id_with_many_rows_trains_as_one(spark):
+    """The driver gets one row of numbers for a label, whatever the number of its documents."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "text", "zzzz"]) for _ in range(30 + i % 40)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    once = train(docs, labels)
+    many = docs.unionByName(docs.where("doc_id = 3").join(spark.range(100_000).select(), how="cross").select("doc_id", "text"))
+    again = train(many, labels)
+    assert np.array_equal(once.threshold, again.threshold) and np.array_equal(once.leaf, again.leaf)
+    assert score(docs.where(F.col("doc_id") < 0), once).collect() == []

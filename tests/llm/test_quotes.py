@@ -1,6 +1,6 @@
 import random
 
-from arraylens.llm.quotes import link_quotes, parse, roots
+from arraylens.llm.quotes import keys, link_quotes, parse, roots
 from arraylens.llm.staging import Stage
 
 ROWS = [
@@ -75,3 +75,76 @@ def test_roots(spark):
         want[n] = at
     got = roots(spark.createDataFrame(list(up.items()), "node long, up long"), Stage(spark)).collect()
     assert len(got) == len(up) and {r.node: r.root for r in got} == want
+
+
+def plain_links(rows):
+    """What link_quotes returns for rows (conv, turn, role, text), by walking the messages in order."""
+    messages = []
+    for conv, turn, role, text in rows:
+        body, quotes = parse(text)
+        messages.append((conv, turn, role, body, quotes))
+    messages.sort(key=lambda m: (m[0], m[1], m[2], m[3] is not None, m[3] or ""))
+    first, near, out = {}, {}, []
+    for n, (conv, _, _, body, _) in enumerate(messages):
+        for h, _ in keys((body or "").split("\n")):
+            first.setdefault(h, n)
+            near.setdefault((conv, h), n)
+    threads: dict = {}
+    for n, (conv, turn, role, body, quotes) in enumerate(messages):
+        linked, answers = 0, []
+        for i, (level, lines) in enumerate(quotes):
+            hits = []
+            for h, size in keys(lines):
+                own, other = near.get((conv, h), n), first.get(h, n)
+                if own < n:
+                    hits.append((1, size, -own))
+                elif other < n:
+                    hits.append((0, size, -other))
+            if hits:
+                linked += 1
+                _, size, source = max(hits)
+                if level == 1:
+                    answers.append((size, -i, -source))
+        prior = n - 1 if n and messages[n - 1][0] == conv else None
+        up, via = (max(answers)[2], "quote") if answers else (prior, "turn") if prior is not None else (None, "root")
+        root = n if up is None else out[up]["root"]
+        at = threads[root] = threads.get(root, -1) + 1
+        reply = (None, None) if up is None else messages[up][:2]
+        out.append({"root": root, "row": (conv, turn, role, len(quotes), linked, via, *reply, *messages[root][:2], at)})
+    return sorted(x["row"] for x in out)
+
+
+def planted(n, seed):
+    """Conversations whose messages quote earlier ones, whole or in part, up to three levels deep."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, said = [], []
+    for i in range(n):
+        conv, turn = i // 7, i % 7
+        own = "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(1, 3)))
+        text = own
+        if said and rng.random() < 0.7:
+            near = [s for s in said[-turn:]] if turn and rng.random() < 0.6 else said
+            quote = rng.choice(near)
+            if rng.random() < 0.4:
+                quote = rng.choice(quote.split("\n"))
+            lines = [("> " * rng.randint(1, 3) + x.upper() if rng.random() < 0.2 else "> " + x) for x in quote.split("\n")]
+            text = "\n".join([*(["Bob wrote:"] if rng.random() < 0.3 else []), *lines, own])
+        rows.append((conv, turn, rng.choice(["a", "b"]), text))
+        said.append(text if rng.random() < 0.4 else own)
+    return rows
+
+
+def test_ten_thousand_messages_against_a_walk(spark):
+    rows = planted(10_000, 11)
+    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    names = "conv_id turn role n_quotes n_linked via reply_conv reply_turn thread_conv thread_turn position".split()
+    want = plain_links(rows)
+    assert sorted(tuple(r[c] for c in names) for r in got) == want
+    via = {v: sum(r[5] == v for r in want) for v in ("quote", "turn", "root")}
+    assert via["quote"] > 5000 and min(via.values()) > 100
+
+
+def test_a_message_of_many_lines():
+    body, quotes = parse("> a\nb\n" * 100_000)
+    assert len(quotes) == 100_000 and body.count("b") == 100_000
