@@ -67,18 +67,24 @@ def delay_fluctuations(delays: DataFrame, by: Sequence[str] = ("ant", "antpol"),
     return x.join(med, by).withColumn("fluct", F.when(F.col("ok"), F.coalesce(F.col(value), F.lit(0.0))).otherwise(0.0) - F.col("avg"))
 
 
-def delay_std(fluct: DataFrame, by: Sequence[str] = ("ant", "antpol")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _all_of(df: DataFrame, stat: DataFrame, each: Sequence[str]) -> DataFrame:
+    return df.join(stat, list(each)) if each else df.crossJoin(F.broadcast(stat))  # one row without groups
+
+
+def delay_std(fluct: DataFrame, by: Sequence[str] = ("ant", "antpol"), each: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per antenna, per time, whole): scatter of delay fluctuations, square roots of biweight midvariances of the unflagged ones, 0 without any.
 
     ant_avg is the antenna's median delay, ant_z the median size of all its fluctuations over the whole scatter.
+    What `each` names, such as obs, is a whole of its own in all three tables.
     """
-    by = list(by)
+    each = list(each)
+    by = [*each, *(b for b in by if b not in each)]
     std = F.sqrt("midvar")
     good = fluct.withColumn("fluct", F.when(F.col("ok"), F.col("fluct")))
     ant = biweight(good, by, "fluct").join(fluct.groupBy(*by).agg(F.first("avg").alias("ant_avg")), by).select(*by, "ant_avg", std.alias("ant_std"))
-    time = biweight(good, ["time_idx"], "fluct").select("time_idx", std.alias("time_std"))
-    agg = biweight(good, [], "fluct").select(std.alias("agg_std")).crossJoin(F.broadcast(ant.agg(F.max("ant_std").alias("max_std"))))  # one row each
-    z = fluct.crossJoin(F.broadcast(agg.select("agg_std"))).withColumn("_z", F.abs(ieee_divide("fluct", "agg_std")))
+    time = biweight(good, [*each, "time_idx"], "fluct").select(*each, "time_idx", std.alias("time_std"))
+    agg = _all_of(biweight(good, each, "fluct").select(*each, std.alias("agg_std")), ant.groupBy(*each).agg(F.max("ant_std").alias("max_std")), each)
+    z = _all_of(fluct, agg.select(*each, "agg_std"), each).withColumn("_z", F.abs(ieee_divide("fluct", "agg_std")))
     ant = ant.join(z.groupBy(*by).agg(F.median("_z").alias("ant_z")), by)
     return ant, time, agg
 
@@ -89,26 +95,30 @@ def in_band(cal: DataFrame, edge: int = 0, channels: int | None = None) -> DataF
     return band if channels is None else band.where(F.col("chan") < channels - edge)
 
 
-def chisq_metric(cal: DataFrame, by: Sequence[str] = ("ant", "antpol"), cut: float = 4.0, edge: int = 0, channels: int | None = None) -> DataFrame:
+def chisq_metric(
+    cal: DataFrame, by: Sequence[str] = ("ant", "antpol"), cut: float = 4.0, edge: int = 0, channels: int | None = None, each: Sequence[str] = ()
+) -> DataFrame:
     """(by, chisq_avg, chisq_std, z, std_loc, std_scale, max_z, tot_avg, good): biweights of chi-square over all times and channels of the band.
 
     z is an antenna's scatter against that of all, max_z its largest size, tot_avg the location over all antennas.
+    What `each` names, such as obs, is an array of its own.
     """
-    by = list(by)
+    each = list(each)
+    by = [*each, *(b for b in by if b not in each)]
     band = in_band(cal, edge, channels)
     ant = biweight(band, by, "chisq").select(*by, F.col("loc").alias("chisq_avg"), F.sqrt("midvar").alias("chisq_std"))
-    over = biweight(ant, [], "chisq_std").select(F.col("loc").alias("std_loc"), F.sqrt("midvar").alias("std_scale"))
-    total = biweight(band, [], "chisq").select(F.col("loc").alias("tot_avg"))
-    out = ant.crossJoin(F.broadcast(over)).crossJoin(F.broadcast(total))  # one row each
+    over = biweight(ant, each, "chisq_std").select(*each, F.col("loc").alias("std_loc"), F.sqrt("midvar").alias("std_scale"))
+    total = biweight(band, each, "chisq").select(*each, F.col("loc").alias("tot_avg"))
+    out = _all_of(_all_of(ant, over, each), total, each)
     out = out.withColumn("z", ieee_divide(F.col("chisq_std") - F.col("std_loc"), "std_scale"))
-    worst = out.agg(F.max(F.abs("z")).alias("max_z")).withColumn("good", F.col("max_z") < cut)
-    return out.crossJoin(F.broadcast(worst))
+    worst = out.groupBy(*each).agg(F.max(F.abs("z")).alias("max_z")).withColumn("good", F.col("max_z") < cut)
+    return _all_of(out, worst, each)
 
 
-def chisq_over_time(cal: DataFrame, edge: int = 0, channels: int | None = None) -> DataFrame:
-    """(time_idx, chisq_avg): median over the band of the medians over antennas."""
-    per = in_band(cal, edge, channels).groupBy("time_idx", "chan").agg(F.median("chisq").alias("_m"))
-    return per.groupBy("time_idx").agg(F.median("_m").alias("chisq_avg"))
+def chisq_over_time(cal: DataFrame, edge: int = 0, channels: int | None = None, each: Sequence[str] = ()) -> DataFrame:
+    """(each, time_idx, chisq_avg): median over the band of the medians over antennas."""
+    per = in_band(cal, edge, channels).groupBy(*each, "time_idx", "chan").agg(F.median("chisq").alias("_m"))
+    return per.groupBy(*each, "time_idx").agg(F.median("_m").alias("chisq_avg"))
 
 
 def gain_ratio(omni: DataFrame, first: DataFrame, keys: Sequence[str] = ("ant", "antpol", "time_idx", "chan")) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from arraylens.functions.expr import MAD_ARRAY, MAD_AUTO, MAD_SQUARE, at_least, r6
 from arraylens.operators import calibration, classify, flags, grouped, iterate, nights, noise, reduce, windows
 from arraylens.plans import nights as night_plans
-from arraylens.plans import runs
+from arraylens.plans import plots, runs
 from arraylens.sources import nested
 from arraylens.sources.adaptors import DUCKDB, autos, spectra, visibilities, waterfall
 
@@ -1018,3 +1018,50 @@ def metric_trees(spark, sf_dir):
 def auto_rfi_class(spark, sf_dir):
     classes, _ = runs.auto_rfi_class(autos(spark, sf_dir), [100e6 + 1e5 * i for i in range(24)], 800.0, nsig=3.0, widths=(3,), half_widths=(8e-7,))
     return classes
+
+
+# Smaller ones: classes of slope and shape (A20, A21), a sidereal range over midnight (S19), flags of channels beyond the band's least (A32), histograms
+
+
+@query(
+    ORACLE["auto_slope"].removesuffix(" GROUP BY ALL").replace("SELECT ant, antpol, round(regr_slope(s, chan / 23 - 0.5) / regr_intercept(s, chan / 23 - 0.5), 6) + 0.0 AS value FROM f", "SELECT ant, antpol, CASE WHEN regr_slope(s, chan / 23 - 0.5) / regr_intercept(s, chan / 23 - 0.5) BETWEEN -0.05 AND 0.05 THEN 'good' WHEN regr_slope(s, chan / 23 - 0.5) / regr_intercept(s, chan / 23 - 0.5) BETWEEN -0.1 AND 0.1 THEN 'suspect' ELSE 'bad' END AS class FROM f") + " GROUP BY ALL"
+)
+def auto_slope_class(spark, sf_dir):
+    return classify.with_bad(classify.auto_slope(_fed(spark, sf_dir), 2, 5), "value", (-0.05, 0.05), (-0.1, 0.1))
+
+
+@query(ORACLE["auto_shape"].replace("round(sqrt(avg((s - r) * (s - r))), 6) + 0.0 AS value", "CASE WHEN sqrt(avg((s - r) * (s - r))) <= 0.1 THEN 'good' WHEN sqrt(avg((s - r) * (s - r))) <= 0.15 THEN 'suspect' ELSE 'bad' END AS class"))
+def auto_shape_class(spark, sf_dir):
+    a = _fed(spark, sf_dir)
+    return classify.with_bad(classify.auto_shape(a, a.where("ant < 6").select("ant", "antpol").distinct()), "value", (0, 0.1), (0, 0.15))
+
+
+@query("SELECT DISTINCT time_idx FROM ad_wf WHERE time_idx * 0.8 >= 21.5 OR time_idx * 0.8 <= 2.5", "ad_wf")
+def apriori_lst_wrap(spark, sf_dir):
+    t = F.col("time_idx")
+    times = waterfall(spark, sf_dir).select("time_idx", (2459000 + t / 10).alias("jd"), (t * 0.8).alias("lst_hr"))
+    return flags.a_priori_times({"LST_flags": [[21.5, 2.5]]}, times)
+
+
+@query(
+    f"""WITH {_AF}, n AS (SELECT ant, pol, chan, count_if(flag) AS n, count(*) AS t FROM af WHERE chan BETWEEN 2 AND 21 GROUP BY ALL), l AS (SELECT ant, pol, min(n) AS l FROM n GROUP BY ALL)
+SELECT ant, pol, chan, CAST(n - l AS BIGINT) AS excess, round(n / t, 6) AS share FROM n JOIN l USING (ant, pol)""",
+    "ad_autos",
+)
+def band_stats(spark, sf_dir):
+    """Flags of each channel of the inner band beyond the least of any, by antenna."""
+    f = flags.edge_mask(_auto_flags(spark, sf_dir), 2, 24).where("NOT edge")
+    n = f.groupBy("ant", "pol", "chan").agg(F.count_if("flag").alias("n"), F.count("*").alias("t"))
+    least = F.min("n").over(Window.partitionBy("ant", "pol"))
+    return n.select("ant", "pol", "chan", (F.col("n") - least).alias("excess"), r6(F.col("n") / F.col("t")).alias("share"))
+
+
+@query(
+    """WITH h AS (SELECT ant, pol, chan // 8 AS block, log2(sqrt(v / 2)) AS x FROM ad_autos WHERE v > 0)
+SELECT CAST(ant // 4 AS INT) AS receiver, ant, pol, CAST(block AS INT) AS block, CAST(least(floor((x + 2) / (6.0 / 23)), 22) AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM h WHERE x BETWEEN -2 AND 4 GROUP BY ALL""",
+    "ad_autos",
+)
+def rms_histogram(spark, sf_dir):
+    a = autos(spark, sf_dir)
+    ants = a.select("ant").distinct().withColumn("receiver", F.expr("CAST(ant div 4 AS INT)"))
+    return plots.rms_histogram(a, ants, 8).drop("left")

@@ -122,15 +122,19 @@ def fraction_thresholds(data_flags: DataFrame, px: float = 0.2, freq: float = 0.
     return flags.flag_metric(wf, px, freq, time, method)
 
 
-def firstcal_metrics(gains: DataFrame, std_cut: float = 0.5, by: Sequence[str] = ("ant", "antpol"), smooth: bool = False) -> dict[str, DataFrame]:
-    """Delays (ns), their scatter per antenna, time and in all, and antennas beyond the cut or rotated."""
+def firstcal_metrics(gains: DataFrame, std_cut: float = 0.5, by: Sequence[str] = ("ant", "antpol"), smooth: bool = False, each: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Delays (ns), their scatter per antenna, time and in all, and antennas beyond the cut or rotated.
+
+    With each=("obs",), every observation has metrics of its own.
+    """
+    by = [*each, *(b for b in by if b not in each)]
     d = calibration.fit_delays(gains, [*by, "time_idx"]).withColumn("delay", F.col("delay_s") * 1e9)
     rotated = d.groupBy(*by).agg(F.bool_or("rotated").alias("rotated"))
     fluct = calibration.delay_fluctuations(d, by)
     if smooth:
         fluct = remove_drift(fluct, by)
-    ant, time, agg = calibration.delay_std(fluct, by)
-    ant = ant.join(rotated, list(by)).withColumn("bad", (F.col("ant_std") > std_cut) | F.col("rotated"))
+    ant, time, agg = calibration.delay_std(fluct, by, each)
+    ant = ant.join(rotated, by).withColumn("bad", (F.col("ant_std") > std_cut) | F.col("rotated"))
     return {"delays": fluct, "ants": ant, "times": time, "all": agg.withColumn("good", ~(F.col("max_std") > std_cut))}
 
 
@@ -156,9 +160,14 @@ def remove_drift(fluct: DataFrame, by: Sequence[str]) -> DataFrame:
     return fluct.groupBy(*by).applyInPandas(run, fluct.schema)
 
 
-def omnical_metrics(cal: DataFrame, firstcal: DataFrame | None = None, edge: int = 0, channels: int | None = None, phs_cut: float = 0.3, chisq_cut: float = 4.0) -> dict[str, DataFrame]:
-    """Chi-square metrics of calibration solutions and, against firstcal gains, phase metrics."""
-    out = {"chisq": calibration.chisq_metric(cal, cut=chisq_cut, edge=edge, channels=channels), "chisq_time": calibration.chisq_over_time(cal, edge, channels)}
+def omnical_metrics(
+    cal: DataFrame, firstcal: DataFrame | None = None, edge: int = 0, channels: int | None = None, phs_cut: float = 0.3, chisq_cut: float = 4.0, each: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Chi-square metrics of calibration solutions and, against firstcal gains, phase metrics.
+
+    With each=("obs",), every observation has chi-square metrics of its own.
+    """
+    out = {"chisq": calibration.chisq_metric(cal, cut=chisq_cut, edge=edge, channels=channels, each=each), "chisq_time": calibration.chisq_over_time(cal, edge, channels, each)}
     if firstcal is not None:
         ratio = calibration.gain_ratio(cal, firstcal)
         p = calibration.phase_residuals(ratio)

@@ -183,3 +183,49 @@ def test_firstcal_metrics_and_drift(spark):
     wide, narrow = ({r.ant: r.ant_std for r in x["ants"].collect()} for x in (rough, smooth))
     assert all(narrow[a] < 0.2 < 1.0 < wide[a] for a in range(3)) and narrow[3] > 0.5
     assert {r.ant: r.bad for r in smooth["ants"].collect()} == {0: False, 1: False, 2: False, 3: True}
+
+
+def test_metrics_of_observations_are_those_of_runs_apart(spark):
+    rng = np.random.default_rng(6)
+    freq = 100e6 + 1e5 * np.arange(12)
+    rows = []
+    for obs in ("a", "b"):
+        for a in range(4):
+            for t in range(15):
+                g = np.exp(2j * np.pi * freq * (40e-9 + 1e-9 * rng.normal() * (a + 1) * (5 if obs == "b" else 1)))
+                rows += [(obs, a, "Jee", t, c, float(freq[c]), float(g[c].real), float(g[c].imag), float(abs(rng.normal()))) for c in range(12)]
+    cal = spark.createDataFrame(rows, "obs string, ant int, antpol string, time_idx int, chan int, freq_hz double, gain_re double, gain_im double, chisq double")
+
+    def apart(make, name, key, value):
+        both = {(r.obs, *[r[k] for k in key]): r[value] for r in make(cal, ("obs",))[name].collect()}
+        one = {(o, *[r[k] for k in key]): r[value] for o in ("a", "b") for r in make(cal.where(f"obs = '{o}'").drop("obs"), ())[name].collect()}
+        assert both.keys() == one.keys() and all(np.isclose(both[k], one[k]) for k in one), (name, value)
+
+    def first(c, each):
+        return runs.firstcal_metrics(c, each=each)
+
+    def omni(c, each):
+        return runs.omnical_metrics(c, each=each)
+
+    for name, key, value in (("ants", ["ant"], "ant_std"), ("ants", ["ant"], "ant_z"), ("times", ["time_idx"], "time_std"), ("all", [], "max_std"), ("all", [], "good")):
+        apart(first, name, key, value)
+    for value in ("chisq_std", "z", "max_z", "tot_avg"):
+        apart(omni, "chisq", ["ant"], value)
+    apart(omni, "chisq_time", ["time_idx"], "chisq_avg")
+
+
+def test_array_view_lists_weak_antennas(spark):
+    from arraylens.plans import plots
+
+    rows = [(a, "ee", t, c, {0: 10.0, 1: 1e-4, 2: 5.0}[a]) for a in range(3) for t in range(3) for c in range(4)]
+    autos = spark.createDataFrame(rows, "ant int, pol string, time_idx int, chan int, v double")
+    ants = spark.createDataFrame([(0, 0.0, 0.0, 1, True), (1, 1.0, 0.0, 1, True), (2, 2.0, 0.0, 2, False), (3, 3.0, 0.0, 2, True)], "ant int, x double, y double, receiver int, connected boolean")
+    view = plots.array_view(autos, ants)
+    assert {r.ant: None if r.value is None else round(r.value, 6) for r in view.collect()} == {0: 10.0, 1: -40.0, 2: 6.9897, 3: None}
+    assert [(r.ant, r.value) for r in plots.weak_antennas(view).collect()] == [(1, -40.0)]
+    got = {(r.receiver, r.ant, r.block): (r.bin, r.n) for r in plots.rms_histogram(autos, ants, 2).collect()}
+    edges = np.linspace(-2, 4, 24)
+    for a, v in ((0, 10.0), (2, 5.0)):
+        want = int(np.flatnonzero(np.histogram(np.log2(np.sqrt(v / 2)), edges)[0])[0])
+        assert got[1 if a == 0 else 2, a, 0] == got[1 if a == 0 else 2, a, 1] == (want, 6)
+    assert len(got) == 4
