@@ -114,8 +114,11 @@ def _cut(names: list[str], text_col: str, spans_col: str):
     return run
 
 
-def common_runs(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """pairs (row, at, o_row, o_at) with n, the number of lines that are equal from both places on."""
+def common_runs(pairs: DataFrame, levels: list[DataFrame], stage: Stage) -> DataFrame:
+    """pairs (row, at, o_row, o_at) with n, the number of lines that are equal from both places on.
+
+    Every third level is written: a plan of all joins is large, and the driver makes it anew as each of its stages ends.
+    """
     at = pairs.withColumn("n", F.lit(0).cast("long"))
     for r in reversed(range(len(levels))):
         one = levels[r].select("row", F.col("at").alias("_at"), "rank")
@@ -124,6 +127,8 @@ def common_runs(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
         at = at.withColumn("_o", F.col("o_at") + F.col("n")).join(two, ["o_row", "_o"], "left")
         step = F.when(F.col("rank") == F.col("_rank"), 1 << r).otherwise(0)
         at = at.select("row", "at", "o_row", "o_at", (F.col("n") + step).alias("n"))
+        if r % 3 == 0 and r:
+            at = stage.keep(at, "runs")
     return at
 
 
@@ -200,7 +205,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     # a window whose lines go on with the run of the window above it is in that run
     above = later.select("row", (F.col("at") + 1).alias("at"), "o_row", (F.col("o_at") + 1).alias("o_at"))
     heads = stage.keep(later.join(above, ["row", "at", "o_row", "o_at"], "left_anti"), "heads")
-    runs = common_runs(heads, levels)
+    runs = common_runs(heads, levels, stage)
     spans = runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias(spans_col))
     spans = stage.keep(spans, "spans")
     # spans grow with the input: hashed by row, which no key can skew, and texts are not sorted
