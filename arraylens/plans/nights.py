@@ -8,7 +8,7 @@ on these, as do the joint metric and the flags that go back onto solutions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,6 +18,12 @@ from arraylens.functions.expr import INF
 from arraylens.operators import flags, grouped, nights, reduce
 
 KEYS = ["night", "obs", "time_idx", "chan"]
+#: Writes a result under a name and reads it back, so that what follows does not compute it again.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
 
 
 @dataclass(frozen=True)
@@ -72,9 +78,9 @@ def grown(metric: DataFrame, first: float, next_to: float) -> DataFrame:
     return flags.watershed_flag(flags.flag_metric(metric, first, by=["night"]), next_to, by=["night"])
 
 
-def flag_round(products: Mapping[str, Product], n: int, algorithm: str, first: float, next_to: float, kt: int = 8, kf: int = 8) -> tuple[DataFrame, DataFrame]:
+def flag_round(products: Mapping[str, Product], n: int, algorithm: str, first: float, next_to: float, kt: int = 8, kf: int = 8, keep: Keep = _as_is) -> tuple[DataFrame, DataFrame]:
     """(metrics, flags) of round n: each product's metric and `combined`, their joint one, and the union of their flags."""
-    parts = {name: waterfall_metric(p, algorithm, kt, kf) for name, p in products.items() if n in p.rounds}
+    parts = {name: keep(waterfall_metric(p, algorithm, kt, kf), f"round{n}_{name}") for name, p in products.items() if n in p.rounds}
     if not parts:
         raise ValueError(f"no product takes part in round {n}")
     joint = [m.withColumn("v", F.when(F.abs("v") < INF, F.col("v"))) for m in parts.values()]
@@ -83,6 +89,7 @@ def flag_round(products: Mapping[str, Product], n: int, algorithm: str, first: f
     for name, m in parts.items():
         one = grown(m, first, next_to).select(F.lit(name).alias("product"), *KEYS, "v", "flag")
         metrics = one if metrics is None else metrics.unionByName(one)
+    metrics = keep(metrics, f"metrics{n}")
     return metrics, metrics.groupBy(*KEYS).agg(F.bool_or("flag").alias("flag"))
 
 
@@ -98,19 +105,20 @@ def without(products: Mapping[str, Product], found: DataFrame) -> dict[str, Prod
 
 def xrfi(
     products: Mapping[str, Product], apriori: DataFrame | None = None, med: tuple[float, float] = (10.0, 4.0), mean: tuple[float, float] = (5.0, 2.0), kt: int = 8, kf: int = 8,
-    edges: bool = True,
+    edges: bool = True, keep: Keep = _as_is,
 ) -> dict[str, DataFrame]:
     """Two rounds of a night, median filters and then mean filters on what is left; `flags` has both and the a-priori ones.
 
-    With edges, the first and last kt integrations of each night are flagged in the second round.
+    With edges, the first and last kt integrations of each night are flagged in the second round. keep may write each
+    product's metric and each round's results, all of the size of waterfalls.
     """
-    m1, f1 = flag_round(products, 1, "detrend_medfilt", *med, kt, kf)
+    m1, f1 = flag_round(products, 1, "detrend_medfilt", *med, kt, kf, keep)
     if apriori is not None:
         f1 = flags.any_flag([f1, f1.select(*KEYS).join(apriori.select("night", "time_idx", "chan", "flag"), ["night", "time_idx", "chan"])], KEYS)
-    m2, f2 = flag_round(without(products, f1), 2, "detrend_meanfilt", *mean, kt, kf)
-    if edges:
-        f2 = nights.edge_times(f2, kt)
-    return {"metrics1": m1, "flags1": f1, "metrics2": m2, "flags2": f2, "flags": flags.any_flag([f1, f2], KEYS)}
+    f1 = keep(f1, "flags1")
+    m2, f2 = flag_round(without(products, f1), 2, "detrend_meanfilt", *mean, kt, kf, keep)
+    f2 = keep(nights.edge_times(f2, kt) if edges else f2, "flags2")
+    return {"metrics1": m1, "flags1": f1, "metrics2": m2, "flags2": f2, "flags": keep(flags.any_flag([f1, f2], KEYS), "flags")}
 
 
 def flag_solutions(cal: DataFrame, found: DataFrame, bad: Sequence = ()) -> DataFrame:
