@@ -253,12 +253,15 @@ def near_duplicates(
             pairs = here.alias("x").join(pivots.alias("y"), ["token", "salt"])
             pairs = pairs.where((F.col("x.component") != F.col("y.component")) & _close(num, den))
         else:
-            others = _dealt(here.withColumn("salted", F.col("salt") > 0).drop("salt"))
-            pairs = here.alias("x").join(others.alias("y"), ["token", "salt"])
-            pairs = pairs.where((F.col("x.component") < F.col("y.component")) & _close(num, den))
+            # signatures travel with what is left, so the join itself gives out only pairs that pass all filters
+            signed = stage.keep(here.join(sides, ["doc", "n"]), "signed")
+            others = _dealt(signed.withColumn("salted", F.col("salt") > 0).drop("salt"))
+            pairs = signed.alias("x").join(others.alias("y"), ["token", "salt"])
+            pairs = pairs.where((F.col("x.component") < F.col("y.component")) & _close(num, den) & _suffix(num, den))
         pairs = pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-        pairs = pairs.join(sides.alias("x"), F.col("x.doc") == F.col("a")).join(sides.alias("y"), F.col("y.doc") == F.col("b"))
-        pairs = pairs.where(_suffix(num, den)).select("a", "b").distinct()
+        if r < STAR_ROUNDS:
+            pairs = pairs.join(sides.alias("x"), F.col("x.doc") == F.col("a")).join(sides.alias("y"), F.col("y.doc") == F.col("b"))
+            pairs = pairs.where(_suffix(num, den)).select("a", "b").distinct()
         for done in found:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage.keep(pairs, "pairs")

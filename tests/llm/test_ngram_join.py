@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from arraylens.llm import ngram_join
 from arraylens.llm.ngram_join import near_duplicates
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -71,3 +72,15 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_last_join_alone_finds_all(spark, monkeypatch):
+    """Without rounds of stars all pairs come from the full join and its filters."""
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    rng = random.Random(3)
+    rows = []
+    for size in (2, 5, 9, 40, 200):
+        base = [rng.choice([f"w{i}" for i in range(60)]) for _ in range(size)]
+        rows += [(len(rows) + i, edited(rng, base, i % 4)) for i in range(5)]
+    rows += [(rows[0][0], rows[-1][1]), (None, rows[3][1])]
+    assert got(spark, rows) == brute(rows)
