@@ -129,9 +129,9 @@ def sieve(df: DataFrame, name: str) -> Callable[[Column], Column]:
 
 
 def total(df: DataFrame, *names: str) -> tuple:
-    """Rows and a sum of hashes, equal for equal tables; numbers count to two digits."""
+    """Rows and a sum of hashes, equal for equal tables; numbers count to nine digits."""
     kinds = dict(df.dtypes)
-    parts = [F.round(c, 2) if kinds[c] == "double" else F.col(c) for c in names]
+    parts = [F.round(c, 9) if kinds[c] == "double" else F.col(c) for c in names]
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))).first())
 
 
@@ -140,7 +140,11 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame, shaped: DataFrame) ->
 
     units has v and w by token, base the edges (v, p) of base spans, shaped the
     units of texts that may hold tokens shaped like secrets. units is read anew
-    in each pass. Scores only rise, so the rounds end.
+    in each pass. Scores only rise, and every value that an accepted pattern
+    reaches is accepted. So rounds end once none brings a new value, and no
+    pattern is open: below its threshold by its score, but not by the share of
+    its values that are accepted, to which its score may rise. Open patterns are
+    followed until their scores stand still to nine digits.
     """
     # neighbours by shifted arrays: each array is made once a row, however long
     none = F.array(F.lit(None).cast("long"))
@@ -188,8 +192,11 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame, shaped: DataFrame) ->
             break
         patterns = listed.join(scores, "v", "left").groupBy("p")
         sure = F.coalesce("confidence", F.lit(0.0))
-        patterns = patterns.agg(F.avg(sure).alias("score"), F.sum(F.when(sure >= INSTANCE_SCORE, 1).otherwise(0)).alias("n"))
-        patterns = stage.keep(patterns.where((F.col("score") >= PATTERN_SCORE) & (F.col("n") >= SUPPORT)).select("p", "score"), "patterns")
+        accepted = F.when(sure >= INSTANCE_SCORE, 1).otherwise(0)
+        patterns = patterns.agg(F.avg(sure).alias("score"), F.sum(accepted).alias("n"), F.avg(accepted).alias("share"))
+        patterns = patterns.where((F.col("share") >= PATTERN_SCORE) & (F.col("n") >= SUPPORT)).select("p", "score")
+        judged = stage.keep(patterns, "patterns")
+        patterns = judged.where(F.col("score") >= PATTERN_SCORE)
         reached = listed.join(patterns, "p").groupBy("v")
         either = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))
         reached = stage.keep(reached.agg(F.greatest(F.max("score"), either).alias("reached")), "reached")
@@ -207,8 +214,8 @@ def learn(stage: Stage, units: DataFrame, base: DataFrame, shaped: DataFrame) ->
         after = stage.keep(after.select("v", F.greatest("confidence", "reached").alias("confidence")), "scores")
         fresh = stage.keep(after.join(scores, "v", "left_anti").select("v"), "fresh")
         scores = after
-        now = total(scores, "v", "confidence")
-        if now == before:
+        now = total(judged.where(F.col("score") < PATTERN_SCORE), "p", "score")
+        if fresh.isEmpty() and (not now[0] or now == before):
             break
         before = now
     return scores.where(F.col("confidence") >= INSTANCE_SCORE).select("v")
