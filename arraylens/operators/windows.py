@@ -167,6 +167,13 @@ def modzscore_detrended(series: DataFrame, axis: str, by: Sequence[str] = (), k:
     return x.withColumn(out, safe_divide("_d", F.sqrt(F.col("_s") / 0.456))).drop("_m", "_d", "_q", "_s")
 
 
+def difference_variance(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, chan, _v): mean over time of double differences (_re, _im), squared, over 4 times the product of _auto1 and _auto2; missing ones don't count."""
+    x = x.where("_re is not null and _auto1 is not null and _auto2 is not null")
+    n = safe_divide(F.pow("_re", F.lit(2)) + F.pow("_im", F.lit(2)), 4 * (F.col("_auto1") * F.col("_auto2")))
+    return x.withColumn("_n", n).groupBy(*by, "chan").agg(F.avg("_n").alias("_v"))
+
+
 def noise_variance(vis: DataFrame, by: Sequence[str] = ("ant1", "ant2", "pol")) -> DataFrame:
     """(by, chan, variance): variance over time of 2 x 2 double differences over the product of the averaged autos.
 
@@ -183,11 +190,8 @@ def noise_variance(vis: DataFrame, by: Sequence[str] = ("ant1", "ant2", "pol"))
 
     x = vis.withColumns({"_re": diff("re"), "_im": diff("im")} | {f"_{c}": F.col(c) + F.lead(c).over(f) for c in ("auto1", "auto2")})
     x = x.withColumns({c: F.col(c) - F.lead(c).over(t) for c in ("_re", "_im")} | {c: (F.col(c) + F.lead(c).over(t)) / 4 for c in ("_auto1", "_auto2")})
-    x = x.where("_re is not null and _auto1 is not null and _auto2 is not null")
-    product = F.col("_auto1") * F.col("_auto2")
-    x = x.withColumn("_n", safe_divide(F.pow("_re", F.lit(2)) + F.pow("_im", F.lit(2)), 4 * product))
     scale = vis.agg(F.avg("chan_width").alias("_cw"), F.avg("int_time").alias("_it"))
-    out = x.groupBy(*by, "chan").agg(F.avg("_n").alias("_v")).crossJoin(F.broadcast(scale))  # one row
+    out = difference_variance(x, by).crossJoin(F.broadcast(scale))  # one row
     return out.select(*by, "chan", (F.col("_v") * F.col("_cw") * F.col("_it")).alias("variance"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from arraylens.plans.queries import QUERIES
+from arraylens.sources import adaptors
 
 #: Integrations of the labels.
 LENGTHS = {0: 31, 1: 20, 7: 25}
@@ -117,3 +118,21 @@ def test_filters_read_their_table_once(spark):
     for name in ("detrend_meanfilt", "channel_diff_flags", "detrend_deriv"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") <= 2, name
+
+
+def test_labels_are_numbered_over_ranges_of_ids(spark, tmp_path):
+    """No task numbers all rows of a label; rows without label or id have their place too."""
+    rng = np.random.default_rng(9)
+    ids = [*rng.permutation(np.arange(-3, 40) * 1000).tolist(), 2**62]
+    rows = [(int(i), k, [float(i)] * 64) for k in (0, 1, None) for i in ids[: 44 if k != 1 else 7]] + [(None, 0, [0.5] * 64)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in adaptors.numbered(spark, str(tmp_path)).collect():
+        got.setdefault(r.label, []).append((r.time_idx, r.embedding[0]))
+    want = {}
+    for i, k, x in sorted(rows, key=lambda r: -np.inf if r[0] is None else r[0]):
+        want.setdefault(k, []).append(np.float32(x[0]))
+    assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == want
+    assert all(sorted(t for t, _ in v) == list(range(len(v))) for v in got.values())
+    plan = QUERIES["delay_std"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [row_number" in line and "[label#" in line]
