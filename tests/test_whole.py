@@ -136,3 +136,10 @@ def test_labels_are_numbered_over_ranges_of_ids(spark, tmp_path):
     assert all(sorted(t for t, _ in v) == list(range(len(v))) for v in got.values())
     plan = QUERIES["delay_std"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Window [row_number" in line and "[label#" in line]
+
+
+def test_delays_are_fitted_in_as_many_tasks_as_asked_for(spark, vectors):
+    """The spectra of one antenna are dealt over tasks, and no scatter over all antennas is made for delay_std."""
+    plan = QUERIES["delay_std"](spark, vectors[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [ant#" in plan
+    assert "Aggregate [percentile" not in plan
