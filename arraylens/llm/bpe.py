@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from arraylens.llm.staging import bound_batches, with_text
 
-#: Distinct words kept by one Python worker, and the longest word kept.
+#: Distinct words, and distinct pieces of words, kept by one Python worker, and the longest one kept.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: Words handled at once.
 WORDS = 1 << 18
@@ -121,6 +121,7 @@ class Bpe:
             if n > 2:
                 self.reach[s[:3]] = max(n, self.reach.get(s[:3], 0))
         self.known = Known()
+        self.parts: dict[str, list[int]] = {}  # ids of pieces that were met: most new words are known ones beside other marks
 
     def crossing(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or _NEVER."""
@@ -268,6 +269,18 @@ class Bpe:
     def pieces(self, word: str) -> list[str]:
         return [word] if word.isalpha() else self.pattern.findall(word)
 
+    def pieces_ids(self, pieces: set[str]) -> dict[str, list[int]]:
+        """Token ids of at least these pieces; those met before are not cut again."""
+        found = self.learn({p for p in pieces if p not in self.parts})
+        if len(self.parts) + len(found) > CACHE_WORDS:
+            found |= {p: self.parts[p] for p in pieces if p in self.parts}
+            self.parts = {}
+        if len(found) > CACHE_WORDS:
+            return found
+        long = {p: i for p, i in found.items() if len(p) > CACHE_CHARS}
+        self.parts.update((p, i) for p, i in found.items() if p not in long)
+        return self.parts if not long else {p: long[p] if p in long else self.parts[p] for p in pieces}
+
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words joined, and how many ids each word has."""
         known = self.known
@@ -277,7 +290,7 @@ class Bpe:
                 known.clear()
                 new = list(set(words))
             cut = {w: self.pieces(w) for w in new}
-            ids = self.learn({p for x in cut.values() for p in x})
+            ids = self.pieces_ids({p for x in cut.values() for p in x})
             known.add(new, [ids[x[0]] if len(x) == 1 else [t for p in x for t in ids[p]] for x in cut.values()])
         at = np.fromiter(map(known.row.__getitem__, words), np.int64, len(words))
         starts, lengths = known.starts[at], known.lengths[at]

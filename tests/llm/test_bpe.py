@@ -69,3 +69,20 @@ def test_operator(spark, library):
     assert encode(empty, PATH).collect() == [] and encode_decode(empty, PATH).collect() == []
     gone = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert decode(gone, PATH).collect()[0].text is None
+
+
+def test_known_pieces_are_not_cut_again(monkeypatch, library):
+    """Words beside other marks have the pieces of words that were met, whatever is kept of those."""
+    with open(PATH, encoding="utf-8") as f:
+        model = Bpe(f.read())
+    learn, seen = model.learn, []
+    monkeypatch.setattr(model, "learn", lambda pieces: seen.extend(pieces) or learn(pieces))
+    texts = ["mentouier don't", "mentouier, (mentouier) don't!", "mentouier... erlythti,", "erlythti " + "x" * 70 + ", " + "x" * 70, "y" * 70 + "!", ""]
+    for room in (400_000, 3, 0):
+        monkeypatch.setattr("arraylens.llm.bpe.CACHE_WORDS", room)
+        seen.clear(), model.known.clear(), model.parts.clear()
+        for t in texts * 2:
+            assert model.encode(t) == library.encode(t, add_special_tokens=False).ids, (room, t)
+        if room > 3:
+            assert max(map(seen.count, [p for p in seen if len(p) <= 64])) == 1
+        assert len(model.parts) <= room and all(len(p) <= 64 for p in model.parts)
