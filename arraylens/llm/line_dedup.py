@@ -208,6 +208,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     runs = common_runs(heads, levels, stage)
     spans = runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias(spans_col))
     spans = stage.keep(spans, "spans")
+    stage.only(docs, spans)
     # spans grow with the input: hashed by row, which no key can skew, and texts are not sorted
     out = docs.join(spans.withColumnRenamed("row", row_col).hint("shuffle_hash"), row_col, "left").drop(row_col)
     fields = [f for f in documents.select(*[f"`{c}`" for c in names]).schema if f.name != text_col]

@@ -219,13 +219,14 @@ def near_duplicates(
     nodes = known.where("rep is not null")
     same = nodes.select(F.col("doc_id").alias("doc"), "n", "rep").distinct()
     salt = F.when(F.col("salt") > 0, 1 + F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
-    shared = shared.join(same, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos", salt)
-    lists = stage.keep(shared.distinct(), "lists")
+    named = shared.join(same, ["doc", "n"]).select("token", F.col("rep").alias("doc"), "n", "pos", salt)
+    lists = stage.keep(named.distinct(), "lists")
+    stage.drop(shared)
     sides = nodes.where("doc_id = rep").select(F.col("rep").alias("doc"), "n", *_SIDES).distinct()
 
     # texts of the documents in lists, once; the others are not needed again
     ids = lists.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash")
-    texts = stage.keep(docs.join(ids, "doc_id", "left_semi"), "texts")
+    texts = stage.keep(docs.join(ids, "doc_id", "left_semi"), "texts", compression="zstd")
 
     # a doc_id with several texts joins their classes
     ids = known.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi"))
@@ -242,7 +243,9 @@ def near_duplicates(
         salted = F.max(F.col("salt") > 0).alias("salted")
         open_ = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), index.alias("i"), salted)
         open_ = _dealt(open_.where("lo < hi and i").select("token", "salted"))
-        here = lists = stage.keep(here.join(open_, ["token", "salt"], "left_semi"), "open")
+        here = stage.keep(here.join(open_, ["token", "salt"], "left_semi"), "open")
+        stage.drop(lists)
+        lists = here
         if here.isEmpty():
             break
         if r < STAR_ROUNDS:
@@ -265,6 +268,8 @@ def near_duplicates(
         for done in found:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage.keep(pairs, "pairs")
+        if r == STAR_ROUNDS:
+            stage.drop(signed)
         run, ddl = _verify(k, num, den)
         first_text = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         second_text = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -276,6 +281,7 @@ def near_duplicates(
         links = parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     if parts is None:
         parts = connected_components(links, stage)
+    stage.drop(texts, lists, *found)
     out = known.join(parts, known.rep == parts.node, "left")
     has_id = F.col("doc_id").isNotNull()
     return out.select(

@@ -80,6 +80,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = stage.keep(near_duplicates(by_row(docs, row)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
     many = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     members = stage.keep(groups.join(many, "group", "left_semi"), "members")
+    stage.drop(groups)
     ids = docs.select(F.col(row).alias("row"), F.col("`doc_id`").cast("long").alias("id"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     first = members.join(ids, "row").groupBy("group").agg(F.min(place)["row"].alias("row")).select("row")
