@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from arraylens.operators import calibration
 from arraylens.plans.queries import QUERIES
 from arraylens.sources import adaptors
 
@@ -92,6 +94,53 @@ def test_delay_scatter_is_of_fitted_delays(spark, vectors):
     same({r.ant: (r.ant_avg, r.ant_std) for r in QUERIES["delay_std_fitted"](spark, at).collect()}, want)
 
 
+def scatter(x):
+    """The square root of the biweight midvariance."""
+    dev = x - np.median(x)
+    mad = np.median(abs(dev))
+    u = (dev / (9 * mad)) ** 2 if mad else np.ones(len(x))
+    dev, u = dev[u < 1], u[u < 1]
+    return np.sqrt(len(x) * (dev**2 * (1 - u) ** 4).sum() / ((1 - u) * (1 - 5 * u)).sum() ** 2) if mad else 0.0
+
+
+def test_delay_std_has_all_its_scatters_and_scores(spark, vectors):
+    """By antenna, by integration and in all; labels have 31, 20 and 25 integrations."""
+    at, z = vectors
+    delay = {a: np.median(np.diff(np.unwrap(np.angle(m)), axis=1) / 1e6, axis=1) / (-2 * np.pi) * 1e9 for a, m in z.items()}
+    fluct = {a: d - np.median(d) for a, d in delay.items()}
+    whole, ant = scatter(np.concatenate([*fluct.values()])), {a: scatter(v) for a, v in fluct.items()}
+    time = [scatter(np.array([v[t] for v in fluct.values() if t < len(v)])) for t in range(31)]
+    want = {
+        (a, t): (np.median(delay[a]), ant[a], time[t], whole, max(ant.values()), x / whole, np.median(abs(v / whole))) for a, v in fluct.items() for t, x in enumerate(v)
+    }
+    rows = QUERIES["delay_std"](spark, at).collect()
+    assert len(rows) == len(want)
+    same({(r.ant, r.time_idx): (r.ant_avg, r.ant_std, r.time_std, r.agg_std, r.max_std, r.z, r.ant_z) for r in rows}, want)
+
+
+def test_delays_without_scatter_or_samples(spark, tmp_path):
+    """A whole without scatter gives scores of NaN; a vector without samples has no row."""
+    rows = [(10 * i + k, k, [1.0, 2.0] * 32) for k in (0, 1) for i in range(5)] + [(90, 0, [None] * 64), (91, 1, None)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["delay_std"](spark, str(tmp_path)).collect()
+    assert sorted((r.ant, r.time_idx) for r in got) == [(k, t) for k in (0, 1) for t in range(5)]
+    assert all((r.ant_std, r.time_std, r.agg_std, r.max_std) == (0, 0, 0, 0) and np.isnan(r.z) and np.isnan(r.ant_z) for r in got)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_dealt_medians_are_exact(spark, by):
+    rng = np.random.default_rng(12)
+    values = {"even": rng.standard_cauchy(20_000), "odd": 1e12 + rng.normal(size=20_001), "ties": rng.integers(0, 5, 7001) * 1.0, "halves": np.repeat([1.0, 2.0], 3000), "one": np.array([3.0])}
+    for names in [[*values]] if by else [[k] for k in values]:
+        rows = [(k, float(x), 5) for k in names for x in values[k]] + [(k, None, 5) for k in [*names, "none"]]
+        df = spark.createDataFrame(rows, "k string, v double, c int").repartition(13)
+        want = df.groupBy(*by).agg(F.median("v").alias("median"), F.first("c").alias("c"))
+        assert sorted(calibration.dealt_median(df, by, "v", keep=["c"]).collect()) == sorted(want.collect())
+        plain, dealt = ({tuple(r)[:-2]: tuple(r)[-2:] for r in make(df, by).collect()} for make in (calibration.biweight, calibration.dealt_biweight))
+        assert plain.keys() == dealt.keys()
+        assert all(x == y or abs(x - y) < 1e-9 * abs(y) for k in plain for x, y in zip(dealt[k], plain[k], strict=True))
+
+
 GRID = "detrend_deriv detrend_medfilt detrend_meanfilt detrend_medminfilt channel_diff_flags xrfi_waterfall simple_flag_waterfall dpss_flags".split()
 
 
